@@ -1,11 +1,11 @@
 """Queries of the text operators with their SQL oracles."""
 
-from marketlens.llm import jaccard_join
+from marketlens.llm import jaccard_join, substring_dedup
 
 
 def queries():
-    return {"op10_jaccard_join": jaccard_join.query}
+    return {"op3_substring_dedup": substring_dedup.query, "op10_jaccard_join": jaccard_join.query}
 
 
 def oracle_sql():
-    return {"op10_jaccard_join": jaccard_join.ORACLE}
+    return {"op3_substring_dedup": substring_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
