@@ -6,19 +6,19 @@ Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-wo
 * Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order. Shingles
   that are frequent in a bounded sample come last in ours. The order changes the cost, never the
   result. Sets that share such a shingle, within a band of sizes, make a tile.
-* In a tile, 256-bit hashed bitmaps bound each overlap from above (bits of A that B lacks are
-  shingles that B lacks), and only the rest meets the exact intersection of sorted arrays.
+* Hashed bitmaps bound each overlap from above (bits of A that B lacks are shingles that B
+  lacks), and only the rest meets the exact intersection of sorted arrays. A bitmap has about
+  twice as many bits as its set has shingles; of two lengths, the longer is folded.
 * Most large tiles are groups of near copies: first, each member meets its tile's pivot alone,
   and links found there make components. Then only tiles with more than one component are
-  compared in full, pairs inside a component excepted, and a tile yields a spanning forest.
-  Tiles over TILE members are cut into blocks; each pair of blocks is a task of its own.
+  compared in full, pairs inside a component excepted. Bitmaps alone name the members that may
+  still link; only their arrays are fetched, and a tile yields a spanning forest. Tiles over
+  TILE members are cut into blocks; each pair of blocks is a task of its own.
 
 Nulls and texts without words have no shingles and link with nothing; texts of fewer than five
 words have one. Repeated rows with the same doc_id count as copies; a null doc_id stays alone.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -28,7 +28,8 @@ from marketlens.llm.common import checkpointed, parts_for, table, text_bytes
 
 WORDS = 5  # words in a shingle
 PERCENT = 80  # least similarity
-BITS = 256  # of a bitmap signature
+BITS = 2  # of a bitmap for each shingle, rounded up to a power of two
+NEAR = 1_000_000  # keys (16 MB) up to which a list of them is broadcast
 TILE = 1024  # members of a block of a tile
 SAMPLE = 4000  # documents from which frequent shingles are learned
 FREQUENT = 3  # documents of the sample that make a shingle frequent
@@ -69,22 +70,48 @@ def set_keys(value, bounds):
     return [segment_sums(T.mix(value ^ U(seed)), bounds).view(np.int64) for seed in (0x1234567, 0x89ABCDEF)]
 
 
+def band(n):
+    """The size band of a set of n; linked sets differ by one band at most."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int16)
+
+
 def prefix_length(n):
     """How many first shingles a set of n must show so that any link shares one."""
     return n - -(-n * PERCENT // 100) + 1
 
 
+def bitmap(a):
+    """The hashed bitmap of a set as 64-bit words; a power of two of them."""
+    bits = np.zeros(max(64, 1 << int(BITS * len(a) - 1).bit_length()), bool)
+    bits[(a ^ (a >> U(32))).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").view(U)
+
+
+def folded(bits, words):
+    """A bitmap cut to a smaller power of two of words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def may_link(n, bits, other_n, other_bits):
+    """Whether bit counts allow a link of one set with each of several of the same map length."""
+    lacking = np.bitwise_count(bits & ~other_bits).sum(axis=-1)
+    surplus = np.bitwise_count(other_bits & ~bits).sum(axis=-1)
+    most = np.minimum(n - lacking.astype(np.int64), other_n - surplus.astype(np.int64))
+    return 100 * most >= PERCENT * (n + other_n - most)
+
+
 def _sets(batches):
     for batch in batches:
         for part in T.slices(batch, "text"):
             value, bounds = shingle_sets(part.column("text"))
             a, b = set_keys(value, bounds)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "key", "check"])
+            maps = [bitmap(value[x:y]).tobytes() if y > x else None for x, y in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "key", "check", "bits"])
 
 
 def document_sets(docs):
-    """doc_id, n_shingles and the name of each document's shingle set."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, "doc_id long, n_shingles long, key long, check long")
+    """doc_id, n_shingles, the name and the bitmap of each document's shingle set."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, "doc_id long, n_shingles long, key long, check long, bits binary")
 
 
 def _sample_shingles(batches):
@@ -123,7 +150,9 @@ def _prefixes(parts, frequent):
             if not sets:
                 continue
             key, size, value = (np.concatenate(x) for x in zip(*sets, strict=True))
-            bucket = (T.mix(value) % U(parts)).astype(np.int64)
+            bucket = (value % U(parts)).astype(np.int64)
+            value = (value >> U(32)).astype(np.uint32)  # with the bucket, enough to name candidates
+            size = band(size)
             order = np.lexsort((key, value, bucket))
             key, size, value, bucket = key[order], size[order], value[order], bucket[order]
             if not len(key):
@@ -133,7 +162,7 @@ def _prefixes(parts, frequent):
             key, size, value, bucket = key[new], size[new], value[new], bucket[new]
             cuts = np.searchsorted(bucket, np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cuts))
-            cols = [[x[cuts[i] : cuts[i + 1]].tobytes() for i in used] for x in (key, size.astype(np.int32), value)]
+            cols = [[x[cuts[i] : cuts[i + 1]].tobytes() for i in used] for x in (key, size, value)]
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "sizes", "hashes"])
 
     return emit
@@ -145,7 +174,7 @@ def _joined(column, kind):
 
 def _tiles(rows):
     """Of a bucket: tiles of two or more sets that share a shingle, equal tiles once."""
-    key, size, value = _joined(rows["keys"], np.int64), _joined(rows["sizes"], np.int32), _joined(rows["hashes"], U)
+    key, size, value = _joined(rows["keys"], np.int64), _joined(rows["sizes"], np.int16), _joined(rows["hashes"], np.uint32)
     order = np.lexsort((key, value))
     key, size, value = key[order], size[order], value[order]
     new = np.ones(len(key), bool)
@@ -158,11 +187,11 @@ def _tiles(rows):
     many = count > 1
     at, owner = T.flat_positions(begin[many], count[many])
     key, size = key[at], size[at]
-    # bands: a member within 0.8 of the next larger one stays with it; others cannot link across
+    # sets of a link lie in the same band or in neighbouring ones, so a tile ends at a missing band
     order = np.lexsort((key, size, owner))
     key, size = key[order], size[order]
     brk = np.ones(len(key), bool)
-    brk[1:] = (owner[1:] != owner[:-1]) | (100 * size[:-1].astype(np.int64) < PERCENT * size[1:].astype(np.int64))
+    brk[1:] = (owner[1:] != owner[:-1]) | (size[1:] > size[:-1] + 1)
     begin = np.flatnonzero(brk)
     count = np.diff(np.append(begin, len(key)))
     name = segment_sums(T.mix(key.view(U)), np.append(begin, len(key))).view(np.int64) if len(key) else np.zeros(0, np.int64)
@@ -196,11 +225,19 @@ def linked(a, b):
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def bitmap(a):
-    """The hashed bitmap of a set: BITS bits as 64-bit words."""
-    bits = np.zeros(BITS, bool)
-    bits[(T.mix(a ^ U(0x5BD1E995)) >> U(40)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).view(U)
+def _possible(batches):
+    """Of pairs with sizes and bitmaps: the pairs that bit counts allow to link."""
+    for batch in batches:
+        n, m = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+        yes = np.zeros(len(n), bool)
+        for i, (x, y) in enumerate(zip(batch.column("a_bits"), batch.column("b_bits"), strict=True)):
+            if PERCENT * max(n[i], m[i]) <= 100 * min(n[i], m[i]):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                words = min(len(x), len(y))
+                yes[i] = may_link(n[i], folded(x, words), m[i], folded(y, words))
+        kept = batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        if kept.num_rows:
+            yield kept
 
 
 def _pivot_links(batches):
@@ -212,34 +249,53 @@ def _pivot_links(batches):
             yield kept
 
 
+def _cross_pairs(rows):
+    """Members of a tile in order of size, and an iterator over (i, all j that may link with i)."""
+    rows = rows.take(pa.array(np.argsort(rows["n"].to_numpy(), kind="stable")))
+    part, n, two = rows["part"].to_numpy(), rows["n"].to_numpy(), rows["lo"][0] != rows["hi"][0]
+    label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    maps = [np.frombuffer(x.as_buffer(), U) for x in rows["bits"]]
+    words = np.array([len(x) for x in maps])
+
+    def pairs():
+        at = {w: np.flatnonzero(words >= w) for w in set(words.tolist())}  # sizes ascend, so do map lengths
+        flat = {w: np.stack([folded(maps[k], w) for k in i]) for w, i in at.items()}
+        for i in range(len(n)):
+            members, bits = at[words[i]], flat[words[i]]
+            lo, hi = np.searchsorted(members, i, "right"), np.searchsorted(members, np.searchsorted(n, 100 * n[i] // PERCENT, "right"), "left")
+            j = members[lo:hi]
+            ok = label[j] != label[i]
+            if two:
+                ok &= part[j] != part[i]
+            if ok.any():
+                ok &= may_link(n[i], maps[i], n[j], bits[lo:hi])
+                if ok.any():
+                    yield i, j[ok]
+
+    return rows, label, pairs()
+
+
+def _open_members(rows):
+    """The members of a tile, or of two of its blocks, that may link across components."""
+    rows, _, pairs = _cross_pairs(rows)
+    use = np.zeros(rows.num_rows, bool)
+    for i, j in pairs:
+        use[i] = use[j] = True
+    return rows.filter(pa.array(use))
+
+
 def _forest(rows):
     """Spanning links between the components of a tile, or between two of its blocks."""
-    key, part, block = rows["key"].to_numpy(), rows["part"].to_numpy(), rows["block"][0].as_py()
-    arrays = [np.frombuffer(x.as_buffer(), U) for x in rows["hashes"]]
-    sizes = np.array([len(a) for a in arrays])
-    order = np.argsort(sizes, kind="stable")
-    key, part, sizes, arrays = key[order], part[order], sizes[order], [arrays[i] for i in order]
-    label = np.unique(rows["component"].to_numpy()[order], return_inverse=True)[1]
-    maps = np.stack([bitmap(a) for a in arrays])
-    two = block[0] != block[-1]
-    out = []
-    for i in range(len(key)):
-        top = np.searchsorted(sizes, 100 * sizes[i] // PERCENT, "right")
-        j = np.arange(i + 1, top)
-        j = j[label[j] != label[i]]
-        if two:
-            j = j[part[j] != part[i]]
-        if not len(j):
-            continue
-        lacking = np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1)  # shingles of i that j lacks, at least
-        surplus = np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1)
-        most = np.minimum(sizes[i] - lacking, sizes[j] - surplus)
-        j = j[100 * most >= PERCENT * (sizes[i] + sizes[j] - most)]
-        for k in j:
+    rows, label, pairs = _cross_pairs(rows)
+    key, arrays = rows["key"].to_numpy(), [np.frombuffer(x.as_buffer(), U) for x in rows["hashes"]]
+    a, b = [], []
+    for i, near in pairs:
+        for k in near:
             if label[k] != label[i] and linked(arrays[i], arrays[k]):
-                out.append((key[i], key[k]))
+                a.append(key[i])
+                b.append(key[k])
                 label[label == label[k]] = label[i]
-    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(edges):
@@ -264,39 +320,51 @@ def components(edges):
         before = now
 
 
+def set_arrays(docs, keys, classes):
+    """(key, hashes) for the given set keys, read from one document of each."""
+    reps = keys.distinct().join(classes.select("key", F.col("rep").alias("doc_id")), "key")
+    reps = checkpointed(reps.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    reps = F.broadcast(reps) if reps.count() <= NEAR else reps
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
+    return texts.select("key", "text").mapInArrow(_set_arrays, "key long, hashes binary").dropDuplicates(["key"])
+
+
 def join(docs):
     """doc_id, n_shingles, component_id of every document."""
-    total = text_bytes(docs)
     named = checkpointed(document_sets(docs))
-    classes = named.where("n_shingles > 0 and doc_id is not null").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = named.where("n_shingles > 0 and doc_id is not null").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
     classes = checkpointed(classes)
-    tiles = checkpointed(candidate_tiles(docs, total))
-    reps = tiles.select("key").distinct().join(classes.groupBy("key").agg(F.min("rep").alias("doc_id")), "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    arrays = texts.join(reps, "doc_id").dropDuplicates(["key"]).select("key", "text").mapInArrow(_set_arrays, "key long, hashes binary")
-    arrays = checkpointed(arrays)
+    tiles = checkpointed(candidate_tiles(docs, text_bytes(docs)))
+
+    def side(x, *columns):
+        return [F.col(c).alias(x if c == "key" else f"{x}_{c}") for c in ("key", *columns)]
 
     pivots = tiles.groupBy("tile").agg(F.min("key").alias("b"))
     star = tiles.join(pivots, "tile").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
-    a, b = arrays.select(F.col("key").alias("a"), F.col("hashes").alias("a_hashes")), arrays.select(F.col("key").alias("b"), F.col("hashes").alias("b_hashes"))
-    links = checkpointed(star.join(a, "a").join(b, "b").mapInArrow(_pivot_links, "a long, b long"))
+    star = star.join(classes.select(side("a", "n", "bits")), "a").join(classes.select(side("b", "n", "bits")), "b").mapInArrow(_possible, "a long, b long")
+    star = checkpointed(star)
+    arrays = checkpointed(set_arrays(docs, star.select(F.explode(F.array("a", "b")).alias("key")), classes))
+    links = star.join(arrays.select(side("a", "hashes")), "a").join(arrays.select(side("b", "hashes")), "b").mapInArrow(_pivot_links, "a long, b long")
+    links = checkpointed(links)
 
     first = components(links)
     known = tiles.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = known.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    open_ = known.join(mixed.select("tile", "m"), "tile")
     blocks = F.ceil(F.col("m") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.array(F.least(x, F.col("part")), F.greatest(x, F.col("part"))))
-    open_ = open_.withColumn("blocks", blocks).withColumn("part", part).withColumn("block", F.explode(other))
-    more = open_.join(arrays, "key").select("tile", "block", "part", "key", "component", "hashes").groupBy("tile", "block").applyInArrow(_forest, "a long, b long")
-    final = components(links.unionByName(more))
-
-    final = final.withColumnRenamed("node", "key")
-    lowest = classes.join(final, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    part = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    cut = known.join(mixed.select("tile", "m"), "tile").withColumn("blocks", blocks).withColumn("part", part)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    cut = cut.join(classes.select("key", "n", "bits"), "key").select("tile", "lo", "hi", "part", "key", "component", "n", "bits")
+    kind = "tile long, lo int, hi int, part int, key long, component long, n long, bits binary"
+    cut = checkpointed(cut.groupBy("tile", "lo", "hi").applyInArrow(_open_members, kind))
+    arrays = set_arrays(docs, cut.select("key"), classes)
+    more = cut.join(arrays, "key").groupBy("tile", "lo", "hi").applyInArrow(_forest, "a long, b long")
+    final = components(links.unionByName(more)).withColumnRenamed("node", "key")
+
+    lowest = classes.join(final, "key", "left").select("key", "check", "rep", F.coalesce("component", "key").alias("component"))
     best = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = lowest.join(best, "component").select("key", "check", "component_id")
-    out = named.join(found, ["key", "check"], "left")
+    out = named.select("doc_id", "n_shingles", "key", "check").join(found, ["key", "check"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
