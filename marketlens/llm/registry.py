@@ -1,11 +1,19 @@
 """Queries of the text operators with their SQL oracles."""
 
-from marketlens.llm import jaccard_join, substring_dedup
+from marketlens.llm import jaccard_join, license_scan, substring_dedup, toxicity
 
 
 def queries():
-    return {"op3_substring_dedup": substring_dedup.query, "op10_jaccard_join": jaccard_join.query}
+    return {
+        "op1_toxicity": toxicity.query,
+        "op2_license_scan": license_scan.query,
+        "op3_substring_dedup": substring_dedup.query,
+        "op10_jaccard_join": jaccard_join.query,
+    }
 
 
 def oracle_sql():
-    return {"op3_substring_dedup": substring_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+    return {
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op10_jaccard_join": jaccard_join.ORACLE,
+    }
