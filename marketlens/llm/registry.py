@@ -1,6 +1,6 @@
 """Queries of the text operators with their SQL oracles."""
 
-from marketlens.llm import jaccard_join, license_scan, substring_dedup, toxicity
+from marketlens.llm import jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, url_filter
 
 
 def queries():
@@ -8,6 +8,9 @@ def queries():
         "op1_toxicity": toxicity.query,
         "op2_license_scan": license_scan.query,
         "op3_substring_dedup": substring_dedup.query,
+        "op4_url_filter": url_filter.query,
+        "op5_quality": quality.query,
+        "op6_packing": packing.query,
         "op10_jaccard_join": jaccard_join.query,
     }
 
