@@ -173,7 +173,7 @@ def _joined(column, kind):
 
 
 def _tiles(rows):
-    """Of a bucket: tiles of two or more sets that share a shingle, equal tiles once."""
+    """Of a bucket: sets that share a first shingle, each with the smallest of them, its pivot."""
     key, size, value = _joined(rows["keys"], np.int64), _joined(rows["sizes"], np.int16), _joined(rows["hashes"], np.uint32)
     order = np.lexsort((key, value))
     key, size, value = key[order], size[order], value[order]
@@ -194,15 +194,24 @@ def _tiles(rows):
     brk[1:] = (owner[1:] != owner[:-1]) | (size[1:] > size[:-1] + 1)
     begin = np.flatnonzero(brk)
     count = np.diff(np.append(begin, len(key)))
-    name = segment_sums(T.mix(key.view(U)), np.append(begin, len(key))).view(np.int64) if len(key) else np.zeros(0, np.int64)
     keep = np.flatnonzero(count > 1)
-    keep = keep[np.unique(name[keep], return_index=True)[1]]
+    if not len(keep):
+        return pa.table({"tile": pa.array([], pa.int64()), "key": pa.array([], pa.int64())})
     at, owner = T.flat_positions(begin[keep], count[keep])
-    return pa.table({"tile": name[keep][owner], "key": key[at]})
+    key = key[at]
+    pivot = np.minimum.reduceat(key, np.cumsum(count[keep]) - count[keep])[owner]
+    order = np.lexsort((key, pivot))
+    key, pivot = key[order], pivot[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (pivot[1:] != pivot[:-1])
+    return pa.table({"tile": pivot[new], "key": key[new]})
 
 
 def candidate_tiles(docs, total):
-    """Rows (tile, key): sets that may link, since they share a first shingle."""
+    """Rows (tile, key): a tile is named by its pivot and holds all sets that met it by a shingle.
+
+    Two sets that share a first shingle met the same pivot there, so they share a tile.
+    """
     parts = parts_for(total, 8 << 20)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
     packed = docs.select("text").mapInArrow(_prefixes(parts, frequent), "bucket long, keys binary, sizes binary, hashes binary")
@@ -213,8 +222,9 @@ def _set_arrays(batches):
     for batch in batches:
         for part in T.slices(batch, "text"):
             value, bounds = shingle_sets(part.column("text"))
-            data = [value[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(data, pa.binary())], ["key", "hashes"])
+            own = part.column("key").to_numpy() == set_keys(value, bounds)[0]  # a repeated doc_id may have other texts
+            data = [value[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(own)]
+            yield pa.RecordBatch.from_arrays([part.column("key").filter(pa.array(own)), pa.array(data, pa.binary())], ["key", "hashes"])
 
 
 def linked(a, b):
@@ -321,12 +331,12 @@ def components(edges):
 
 
 def set_arrays(docs, keys, classes):
-    """(key, hashes) for the given set keys, read from one document of each."""
+    """(key, hashes) for the given set keys, read from one document of each; repeated rows repeat."""
     reps = keys.distinct().join(classes.select("key", F.col("rep").alias("doc_id")), "key")
     reps = checkpointed(reps.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     reps = F.broadcast(reps) if reps.count() <= NEAR else reps
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
-    return texts.select("key", "text").mapInArrow(_set_arrays, "key long, hashes binary").dropDuplicates(["key"])
+    return texts.select("key", "text").mapInArrow(_set_arrays, "key long, hashes binary")
 
 
 def join(docs):
@@ -339,8 +349,7 @@ def join(docs):
     def side(x, *columns):
         return [F.col(c).alias(x if c == "key" else f"{x}_{c}") for c in ("key", *columns)]
 
-    pivots = tiles.groupBy("tile").agg(F.min("key").alias("b"))
-    star = tiles.join(pivots, "tile").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
+    star = tiles.select(F.col("key").alias("a"), F.col("tile").alias("b")).where("a <> b")
     star = star.join(classes.select(side("a", "n", "bits")), "a").join(classes.select(side("b", "n", "bits")), "b").mapInArrow(_possible, "a long, b long")
     star = checkpointed(star)
     arrays = checkpointed(set_arrays(docs, star.select(F.explode(F.array("a", "b")).alias("key")), classes))
