@@ -1,6 +1,6 @@
 """Queries of the text operators with their SQL oracles."""
 
-from marketlens.llm import jaccard_join, license_scan, packing, quality, substring_dedup, toxicity, url_filter
+from marketlens.llm import jaccard_join, license_scan, packing, quality, substring_dedup, topk_search, toxicity, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_url_filter": url_filter.query,
         "op5_quality": quality.query,
         "op6_packing": packing.query,
+        "op9_topk_search": topk_search.query,
         "op10_jaccard_join": jaccard_join.query,
     }
 
@@ -18,5 +19,6 @@ def queries():
 def oracle_sql():
     return {
         "op3_substring_dedup": substring_dedup.ORACLE,
+        "op9_topk_search": topk_search.ORACLE,
         "op10_jaccard_join": jaccard_join.ORACLE,
     }
