@@ -35,3 +35,14 @@ def parts_for(total, each, least=64, most=16384):
 def held_out(doc_id):
     """Rows kept apart from all learning: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def sized(df, rows):
+    """The frame with a broadcast hint if it has few enough rows, else as it is; and its count."""
+    n = df.count()
+    return (F.broadcast(df) if n <= rows else df), n
+
+
+def row_keys(docs):
+    """Two columns that name a row by doc_id and text, null-safe; equal rows share them."""
+    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text": F.xxhash64("text")})
