@@ -1,6 +1,6 @@
 """Queries of the text operators with their SQL oracles."""
 
-from marketlens.llm import decontamination, jaccard_join, license_scan, packing, quality, substring_dedup, topk_search, toxicity, url_filter
+from marketlens.llm import decontamination, jaccard_join, license_scan, packing, pii, quality, substring_dedup, topk_search, toxicity, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_url_filter": url_filter.query,
         "op5_quality": quality.query,
         "op6_packing": packing.query,
+        "op7_pii": pii.query,
         "op8_decontamination": decontamination.query,
         "op9_topk_search": topk_search.query,
         "op10_jaccard_join": jaccard_join.query,
