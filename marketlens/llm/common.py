@@ -12,13 +12,18 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df):
-    """The frame written to the shared checkpoint folder, so lost executors lose none of it."""
-    spark = df.sparkSession
+def checkpoint_folder(spark):
+    """The shared folder for checkpoints and tables; a new one only where none is configured."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         own = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="marketlens-", dir=os.environ.get("TMPDIR")))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df):
+    """The frame written to the shared checkpoint folder, so lost executors lose none of it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -45,4 +50,4 @@ def sized(df, rows):
 
 def row_keys(docs):
     """Two columns that name a row by doc_id and text, null-safe; equal rows share them."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text": F.xxhash64("text")})
+    return docs.withColumns({"__row_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__row_text": F.xxhash64("text")})

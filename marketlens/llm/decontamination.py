@@ -78,19 +78,19 @@ def hits(docs, benchmark):
     found, _ = sized(checkpointed(found.distinct().withColumn("shared", F.lit(True))), SMALL)
 
     rows = row_keys(docs.select("doc_id", "text")).withColumn("words", word_array(F.lower("text")))
-    rows = fingerprints(rows, short).select("_doc", "_text", F.size("words").cast("long").alias("n_words"), F.explode_outer("fps").alias("fp"))
-    judged = rows.join(found, "fp", "left").groupBy("_doc", "_text").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("shared", F.lit(False))).alias("shared"))
+    rows = fingerprints(rows, short).select("__row_doc", "__row_text", F.size("words").cast("long").alias("n_words"), F.explode_outer("fps").alias("fp"))
+    judged = rows.join(found, "fp", "left").groupBy("__row_doc", "__row_text").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("shared", F.lit(False))).alias("shared"))
     judged = checkpointed(judged)
 
-    candidates, _ = sized(judged.where("shared").select("_doc", "_text"), SMALL)
-    texts = row_keys(docs.select("doc_id", "text")).join(candidates, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"])
-    texts = texts.select("_doc", "_text", word_array(F.translate("text", UPPER, UPPER.lower())).alias("words"))
+    candidates, _ = sized(judged.where("shared").select("__row_doc", "__row_text"), SMALL)
+    texts = row_keys(docs.select("doc_id", "text")).join(candidates, ["__row_doc", "__row_text"], "left_semi").dropDuplicates(["__row_doc", "__row_text"])
+    texts = texts.select("__row_doc", "__row_text", word_array(F.translate("text", UPPER, UPPER.lower())).alias("words"))
     runs = F.concat(*(window_texts(F.col("words"), m) for m in [*short, WINDOW]))
-    runs = texts.select("_doc", "_text", F.explode(runs).alias("w")).select("_doc", "_text", "w.*")
+    runs = texts.select("__row_doc", "__row_text", F.explode(runs).alias("w")).select("__row_doc", "__row_text", "w.*")
     side, _ = sized(windows, SMALL)
     met = runs.join(side, ["gram", "size"])
-    spans = met.groupBy("_doc", "_text").agg(F.collect_set(F.struct("start", "size")).alias("windows"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    return judged.select("_doc", "_text", "n_words").join(spans, ["_doc", "_text"], "left")
+    spans = met.groupBy("__row_doc", "__row_text").agg(F.collect_set(F.struct("start", "size")).alias("windows"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    return judged.select("__row_doc", "__row_text", "n_words").join(spans, ["__row_doc", "__row_text"], "left")
 
 
 def covered(windows):
@@ -103,7 +103,7 @@ def covered(windows):
 def judge(docs, benchmark):
     """doc_id, n_words, n_hit, items (ids as sorted strings) and contaminated, of every row."""
     found = hits(docs, benchmark)
-    rows = row_keys(docs.select("doc_id", "text")).select("doc_id", "_doc", "_text").join(found, ["_doc", "_text"], "left")
+    rows = row_keys(docs.select("doc_id", "text")).select("doc_id", "__row_doc", "__row_text").join(found, ["__row_doc", "__row_text"], "left")
     n_hit = F.coalesce(covered(F.col("windows")), F.lit(0)).cast("long")
     items = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
@@ -111,9 +111,9 @@ def judge(docs, benchmark):
 
 def remove(docs, benchmark):
     """The documents without a shared window, with all their columns."""
-    bad = hits(docs, benchmark).where("windows is not null").select("_doc", "_text")
+    bad = hits(docs, benchmark).where("windows is not null").select("__row_doc", "__row_text")
     bad, _ = sized(checkpointed(bad), SMALL)
-    return row_keys(docs).join(bad, ["_doc", "_text"], "left_anti").select(*docs.columns)
+    return row_keys(docs).join(bad, ["__row_doc", "__row_text"], "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import checkpointed, parts_for, table, text_bytes
+from marketlens.llm.common import checkpointed, parts_for, row_keys, sized, table, text_bytes
 
 WORDS = 5  # words in a shingle
 PERCENT = 80  # least similarity
@@ -106,12 +106,13 @@ def _sets(batches):
             value, bounds = shingle_sets(part.column("text"))
             a, b = set_keys(value, bounds)
             maps = [bitmap(value[x:y]).tobytes() if y > x else None for x, y in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "key", "check", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_text"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(maps, pa.binary())], ["doc_id", "row_text", "n_shingles", "key", "check", "bits"])
 
 
 def document_sets(docs):
-    """doc_id, n_shingles, the name and the bitmap of each document's shingle set."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, "doc_id long, n_shingles long, key long, check long, bits binary")
+    """doc_id, the text's hash, n_shingles, the name and the bitmap of each document's shingle set."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_text"), "text")
+    return rows.mapInArrow(_sets, "doc_id long, row_text long, n_shingles long, key long, check long, bits binary")
 
 
 def _sample_shingles(batches):
@@ -334,13 +335,13 @@ def set_arrays(docs, keys, classes):
     """(key, hashes) for the given set keys, read from one document of each; repeated rows repeat."""
     reps = keys.distinct().join(classes.select("key", F.col("rep").alias("doc_id")), "key")
     reps = checkpointed(reps.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    reps = F.broadcast(reps) if reps.count() <= NEAR else reps
+    reps, _ = sized(reps, NEAR)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
     return texts.select("key", "text").mapInArrow(_set_arrays, "key long, hashes binary")
 
 
 def join(docs):
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, row_text (hash of the text), n_shingles, component_id of every document."""
     named = checkpointed(document_sets(docs))
     classes = named.where("n_shingles > 0 and doc_id is not null").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
     classes = checkpointed(classes)
@@ -373,14 +374,29 @@ def join(docs):
     lowest = classes.join(final, "key", "left").select("key", "check", "rep", F.coalesce("component", "key").alias("component"))
     best = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = lowest.join(best, "component").select("key", "check", "component_id")
-    out = named.select("doc_id", "n_shingles", "key", "check").join(found, ["key", "check"], "left")
+    out = named.select("doc_id", "row_text", "n_shingles", "key", "check").join(found, ["key", "check"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "row_text", "n_shingles", own.alias("component_id"))
+
+
+def keep_first(docs):
+    """One document of each component, the one of smallest doc_id, with all columns.
+
+    Documents without words or doc_id stay. Of rows that repeat both doc_id and text one stays.
+    """
+    linked_ = checkpointed(join(docs))
+    gone = linked_.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("__row_doc"), F.col("row_text").alias("__row_text")).distinct()
+    gone, _ = sized(checkpointed(gone), NEAR)
+    kept = row_keys(docs).join(gone, ["__row_doc", "__row_text"], "left_anti")
+    whole = linked_.where("n_shingles > 0 and doc_id is not null")
+    if not whole.groupBy("doc_id", "row_text").count().where("count > 1").isEmpty():
+        kept = kept.where("__row_doc <> -9223372036854775808").dropDuplicates(["__row_doc", "__row_text"]).unionByName(kept.where("__row_doc = -9223372036854775808"))
+    return kept.select(*docs.columns)
 
 
 def query(spark, sf_dir):
     """op10: every document with its set size and the smallest doc_id its links reach."""
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("row_text")
 
 
 ORACLE = r"""

@@ -79,17 +79,17 @@ def _with_starts(gaps, found, kind, loose):
 
 
 def candidates(docs):
-    """Rows (_doc, _text, kind, loose, start, value, before, after) of all generators."""
+    """Rows (__row_doc, __row_text, kind, loose, start, value, before, after) of all generators."""
     rows = row_keys(docs.select("doc_id", "text")).where(F.col("text").isNotNull())
     forms = [(k, loose, p) for loose, group in ((False, STRICT), (True, LOOSE)) for k, p in group.items()]
     for n, (kind, loose, p) in enumerate(forms):
         rows = rows.withColumn(f"m{n}", _spans(F.col("text"), kind, p, HINT.get((kind, int(loose)))))
-    rows = rows.where(" + ".join(f"size(m{n})" for n in range(len(forms))) + " > 0").dropDuplicates(["_doc", "_text"])
+    rows = rows.where(" + ".join(f"size(m{n})" for n in range(len(forms))) + " > 0").dropDuplicates(["__row_doc", "__row_text"])
     none = F.array().cast("array<string>")
     for n, (_, _, p) in enumerate(forms):
         rows = rows.withColumn(f"g{n}", F.when(F.size(f"m{n}") > 0, F.split("text", p, -1)).otherwise(none))
     spans = F.concat(*(_with_starts(F.col(f"g{n}"), F.col(f"m{n}"), kind, loose) for n, (kind, loose, _) in enumerate(forms)))
-    return rows.select("_doc", "_text", F.explode(spans).alias("s")).select("_doc", "_text", "s.*")
+    return rows.select("__row_doc", "__row_text", F.explode(spans).alias("s")).select("__row_doc", "__row_text", "s.*")
 
 
 def _luhn(digits):
@@ -169,7 +169,7 @@ def thresholds(counts, model):
 
 
 def find(docs):
-    """Per text with any: _doc, _text, spans: array of (start, kind, end, base) in order."""
+    """Per text with any: __row_doc, __row_text, spans: array of (start, kind, end, base) in order."""
     found = checkpointed(with_features(candidates(docs)))
     labelled = found.where("not loose").groupBy("bits").agg(F.sum(F.col("passes").cast("long")).alias("p"), F.sum((~F.col("passes")).cast("long")).alias("n"))
     counts = sorted((r["bits"], r["p"], r["n"]) for r in labelled.collect())
@@ -180,7 +180,7 @@ def find(docs):
         limit = F.when(F.col("kind") == k, float(v)).otherwise(limit)
     kept = found.withColumn("score", tree_score(F.col("bits"), model)).where(F.col("passes") | (F.col("loose") & (F.col("score") >= limit)))
     span = F.struct("start", "kind", (F.col("start") + F.length("value")).alias("end"), F.col("passes").alias("base"))
-    return kept.groupBy("_doc", "_text").agg(F.array_sort(F.collect_set(span)).alias("all")).select("_doc", "_text", _merged(F.col("all")).alias("spans"))
+    return kept.groupBy("__row_doc", "__row_text").agg(F.array_sort(F.collect_set(span)).alias("all")).select("__row_doc", "__row_text", _merged(F.col("all")).alias("spans"))
 
 
 def _merged(spans):
@@ -195,7 +195,7 @@ def _merged(spans):
 
 def redact(docs):
     """All columns, with each span of text replaced by its kind in brackets."""
-    rows = row_keys(docs).join(find(docs), ["_doc", "_text"], "left")
+    rows = row_keys(docs).join(find(docs), ["__row_doc", "__row_text"], "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).alias("out"))).otherwise(a)
@@ -217,7 +217,7 @@ def query(spark, sf_dir):
     """op7: base counts and digest, and all spans, of every document."""
     docs = table(spark, sf_dir, "documents")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")
-    rows = row_keys(docs.select("doc_id", "text")).select("doc_id", "_doc", "_text").join(find(docs), ["_doc", "_text"], "left")
+    rows = row_keys(docs.select("doc_id", "text")).select("doc_id", "__row_doc", "__row_text").join(find(docs), ["__row_doc", "__row_text"], "left")
     rows = rows.select("doc_id", F.coalesce("spans", none).alias("spans")).withColumn("base", F.filter("spans", lambda s: s["base"]))
     counts = [F.size(F.array_compact(F.transform("base", _only(k)))).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(KINDS))]
     return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -215,6 +215,24 @@ def score_toxicity(docs, model):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), "doc_id long, score double, evidence double")
 
 
+def _clean(shared, threshold):
+    def clean(batches):
+        lexicon, c = shared.value
+        for batch in batches:
+            got = np.array([lexicon.evidence(t) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
+            kept = batch.filter(pa.array(1 / (1 + np.exp(-(c[0] + np.log1p(got) @ c[1:]))) < threshold))
+            if kept.num_rows:
+                yield kept
+
+    return clean
+
+
+def keep_clean(docs, model, threshold=THRESHOLD):
+    """The rows whose score is below the threshold, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_clean(shared, threshold), docs.schema)
+
+
 def query(spark, sf_dir):
     """op1: held_out, score and prediction of every document."""
     docs = table(spark, sf_dir, "documents")
