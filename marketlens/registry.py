@@ -1,9 +1,20 @@
 """Queries of the lead and market operators with their SQL oracles."""
 
+import importlib
+
+MODULES = ("keys", "leads")
+
+
+def _all():
+    found = {}
+    for m in MODULES:
+        found.update(importlib.import_module(f"marketlens.operators.{m}").build())
+    return found
+
 
 def queries():
-    return {}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
