@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("keys", "leads")
+MODULES = ("keys", "leads", "ledger", "lexicon", "pricing")
 
 
 def _all():
@@ -18,3 +18,8 @@ def queries():
 
 def oracle_sql():
     return {name: sql for name, (_, sql) in _all().items() if sql}
+
+
+def flagship(spark, sf_dir):
+    """Market statistics, confidence and balanced price per product."""
+    return queries()["prc2_5_market_statistics"](spark, sf_dir)
