@@ -13,7 +13,7 @@ def bare_host(url):
     """Lower-case host without port and www."""
     u = F.lower(F.trim(F.coalesce(url, F.lit(""))))
     h = F.regexp_extract(F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u)), r"^https?://([^/?#]*)", 1)
-    return F.regexp_replace(F.trim(F.lit("."), F.regexp_replace(h, ":.*$", "")), r"^www\.", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(h, ":.*$", ""), F.lit(".")), r"^www\.", "")
 
 
 def host_in(host, domains):

@@ -2,13 +2,13 @@
 
 import importlib
 
-MODULES = ("keys", "leads", "ledger", "lexicon", "pricing")
+MODULES = ("operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "streaming.jobs")
 
 
 def _all():
     found = {}
     for m in MODULES:
-        found.update(importlib.import_module(f"marketlens.operators.{m}").build())
+        found.update(importlib.import_module(f"marketlens.{m}").build())
     return found
 
 
