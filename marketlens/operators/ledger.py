@@ -15,7 +15,6 @@ from marketlens.sources.views import view, with_views
 
 MONTH = 30.44
 USER_OWNED = ("status_leads", "tanggal_follow_up")
-AS_OF = F.lit(X.AS_OF)
 
 
 def first_per_key(rows, key, order):
@@ -93,7 +92,7 @@ def q_ded2(spark, d):
 def q_ded3(spark, d):
     v = view(spark, d, "businesses")
     at = F.coalesce(P.timestamp(F.col("last_checked_at")), P.timestamp(F.col("last_scraped_at")))
-    age = F.floor((F.unix_timestamp(AS_OF.cast("timestamp")) - F.unix_timestamp(at)) / 86400)
+    age = F.floor((F.unix_timestamp(F.lit(X.AS_OF).cast("timestamp")) - F.unix_timestamp(at)) / 86400)
     return v.select("place_key", age.cast("long").alias("umur"), F.coalesce(age >= 30, F.lit(True)).alias("perlu"))
 
 
