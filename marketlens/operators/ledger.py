@@ -52,7 +52,7 @@ def upsert(current, feed, key, order, keep=(), first=(), now=X.AS_OF):
 
     Many observations of a key are folded first to the last non-null value of each column.
     """
-    columns = [c for c in feed.columns if c not in (key, *order) and c in current.columns]
+    columns = [c for c in feed.columns if c != key and c in current.columns]
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     folded = feed.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns), F.count("*").over(w).alias("_seen"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("_n"))
     new = folded.where("_n = 1").select(key, *(F.col(c).alias(f"_{c}") for c in columns), "_seen")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "streaming.jobs")
+MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "streaming.jobs")
 
 
 def _all():
