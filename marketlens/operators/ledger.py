@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import fixed as X
 from marketlens.functions import parse as P
+from marketlens.functions.frames import each
 from marketlens.operators.keys import PLACE_KEY_SQL
 from marketlens.sources.tables import table
 from marketlens.sources.views import view, with_views
@@ -77,7 +78,7 @@ def admitted(events, days=7):
     times = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), "event_id"))).alias("e"))
     start = F.struct(F.lit(-(2**60)).alias("last"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda a, x: F.when(x["t"] - a["last"] > span, F.struct(x["t"].alias("last"), F.array_append(a["ids"], x["event_id"].cast("long")).alias("ids"))).otherwise(a)
-    return times.select("user_id", F.explode(F.aggregate("e", start, step, lambda a: a["ids"])).alias("event_id"))
+    return each(times, ["user_id"], F.aggregate("e", start, step, lambda a: a["ids"]), "event_id")
 
 
 def q_ded1(spark, d):

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import titles as L
+from marketlens.functions.frames import each
 from marketlens.sources.views import view, with_views
 
 
@@ -15,14 +16,14 @@ def titled(products):
 def document_frequency(titles):
     """token, df, idf over all titles with tokens."""
     n = titles.where(F.size("tokens") > 0).agg(F.count("*").alias("n_dok"))
-    df = titles.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    df = each(titles, [], F.array_distinct("tokens"), "token").groupBy("token").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).withColumn("idf", F.log(1 + (F.col("n_dok") + 1) / (F.col("df") + 1)))
 
 
 def learned_promo(titles, share=0.35, stores=2):
     """Words in a large share of the titles of several stores; never with digits, brands, models or specifications."""
     total = titles.groupBy("store_id").agg(F.count("*").alias("total"))
-    per = titles.select("store_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("store_id", "token").agg(F.count("*").alias("n"))
+    per = each(titles, ["store_id"], F.array_distinct("tokens"), "token").groupBy("store_id", "token").agg(F.count("*").alias("n"))
     much = per.join(F.broadcast(total), "store_id").where(F.col("n") / F.col("total") >= share).groupBy("token").agg(F.count("*").alias("n_toko"))
     ok = ~F.col("token").rlike("[0-9]") & ~F.col("token").isin(*L.BRANDS) & ~L.kind(F.col("token")).isin("model", "spek")
     return much.where((F.col("n_toko") >= stores) & ok)
@@ -33,8 +34,8 @@ def aliases(titles):
     models = F.filter("tokens", lambda w: L.kind(w) == "model")
     families = F.array_distinct(F.transform(models, lambda w: L.family(w)))
     others = F.array_distinct(F.filter("tokens", lambda w: w.rlike("[0-9]") & (L.kind(w) != "model")))
-    x = titles.select(families.alias("f"), others.alias("o")).where("size(f) > 0 and size(o) > 0")
-    return x.select(F.explode("o").alias("token"), "f").select("token", F.explode("f").alias("keluarga")).groupBy("token", "keluarga").agg(F.count("*").alias("n"))
+    x = each(titles.select(families.alias("f"), others.alias("o")), ["f"], "o", "token")
+    return each(x, ["token"], "f", "keluarga").groupBy("token", "keluarga").agg(F.count("*").alias("n"))
 
 
 def q_tokens(spark, d):
@@ -43,7 +44,7 @@ def q_tokens(spark, d):
 
 
 def q_kinds(spark, d):
-    x = titled(view(spark, d, "products")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    x = each(titled(view(spark, d, "products")), [], "tokens", "token").groupBy("token").agg(F.count("*").alias("n"))
     dim, value = L.spec_pair(F.col("token"))
     kind = L.kind(F.col("token"))
     return x.select("token", "n", kind.alias("kelas"), dim.alias("dimensi"), value.alias("nilai"), F.when(kind == "model", L.family(F.col("token"))).alias("keluarga"))
@@ -83,7 +84,7 @@ def q_phrases(spark, d):
     """Token pairs that begin with a promotion word, per store."""
     p = titled(view(spark, d, "products")).where(F.size("tokens") > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.concat_ws(" ", F.get("tokens", i - 1), F.get("tokens", i)))
-    x = p.select("store_id", F.explode(pairs).alias("frasa")).where(F.split("frasa", " ")[0].isin(*L.PROMO))
+    x = each(p, ["store_id"], pairs, "frasa").where(F.split("frasa", " ")[0].isin(*L.PROMO))
     return x.groupBy("store_id", "frasa").agg(F.count("*").alias("n"))
 
 
@@ -91,7 +92,7 @@ def q_effect(spark, d):
     """Median sold with and without each promotion word; both sides need three titles."""
     p = titled(view(spark, d, "products"))
     used = p.select("product_key", "terjual", F.array_distinct(F.filter("tokens", lambda w: w.isin(*L.PROMO))).alias("kata"))
-    words = used.select(F.explode("kata").alias("kata")).groupBy("kata").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kata").limit(20).select("kata")
+    words = each(used.select(F.col("kata").alias("k")), [], "k", "kata").groupBy("kata").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kata").limit(20).select("kata")
     x = used.select("terjual", F.col("kata").alias("punya")).join(F.broadcast(words)).withColumn("ada", F.array_contains("punya", F.col("kata")))
     side = lambda c: F.percentile(F.when(c, F.col("terjual")), F.lit(0.5))
     g = x.groupBy("kata").agg(side(F.col("ada")).alias("dengan"), side(~F.col("ada")).alias("tanpa"), F.count_if("ada").alias("n_dengan"), F.count_if(~F.col("ada")).alias("n_tanpa"))

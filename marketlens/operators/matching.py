@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import titles as L
+from marketlens.functions.frames import each
 from marketlens.operators import lexicon as LX
 from marketlens.sources.views import view
 
@@ -39,7 +40,7 @@ def parsed_queries(spark, texts, products):
     fam = LX.aliases(titles).where(F.col("n") >= EVIDENCE).groupBy("token").agg(F.collect_set("keluarga").alias("fam"))
     promo = LX.learned_promo(titles).select("token", F.lit(True).alias("promo"))
     q = spark.createDataFrame(list(enumerate(texts)), "query_id long, teks string").withColumn("tokens", L.tokens(F.col("teks")))
-    rows = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    rows = each(q, ["query_id"], F.array_distinct("tokens"), "token")
     rows = rows.join(idf.drop("n_dok"), "token", "left").join(fam, "token", "left").join(promo, "token", "left").join(F.broadcast(n))
     rows = rows.withColumn("kelas", L.kind(F.col("token"), F.col("token").isin(*L.PROMO) | F.coalesce("promo", F.lit(False))))
     weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("kelas")] * F.coalesce("idf", F.log(1 + (F.col("n_dok") + 1) / F.lit(1)))
@@ -71,7 +72,7 @@ def matches(spark, texts, products):
     weighted = q.select("query_id", F.explode(F.filter("qt", lambda x: x["w"] > 0)).alias("x"))
     keys = weighted.select("query_id", F.col("x.token").alias("key")).unionByName(weighted.select("query_id", F.explode("x.fam").alias("key"))).unionByName(weighted.where("x.gen is not null").select("query_id", F.concat(F.lit("gen:"), "x.gen").alias("key"))).distinct()
     prefixes = F.flatten(F.transform("families", lambda f: F.array(F.concat(F.lit("gen:"), F.substring(f, 1, 1)), F.concat(F.lit("gen:"), F.substring(f, 1, 2)))))
-    postings = titles.select("nama_produk", F.explode(F.array_distinct(F.concat("tokens", "families", prefixes))).alias("key"))
+    postings = each(titles, ["nama_produk"], F.array_distinct(F.concat("tokens", "families", prefixes)), "key")
     pairs = postings.join(F.broadcast(keys), "key").select("query_id", "nama_produk").distinct()
     x = pairs.join(titles, "nama_produk").join(F.broadcast(q.select("query_id", "qt", "gens", "brands", "meant", F.col("models").alias("q_models"), F.col("specs").alias("q_specs"))), "query_id")
     some = lambda c: F.size(c) > 0
@@ -140,7 +141,7 @@ def q_leaders(spark, d):
 def q_labels(spark, d):
     """Variants of each query with a readable label: top brand, series and model."""
     found = search(spark, QUERIES, view(spark, d, "products")).where(F.size("models") > 0).withColumn("varian", F.array_join(F.array_sort("models"), "|"))
-    t = found.select("query_id", "varian", F.explode("tokens").alias("t"))
+    t = each(found, ["query_id", "varian"], "tokens", "t")
     part = F.when(L.kind(F.col("t")) == "model", "model").when(F.col("t").rlike(r"^(i[0-9]|ryzen[0-9]|rtx|gtx|rx|ddr[0-9]|gen[0-9]+)$"), "seri").when(L.kind(F.col("t")) == "merek", "merek")
     n = t.withColumn("bagian", part).where("bagian is not null").groupBy("query_id", "varian", "bagian", "t").agg(F.count("*").alias("n"))
     best = n.groupBy("query_id", "varian").agg(*(F.max_by("t", F.when(F.col("bagian") == b, F.struct("n", "t"))).alias(b) for b in ("merek", "seri", "model")))
