@@ -51,3 +51,22 @@ def sized(df, rows):
 def row_keys(docs):
     """Two columns that name a row by doc_id and text, null-safe; equal rows share them."""
     return docs.withColumns({"__row_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__row_text": F.xxhash64("text")})
+
+
+def labelled_sample(docs, labels, column, most):
+    """(text, y) of at most `most` labelled documents that may teach, in hash order of their ids.
+
+    The ids are picked from the labels alone, so only the picked documents' texts move.
+    """
+    ids = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = ids.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("text", "y")
+
+
+def each(rows, keep, column, name):
+    """One row per element of an array. Outer form, then a filter: for the plain form the optimizer
+    infers a filter on the array's size, which it pushes down and so builds the array anew in it,
+    with everything it is made of, for every element.
+    """
+    return rows.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())

@@ -16,7 +16,7 @@ item ids and items without words hit nothing. Further columns are kept by remove
 
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import checkpointed, row_keys, sized, table
+from marketlens.llm.common import checkpointed, each, row_keys, sized, table
 
 WINDOW = 10
 K = 5
@@ -63,7 +63,7 @@ def item_windows(benchmark):
     items = benchmark.where("item_id is not null").select("item_id", word_array(F.translate("text", UPPER, UPPER.lower())).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(WINDOW))
     runs = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
-    return items.select("item_id", n.alias("size"), F.explode(runs).alias("gram")).distinct()
+    return each(items, ["item_id", n.alias("size")], runs, "gram").distinct()
 
 
 def hits(docs, benchmark):
@@ -72,9 +72,9 @@ def hits(docs, benchmark):
     short = sorted(r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
     items = benchmark.where("item_id is not null").select(word_array(F.lower("text")).alias("words")).where(F.size("words") > 0)
     long_ = fingerprints(items.where(F.size("words") >= WINDOW), [])
-    found = long_.select(F.explode("fps").alias("fp"))
+    found = each(long_, [], "fps", "fp")
     for m in short:
-        found = found.unionByName(items.where(F.size("words") == m).select(F.explode(gram_hashes(F.col("words"), m)).alias("fp")))
+        found = found.unionByName(each(items.where(F.size("words") == m), [], gram_hashes(F.col("words"), m), "fp"))
     found, _ = sized(checkpointed(found.distinct().withColumn("shared", F.lit(True))), SMALL)
 
     rows = row_keys(docs.select("doc_id", "text")).withColumn("words", word_array(F.lower("text")))
@@ -86,7 +86,7 @@ def hits(docs, benchmark):
     texts = row_keys(docs.select("doc_id", "text")).join(candidates, ["__row_doc", "__row_text"], "left_semi").dropDuplicates(["__row_doc", "__row_text"])
     texts = texts.select("__row_doc", "__row_text", word_array(F.translate("text", UPPER, UPPER.lower())).alias("words"))
     runs = F.concat(*(window_texts(F.col("words"), m) for m in [*short, WINDOW]))
-    runs = texts.select("__row_doc", "__row_text", F.explode(runs).alias("w")).select("__row_doc", "__row_text", "w.*")
+    runs = each(texts, ["__row_doc", "__row_text"], runs, "w").select("__row_doc", "__row_text", "w.*")
     side, _ = sized(windows, SMALL)
     met = runs.join(side, ["gram", "size"])
     spans = met.groupBy("__row_doc", "__row_text").agg(F.collect_set(F.struct("start", "size")).alias("windows"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
