@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import checkpointed, row_keys, table
+from marketlens.llm.common import checkpointed, each, row_keys, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -89,7 +89,7 @@ def candidates(docs):
     for n, (_, _, p) in enumerate(forms):
         rows = rows.withColumn(f"g{n}", F.when(F.size(f"m{n}") > 0, F.split("text", p, -1)).otherwise(none))
     spans = F.concat(*(_with_starts(F.col(f"g{n}"), F.col(f"m{n}"), kind, loose) for n, (kind, loose, _) in enumerate(forms)))
-    return rows.select("__row_doc", "__row_text", F.explode(spans).alias("s")).select("__row_doc", "__row_text", "s.*")
+    return each(rows, ["__row_doc", "__row_text"], spans, "s").select("__row_doc", "__row_text", "s.*")
 
 
 def _luhn(digits):
