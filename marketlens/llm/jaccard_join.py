@@ -30,7 +30,7 @@ WORDS = 5  # words in a shingle
 PERCENT = 80  # least similarity
 BITS = 2  # of a bitmap for each shingle, rounded up to a power of two
 NEAR = 1_000_000  # keys (16 MB) up to which a list of them is broadcast
-TILE = 1024  # members of a block of a tile
+TILE = 256  # members of a block of a tile
 SAMPLE = 4000  # documents from which frequent shingles are learned
 FREQUENT = 3  # documents of the sample that make a shingle frequent
 U = np.uint64
@@ -360,9 +360,10 @@ def join(docs):
     first = components(links)
     known = tiles.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = known.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    mixed, _ = sized(checkpointed(mixed.select("tile", "m")), NEAR)
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     part = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    cut = known.join(mixed.select("tile", "m"), "tile").withColumn("blocks", blocks).withColumn("part", part)
+    cut = known.join(mixed, "tile").withColumn("blocks", blocks).withColumn("part", part)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
     cut = cut.join(classes.select("key", "n", "bits"), "key").select("tile", "lo", "hi", "part", "key", "component", "n", "bits")
     kind = "tile long, lo int, hi int, part int, key long, component long, n long, bits binary"
