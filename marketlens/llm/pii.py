@@ -195,12 +195,12 @@ def _merged(spans):
 
 def redact(docs):
     """All columns, with each span of text replaced by its kind in brackets."""
-    rows = row_keys(docs).join(find(docs), ["__row_doc", "__row_text"], "left")
+    rows = row_keys(docs).join(find(docs).withColumnRenamed("spans", "__spans"), ["__row_doc", "__row_text"], "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).alias("out"))).otherwise(a)
-    text = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)
+    text = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)
     return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 

@@ -178,6 +178,8 @@ def test_pii(spark, empty):
     clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
     assert "a.b@x.com" not in clean[0] and "[EMAIL]" in clean[0] and clean[2] is None and clean[4] == "no data"
     assert pii.redact(frame).count() == len(rows) and pii.redact(empty).count() == 0
+    more = frame.withColumn("spans", F.lit(1)).withColumn("kind", F.lit("x")).withColumn("words", F.lit(2))
+    assert pii.redact(more).columns == more.columns and pii.redact(more).where("spans = 1 and kind = 'x'").count() == len(rows)
 
 
 def test_license_scan(spark, docs, empty):
