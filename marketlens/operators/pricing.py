@@ -127,7 +127,7 @@ def q_sentences(spark, d):
 def q_scale(spark, d):
     """Upper-middle price per store outside the plausible range."""
     p = view(spark, d, "products").where("harga > 0")
-    s = p.groupBy("store_id").agg(F.sort_array(F.collect_list("harga")).alias("h")).withColumn("tengah", F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int")))
+    s = p.groupBy("store_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY harga DESC)").alias("tengah"))
     return s.select("store_id", F.col("tengah").cast("long").alias("tengah"), (~F.col("tengah").between(100_000, 50_000_000)).alias("janggal"))
 
 
