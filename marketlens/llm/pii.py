@@ -84,7 +84,7 @@ def candidates(docs):
     forms = [(k, loose, p) for loose, group in ((False, STRICT), (True, LOOSE)) for k, p in group.items()]
     for n, (kind, loose, p) in enumerate(forms):
         rows = rows.withColumn(f"m{n}", _spans(F.col("text"), kind, p, HINT.get((kind, int(loose)))))
-    rows = rows.where(" + ".join(f"size(m{n})" for n in range(len(forms))) + " > 0").dropDuplicates(["__row_doc", "__row_text"])
+    rows = rows.where(" + ".join(f"size(m{n})" for n in range(len(forms))) + " > 0")
     none = F.array().cast("array<string>")
     for n, (_, _, p) in enumerate(forms):
         rows = rows.withColumn(f"g{n}", F.when(F.size(f"m{n}") > 0, F.split("text", p, -1)).otherwise(none))
