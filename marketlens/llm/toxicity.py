@@ -1,12 +1,12 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Text is lower-cased, homoglyphs and digit substitutions are folded to Latin letters, and one
-automaton finds all lexicon words and exception phrases. A match must stand alone as a word; one
-inside an exception phrase doesn't count. A document's evidence is the sum of its words'
+automaton finds all lexicon words and exception phrases. A match must stand alone as a word, or
+begin one if the entry is a stem; one inside an exception phrase doesn't count. A document's evidence is the sum of its words'
 weights (capped per word) and that sum per square root of its length; a logistic model turns both into a score.
 
-Weights and the logistic model are learned from at most SAMPLE labelled rows (in hash order of the
-text), whatever the size of the input. Words join the lexicon one by one, the best explained share
+Weights and the logistic model are learned from at most SAMPLE labelled rows (in hash order of their
+ids), whatever the size of the input. Words join the lexicon one by one, the best explained share
 of toxic rows first; rows that a word explains leave the count, so words that merely accompany it
 in copies don't follow. Seed words start with a prior.
 
@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import held_out, table
+from marketlens.llm.common import checkpointed, each, held_out, labelled_sample, table
 
-SAMPLE = 20_000  # labelled rows that teach, at most
+SAMPLE = 8000  # labelled rows that teach, at most
 LEAST = 3  # toxic rows that a learned word must explain
 PRECISION = 0.6  # least share of toxic rows among the rows a learned word explains
 LEXICON = 500  # learned words, at most
 THRESHOLD = 0.3
+STEM = "*"  # ends an entry that may be continued: a learned stem
+STEMS = range(4, 9)  # lengths of stems that may be learned
 
 # Seed words and exception phrases in which they are harmless.
 SEEDS = "idiot moron scum worthless pathetic clown trash loser disgusting stupid dumb imbecile cretin jerk bastard vermin filth retard subhuman degenerate scumbag garbage dumbass asshole bitch slut whore idioten abschaum dummkopf arschloch trottel connard salope crétin ordure imbécil estúpido basura escoria".split()
@@ -71,7 +73,7 @@ class Lexicon:
     def build(self):
         self.automaton = ahocorasick.Automaton()
         for w in self.weights:
-            self.automaton.add_word(fold(w), (len(w), w))
+            self.automaton.add_word(fold(w.removesuffix(STEM)), (len(w.removesuffix(STEM)), w))
         for p in self.exceptions:
             self.automaton.add_word(fold(p), (len(p), None))
         self.automaton.make_automaton()
@@ -87,7 +89,9 @@ class Lexicon:
         found, shields = [], []
         for last, (size, word) in self.automaton.iter(low):
             start, end = last - size + 1, last + 1
-            if (start and is_letter(low[start - 1])) or (end < len(low) and is_letter(low[end])):
+            if start and is_letter(low[start - 1]):
+                continue
+            if end < len(low) and is_letter(low[end]) and not (word or "").endswith(STEM):
                 continue
             (found.append((start, end, word)) if word is not None else shields.append((start, end)))
         if shields:
@@ -116,12 +120,13 @@ def learn_weights(rows):
     left = set(range(len(rows))) - set().union(*(holds[fold(w)] for w in lexicon))
     pool = {w: d for w, d in holds.items() if len(d & toxic) >= LEAST and len(w) > 2}
     while len(lexicon) < LEXICON + len(SEEDS):
-        best = None
+        best, open_ = None, toxic & left
+        pool = {w: d for w, d in pool.items() if len(d & open_) >= LEAST}
         for w in sorted(pool):
             d = pool[w] & left
             p = len(d & toxic)
             n = len(d) - p
-            if p >= LEAST and p >= PRECISION * (p + n) and p > 3 * base * (p + n) and (best is None or p - 2 * n > best[0]):
+            if p >= PRECISION * (p + n) and p > 3 * base * (p + n) and (best is None or p - 2 * n > best[0]):
                 best = (p - 2 * n, w, p, n)
         if best is None:
             break
@@ -148,43 +153,36 @@ def fit_scores(features, toxic, rounds=400):
     return np.array([c[0], *(c[1:] / scale)])
 
 
-def labelled_sample(docs, labels, column):
-    """Text and label of at most SAMPLE rows that may teach, in hash order of their text."""
-    some = labels.where(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    return rows.join(some, "doc_id").select("text", "y").orderBy(F.xxhash64("text"), "text", "y").limit(SAMPLE)
+def entries(text):
+    """Folded words of a text and their stems: what the lexicon may learn from it."""
+    words = {w for w in TWIN.findall(fold(text)) if 2 < len(w) < 25}
+    return words | {w[:k] + STEM for w in words for k in STEMS if len(w) > k}
 
 
-def _folded_words(batches):
-    for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            words = sorted({w for w in TWIN.findall(fold(text)) if 2 < len(w) < 25})
-            yield pa.RecordBatch.from_arrays([pa.array([T.span_hashes(*_span(text))[0].view(np.int64)]), pa.array([y], pa.int32()), pa.array([words], pa.list_(pa.string()))], ["row", "y", "words"])
+def _entries(shared=None):
+    """(y, words) of sample rows: all entries, or those in a shared set."""
 
+    def read(batches):
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                words = [sorted(entries(t) if shared is None else entries(t) & shared.value) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
 
-def _span(text):
-    data = np.frombuffer((text or " ").encode() or b" ", np.uint8)
-    return data, np.array([0]), np.array([len(data)])
+    return read
 
 
 def learn(docs, labels):
     """The lexicon and score coefficients from a bounded sample of labelled rows."""
-    sample = labelled_sample(docs, labels, "toxic").persist()
-    rows = sample.mapInArrow(_folded_words, "row long, y int, words array<string>").persist()
-    n = rows.groupBy("y").count().collect()
-    words = rows.select("row", "y", F.explode("words").alias("w")).dropDuplicates(["row", "w"])
-    seeds = [fold(w) for w in SEEDS]
-    common = words.groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(((F.col("p") >= LEAST) & (F.col("p") >= 0.2 * F.col("n"))) | F.col("w").isin(seeds)).select("w")
-    kept = rows.select("row", "y").distinct().join(words.join(F.broadcast(common), "w").groupBy("row").agg(F.collect_set("w").alias("words")), "row", "left").collect()
-    sample_rows = sorted((r.row, r.y, tuple(sorted(r.words or ()))) for r in kept)
-    lexicon = Lexicon(learn_weights([(w, y) for _, y, w in sample_rows])) if n else Lexicon({w: 2.0 for w in SEEDS})
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    pairs = sample.mapInArrow(_evidence(shared), "y int, total double, density double").collect()
+    context, kind = docs.sparkSession.sparkContext, "y int, words array<string>"
+    sample = checkpointed(labelled_sample(docs, labels, "toxic", SAMPLE).groupBy("text").agg(F.max("y").alias("y")))
+    counts = each(sample.mapInArrow(_entries(), kind), ["y"], "words", "w").groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    common = counts.where((F.col("p") >= LEAST) & (F.col("p") >= 0.4 * F.col("n"))).select("w").collect()
+    known = context.broadcast(frozenset({r.w for r in common} | {fold(w) for w in SEEDS}))
+    rows = sorted((tuple(r.words), r.y) for r in sample.mapInArrow(_entries(known), kind).collect())
+    lexicon = Lexicon(learn_weights(rows) if rows else dict.fromkeys(SEEDS, 2.0))
+    pairs = sample.mapInArrow(_evidence(context.broadcast(lexicon)), "y int, total double, density double").collect()
     pairs = sorted((r.total, r.density, r.y) for r in pairs)
-    coefficients = fit_scores([p[:2] for p in pairs], [p[2] for p in pairs])
-    rows.unpersist()
-    sample.unpersist()
-    return lexicon, coefficients
+    return lexicon, fit_scores([p[:2] for p in pairs], [p[2] for p in pairs])
 
 
 def _evidence(shared):
@@ -219,10 +217,11 @@ def _clean(shared, threshold):
     def clean(batches):
         lexicon, c = shared.value
         for batch in batches:
-            got = np.array([lexicon.evidence(t) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
-            kept = batch.filter(pa.array(1 / (1 + np.exp(-(c[0] + np.log1p(got) @ c[1:]))) < threshold))
-            if kept.num_rows:
-                yield kept
+            for part in T.slices(batch, "text"):
+                got = np.array([lexicon.evidence(t) for t in part.column("text").to_pylist()]).reshape(-1, 2)
+                kept = part.filter(pa.array(1 / (1 + np.exp(-(c[0] + np.log1p(got) @ c[1:]))) < threshold))
+                if kept.num_rows:
+                    yield kept
 
     return clean
 
