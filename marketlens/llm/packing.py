@@ -8,7 +8,8 @@ the pieces of its length. Ranks are counted within salted runs of (length, salt)
 summed over salts, so a length that a third of all pieces share is spread over many tasks.
 
 Text is tokenised word by word, split at ASCII white space, which the tokenizer drops and never
-merges over; each task encodes a distinct word once. Null and empty texts are one piece holding the end id.
+merges over; each task encodes a distinct word once, and many words as one text, parted by a
+character that is a token of its own. Null and empty texts are one piece holding the end id.
 Repeated rows are packed once each. Other columns are ignored.
 """
 
@@ -29,6 +30,8 @@ END = 0
 SALTS = 64  # runs of a length, at least
 RUN = 100_000  # pieces that a run may hold on average
 KNOWN = 400_000  # words whose ids a task remembers
+TOGETHER = 512  # words encoded as one text
+PARTERS = "²³¹½¼¾"  # numerals, which the tokenizer never joins with their neighbours
 
 
 def default_tokenizer():
@@ -45,11 +48,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A character that is always a piece of its own, with one id: it parts words encoded together.
+        one = [(c, e.ids) for c, e in zip(PARTERS, self.tokenizer.encode_batch(list(PARTERS), add_special_tokens=False), strict=True)]
+        self.parter, self.parter_id = next(((c, ids[0]) for c, ids in one if len(ids) == 1), (None, None))
         self.clear()
 
     def clear(self):
         self.names, self.at, self.size, self.ids = np.zeros(0, T.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def one_by_one(self, texts):
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def encode_words(self, texts):
+        """Flat ids and the number of ids of each word."""
+        if self.parter is None or any(self.parter in t for t in texts):
+            return self.one_by_one(texts)
+        runs = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        got = self.tokenizer.encode_batch_fast([f" {self.parter} ".join([*r, ""]) for r in runs], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        ends = np.flatnonzero(ids == self.parter_id)
+        if len(ends) != len(texts):
+            return self.one_by_one(texts)
+        return ids[ids != self.parter_id], np.diff(np.concatenate([[-1], ends])) - 1
+
     def encode(self, column):
         """Flat ids of all texts with END after each, and their bounds (n+1)."""
         h, first, data, starts, ends = T.words(column, "space")
@@ -63,10 +85,9 @@ class Encoder:
         if new.any():
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
+            got, size = self.encode_words(texts)
             begin = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+            self.ids = np.concatenate([self.ids, got])
             place = np.searchsorted(self.names, name[new])
             self.names, self.at, self.size = np.insert(self.names, place, name[new]), np.insert(self.at, place, begin), np.insert(self.size, place, size)
         at = np.searchsorted(self.names, name)
