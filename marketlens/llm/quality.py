@@ -3,7 +3,7 @@
 Every word and every character n-gram of NGRAMS bytes that touches a word has a hashed bucket with
 a learned vector of DIM numbers. A document is the mean of its vectors; a softmax over two classes
 gives the score. Buckets, softmax and vectors are trained by stochastic gradient descent in numpy
-on at most SAMPLE labelled rows (in hash order of the text), whatever the size of the input. As
+on at most SAMPLE labelled rows (in hash order of their ids), whatever the size of the input. As
 everything after the mean is linear, scoring folds each vector to one number per bucket.
 
 Null and empty texts have no features and get the score of the bias alone. Repeated rows score
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import held_out, table
+from marketlens.llm.common import held_out, labelled_sample, table
 
 SAMPLE = 3000  # labelled rows that teach, at most
 BUCKETS = 1 << 16
@@ -110,9 +110,7 @@ def train(texts, labels, seed=7):
 
 def learn(docs, labels):
     """The model from a bounded sample of labelled rows."""
-    some = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    rows = rows.join(some, "doc_id").select("text", "y").orderBy(F.xxhash64("text"), "text", "y").limit(SAMPLE).collect()
+    rows = sorted(labelled_sample(docs, labels, "quality", SAMPLE).collect())
     return train([r.text for r in rows], [r.y for r in rows])
 
 
