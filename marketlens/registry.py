@@ -9,6 +9,7 @@ MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators
 CUT = (
     "agg1_dashboard", "agg3_branches", "agg6_campaign", "qry1_lead_page", "qry2_lead_detail", "io8_lead_sink", "io9_export", "ded2_joi1_admission", "ded3_refresh_due", "ded4_two_stage_key",
     "cdc1_contact_changes", "cdc2_change_text", "ups1_cdc3_upsert", "ups5_crm_edits", "joi2_3_inherit", "sco3_6_scores", "dst1_categories", "set1_union", "win2_latest_changes", "prs12_ded3_readers",
+    "prs1_2_3_7_card_values", "prs8_product_cards", "agg7_rejects",
 )
 
 

@@ -125,9 +125,11 @@ FROM customer
 
 # Views that hold every row, for the queries named ..._whole. The view businesses keeps one customer in four
 # below 700: here each customer is one business with a key of its own, and each two listings with a cid share one.
+# The view card_text keeps every third order: here each lineitem row is a card.
 WHOLE = {
     "businesses": VIEWS["businesses"].replace("c_custkey % 700", "c_custkey").replace(" WHERE c_custkey % 4 = 1 AND c_custkey < 700", ""),
     "listings": VIEWS["listings"].replace("c_custkey % 700", "c_custkey - c_custkey % 8 + 1"),
+    "card_text": VIEWS["card_text"].replace(" WHERE l_orderkey % 3 = 0", ""),
 }
 _WHOLE = ContextVar("whole", default=False)
 

@@ -22,3 +22,11 @@ def test_each_customer_is_a_business(spark):
     met = QUERIES["ded2_joi1_admission_whole"](spark, DIR).where("status <> 'BARU'")
     assert met.select("place_key").distinct().count() == (n + 7) // 8 > 175
     assert QUERIES["ups1_cdc3_upsert_whole"](spark, DIR).where(F.col("status_leads").isNotNull()).count() == b.where("status_leads is not null").count()
+
+
+def test_each_lineitem_is_a_card(spark):
+    n = table(spark, DIR, "lineitem").count()
+    values = QUERIES["prs1_2_3_7_card_values_whole"](spark, DIR)
+    assert values.count() == n
+    cards = QUERIES["prs8_product_cards_whole"](spark, DIR)
+    assert cards.where("seq div 10 % 3 <> 0").count() > cards.where("seq div 10 % 3 = 0").count() > 0
