@@ -180,13 +180,21 @@ def q_two_stage(spark, d):
 
 
 def q_ups_products(spark, d):
-    """Products upserted from price observations; the own flag stays."""
+    """Products of some stores upserted from those of others; the own flag stays."""
     p = view(spark, d, "products").where("store_id in ('st-1', 'st-2', 'st-3')").groupBy("product_key").agg(F.max("harga").alias("harga"), F.max("is_own").alias("is_own"))
     current = p.withColumn("times_seen", F.lit(1)).withColumn("last_scraped_at", F.lit("2023"))
     feed = view(spark, d, "products").where("store_id in ('st-2', 'st-4')").select("product_key", F.col("terjual").alias("seq"), F.when(F.col("harga") > 0, F.col("harga")).alias("harga"), F.lit(9).alias("is_own"))
     return ledger.upsert(current, feed, "product_key", ["seq", "harga"], keep=("is_own",)).select("product_key", "harga", "is_own", "times_seen")
 
 
+def q_ups_products_whole(spark, d):
+    """All products upserted from the prices of all observations; the own flag stays."""
+    p = view(spark, d, "products").groupBy("product_key").agg(F.max("harga").alias("harga"), F.max("is_own").alias("is_own"))
+    current = p.withColumn("times_seen", F.lit(1)).withColumn("last_scraped_at", F.lit("2023"))
+    feed = view(spark, d, "product_obs").select("product_key", "seq", F.when(F.col("harga") > 0, F.col("harga")).cast("long").alias("harga"), F.lit(9).alias("is_own"))
+    return ledger.upsert(current, feed, "product_key", ["seq", "harga"], keep=("is_own",)).select("product_key", "harga", "is_own", "times_seen")
+
+
 def q_last_write(spark, d):
     """The last value written per platform and store."""
     v = view(spark, d, "price_obs").where("harga is not null")
@@ -202,8 +210,17 @@ def q_crm_edits(spark, d):
 
 
 def q_sheet_order(spark, d):
-    """Rows in sheet order: variant, then price, unpriced last."""
-    g = pricing.groups(view(spark, d, "products")).where("store_id in ('st-1', 'st-2')")
+    """The sheet of two stores."""
+    return sheet_order(view(spark, d, "products")).where("store_id in ('st-1', 'st-2')")
+
+
+def q_sheet_order_whole(spark, d):
+    return sheet_order(view(spark, d, "products"))
+
+
+def sheet_order(products):
+    """Rows of each store in sheet order: variant, then price, unpriced last."""
+    g = pricing.groups(products)
     w = Window.partitionBy("store_id").orderBy("varian", F.when(F.col("harga") > 0, F.col("harga")).asc_nulls_last(), "product_key", "terjual", "nama_produk")
     return g.select("store_id", "product_key", "varian", F.row_number().over(w).alias("urut"))
 
@@ -286,9 +303,11 @@ def build():
         "joi9_targets": (q_targets, with_views("SELECT jenis, area, concat(jenis, ' ', area) AS kueri FROM (SELECT DISTINCT kategori AS jenis FROM v_listings WHERE kategori IS NOT NULL), (SELECT DISTINCT area_pencarian AS area FROM v_listings)", L_)),
         "ded4_two_stage_key": (q_two_stage, with_views(f"WITH c AS (SELECT {PLACE_KEY_SQL} AS place_key FROM v_listings) SELECT CASE WHEN b.place_key IS NULL THEN 'BARU' WHEN try_cast(last_scraped_at AS TIMESTAMP) IS NULL OR try_cast(last_scraped_at AS TIMESTAMP) < TIMESTAMP '2024-01-15' - INTERVAL 182 DAY THEN 'LAMA_KEDALUWARSA' ELSE 'LAMA_SEGAR' END AS status, count(*) AS n FROM c LEFT JOIN v_businesses b USING (place_key) GROUP BY 1", L_, B)),
         "ups2_products": (q_ups_products, with_views("WITH p AS (SELECT product_key, max(harga) AS harga, max(is_own) AS is_own FROM v_products WHERE store_id IN ('st-1', 'st-2', 'st-3') GROUP BY 1), f AS (SELECT product_key, last(CASE WHEN harga > 0 THEN harga END ORDER BY terjual, CASE WHEN harga > 0 THEN harga END NULLS FIRST) FILTER (WHERE harga > 0) AS harga, count(*) AS n FROM v_products WHERE store_id IN ('st-2', 'st-4') GROUP BY 1) SELECT coalesce(p.product_key, f.product_key) AS product_key, coalesce(f.harga, p.harga) AS harga, coalesce(p.is_own, 9) AS is_own, (CASE WHEN p.product_key IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS times_seen FROM p FULL JOIN f ON p.product_key = f.product_key", PR)),
+        "ups2_products_whole": (q_ups_products_whole, with_views("WITH p AS (SELECT product_key, max(harga) AS harga, max(is_own) AS is_own FROM v_products GROUP BY 1), f AS (SELECT product_key, last(harga ORDER BY seq, harga) FILTER (WHERE harga > 0) AS harga, count(*) AS n FROM v_product_obs GROUP BY 1) SELECT coalesce(p.product_key, f.product_key) AS product_key, coalesce(f.harga, p.harga) AS harga, coalesce(p.is_own, 9) AS is_own, (CASE WHEN p.product_key IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS times_seen FROM p FULL JOIN f ON p.product_key = f.product_key", PR, "product_obs")),
         "ups4_last_write": (q_last_write, with_views("SELECT store_id, harga, seq FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY captured_at DESC, seq DESC, harga DESC) AS n FROM v_price_obs WHERE harga IS NOT NULL) WHERE n = 1", O)),
         "ups5_crm_edits": (q_crm_edits, with_views("SELECT place_key, CASE WHEN skor_pembeli > 60 THEN 'Follow Up' ELSE status_leads END AS status_leads, CASE WHEN skor_pembeli > 60 AND times_seen > 2 THEN '2024-02-01' ELSE tanggal_follow_up END AS tanggal_follow_up FROM v_businesses", B)),
         "srt1_sheet_order": (q_sheet_order, with_views(f"WITH {L.VARIANT_SQL} SELECT store_id, product_key, varian, row_number() OVER (PARTITION BY store_id ORDER BY varian, CASE WHEN harga > 0 THEN harga END ASC NULLS LAST, product_key, terjual, nama_produk) AS urut FROM vr WHERE store_id IN ('st-1', 'st-2')", PR)),
+        "srt1_sheet_order_whole": (q_sheet_order_whole, with_views(f"WITH {L.VARIANT_SQL} SELECT store_id, product_key, varian, row_number() OVER (PARTITION BY store_id ORDER BY varian, CASE WHEN harga > 0 THEN harga END ASC NULLS LAST, product_key, terjual, nama_produk) AS urut FROM vr", PR)),
         "mat8_product_lines": (q_lines, None),
         "mat11_win5_shelf_scores": (q_shelf_scores, None),
         "mat12_search_terms": (q_search_terms, None),

@@ -101,6 +101,12 @@ SELECT concat('p:', cast(l_partkey AS STRING)) AS product_key,
   CASE WHEN l_linenumber % 7 = 0 THEN 0 WHEN l_orderkey % 41 = 0 THEN NULL ELSE 100000 + 5000 * (l_orderkey % 3) END AS harga,
   cast(l_quantity AS BIGINT) % 2 AS terjual, l_orderkey % 50 AS stok
 FROM lineitem
+""",
+    "product_obs": r"""
+SELECT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'tkp:' ELSE 'shp:' END, cast(l_suppkey AS STRING), ':', cast(l_partkey AS STRING), CASE WHEN l_linenumber = 7 THEN ':baru' ELSE '' END) AS product_key,
+  l_orderkey * 10 + l_linenumber AS seq,
+  CASE WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_linenumber = 6 THEN 0 ELSE 100000 + 5000 * (l_orderkey % 3) END AS harga
+FROM lineitem
 """,
     "card_text": r"""
 SELECT l_orderkey * 10 + l_linenumber AS seq,
@@ -147,9 +153,9 @@ def whole_views():
 def whole(query):
     """A query over the views that hold every row."""
 
-    def run(spark, sf_dir):
+    def run(spark, sf_dir, *args):
         with whole_views():
-            return query(spark, sf_dir)
+            return query(spark, sf_dir, *args)
 
     return run
 

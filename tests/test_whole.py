@@ -30,3 +30,17 @@ def test_each_lineitem_is_a_card(spark):
     assert values.count() == n
     cards = QUERIES["prs8_product_cards_whole"](spark, DIR)
     assert cards.where("seq div 10 % 3 <> 0").count() > cards.where("seq div 10 % 3 = 0").count() > 0
+
+
+def test_every_store_and_feed_row(spark):
+    n = view(spark, DIR, "products").count()
+    sheet = QUERIES["srt1_sheet_order_whole"](spark, DIR)
+    assert sheet.count() == n and sheet.select("store_id").distinct().count() == view(spark, DIR, "products").select("store_id").distinct().count() > 2
+    keys = view(spark, DIR, "products").select("product_key").distinct()
+    seen = QUERIES["ups2_products_whole"](spark, DIR)
+    assert seen.agg(F.sum("times_seen")).first()[0] == keys.count() + table(spark, DIR, "lineitem").count()
+    assert seen.where("product_key like '%:baru' and is_own = 9").count() > 0
+    with whole_views():
+        before = view(spark, DIR, "businesses").agg(F.sum("times_seen")).first()[0]
+    fed = QUERIES["st3_upsert_feed_whole"](spark, DIR)
+    assert fed.agg(F.sum("times_seen")).first()[0] == before + table(spark, DIR, "customer").count()
