@@ -39,8 +39,8 @@ LOOSE = {
     "card": r"(?<![0-9./_-])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./_-])",
     "phone": r"(?<![0-9A-Za-z.+-])\(?0[0-9]{1,4}\)?[\x20./-][0-9]{3,4}[\x20./-]?[0-9]{3,5}(?![0-9A-Za-z.-])",
 }
-# A cheap test that a text can hold a form at all.
-HINT = {("email", 0): "@", ("phone", 0): "+", ("email", 1): "at", ("ip", 1): ":"}
+# A cheap test that a text can hold a form at all, by the form's own rule of case.
+HINT = {("email", 0): "@", ("phone", 0): r"\+", ("email", 1): r"(?i)[\[(\x20]at[\])\x20]", ("ip", 1): ":"}
 CUES = {
     "contact": r"(?i)(?:e-?mail|contact|write to|reach|@|mailto)[^\n]{0,12}$",
     "number": r"(?i)(?:tel|phone|call|mobile|fax|whatsapp)[^\n]{0,12}$",
@@ -59,7 +59,7 @@ def _spans(text, kind, pattern, hint):
     """All leftmost matches of a pattern as structs, by splitting at them and adding lengths."""
     pattern = F.lit(pattern)
     none = F.array().cast("array<string>")
-    has = F.contains(text, F.lit(hint)) if hint else F.lit(True)
+    has = F.rlike(text, F.lit(hint)) if hint else F.lit(True)
     found = F.when(has, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none)
     return found
 

@@ -182,6 +182,13 @@ def test_pii(spark, empty):
     assert pii.redact(more).columns == more.columns and pii.redact(more).where("spans = 1 and kind = 'x'").count() == len(rows)
 
 
+def test_pii_spelled_out_in_any_case(spark):
+    texts = ["JOHN [AT] EXAMPLE [DOT] COM", "Ann (At) Host.Org", "BOB AT SITE DOT NET", "bob [at] site [dot] org", "ATOM", "é"]
+    frame = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], KIND)
+    found = pii.candidates(frame).where("loose and kind = 0")
+    assert sorted((r["__row_doc"], r.value) for r in found.collect()) == list(enumerate(texts[:4]))
+
+
 def test_license_scan(spark, docs, empty):
     texts = ["The MIT License and mit license, MIT  licensed; cc by cc-by", "Released under the Apache License, Version 2.0. GNU General Public License", None, "", "gnu general public", "Licensed under CC BY-NC 4.0.", "MIT License"]
     frame = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], KIND).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
