@@ -74,11 +74,14 @@ def q_hosts(spark, d):
     return v.select("seq", S.bare_host(F.col("website")).alias("host"), S.social_url(F.col("website")).alias("sosial"), S.own_site(F.col("website"), F.col("web_platform"), F.col("web_status")).alias("efektif"), F.lower(F.coalesce("website", F.lit(""))).startswith("https://").alias("https"))
 
 
-def q_status(spark, d):
+def status():
     """Status of a captured response by its code, as a function of the page id's last digit."""
     code = F.when(F.col("page_id") % 10 == 0, 503).when(F.col("page_id") % 10 == 1, 404).when(F.col("page_id") % 10 == 2, F.lit(None).cast("int")).otherwise(200)
-    state = F.when(code.isNull() | (code >= 500), "mati").when(code >= 400, "error").otherwise("aktif")
-    return table(spark, d, "pages").select("page_id", state.alias("web_status"), F.col("url").startswith("https://").alias("web_https"))
+    return F.when(code.isNull() | (code >= 500), "mati").when(code >= 400, "error").otherwise("aktif")
+
+
+def q_status(spark, d):
+    return table(spark, d, "pages").select("page_id", status().alias("web_status"), F.col("url").startswith("https://").alias("web_https"))
 
 
 def q_contact_links(spark, d):
@@ -88,6 +91,37 @@ def q_contact_links(spark, d):
     return x.withColumn("n", F.row_number().over(w)).where("n <= 2").select("page_id", "href", "n")
 
 
+def page_emails(html):
+    """Addresses of a page: those of mailto links first, then those in its text."""
+    mailto = F.regexp_extract_all(html, F.lit("(?i)href=[\"']mailto:([^\"'?]*)"), F.lit(1))
+    return emails(F.concat_ws(" ", F.array_join(mailto, " "), F.regexp_replace(html, "<[^>]*>", " ")))
+
+
+def absolute(base, href):
+    """A link of a page as a full URL without its fragment; other schemes stay as they are."""
+    site, folder = F.regexp_extract(base, "^(https?://[^/?#]*)", 1), F.regexp_extract(base, "^(https?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    full = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href)).when(href.startswith("/"), F.concat(site, href))
+    return F.regexp_replace(full.otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), href)), "#.*$", "")
+
+
+def contact_emails(pages):
+    """Per page (page_id, url, html, web_status) its e-mail; an active one without takes that of its first two contact links on the same host."""
+    own = F.get(page_emails(F.col("html")), 0)
+    host = lambda u: F.lower(F.regexp_extract(u, "^https?://([^/?#]*)", 1))
+    anchor = r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+    pairs = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(anchor), F.lit(g)).alias(n) for g, n in ((1, "href"), (2, "teks"))))
+    x = pages.where(own.isNull() & (F.col("web_status") == "aktif")).select("page_id", "url", F.posexplode(pairs).alias("pos", "a"))
+    x = x.where(F.concat_ws(" ", "a.href", F.regexp_replace("a.teks", "<[^>]*>", " ")).rlike(CONTACT)).select("page_id", "url", "pos", absolute(F.col("url"), F.col("a.href")).alias("tujuan"))
+    x = x.where(host(F.col("tujuan")) == host(F.col("url"))).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where("n <= 2")
+    linked = pages.select(F.col("url").alias("tujuan"), "page_id", own.alias("mail")).where("mail is not null").groupBy("tujuan").agg(F.min_by("mail", "page_id").alias("mail"))
+    second = x.join(linked, "tujuan").groupBy("page_id").agg(F.min_by("mail", "n").alias("kontak"))
+    return pages.select("page_id", own.alias("mail")).join(second, "page_id", "left").select("page_id", F.coalesce("mail", "kontak", F.lit("")).alias("email"), (F.col("mail").isNull() & F.col("kontak").isNotNull()).alias("dari_kontak"))
+
+
+def q_contact_emails(spark, d):
+    return contact_emails(table(spark, d, "pages").withColumn("web_status", status()))
+
+
 def q_attach(spark, d):
     """Listings with signals of their pages; an empty new value never replaces a known one."""
     p = table(spark, d, "pages").select((F.col("page_id") * 6 + 2).alias("seq"), F.lit("").alias("ig"), F.coalesce(F.get(emails(F.col("html")), 0), F.lit("")).alias("mail"), latest_year(F.col("html"), 2026).alias("tahun"))
@@ -118,6 +152,7 @@ SELECT page_id, CASE WHEN {hosts('host', X.SOCIAL_HOSTS)} THEN 'sosmed_saja' WHE
         "web1_9_hosts": (q_hosts, with_views(f"WITH {SIGNALS} SELECT seq, host, sosial, punya AS efektif, u LIKE 'https://%' AS https FROM sg", "listings")),
         "web8_status": (q_status, "SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'mati' WHEN 2 THEN 'mati' WHEN 1 THEN 'error' ELSE 'aktif' END AS web_status, url LIKE 'https://%' AS web_https FROM pages"),
         "web10_contact_links": (q_contact_links, """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages), e AS (SELECT page_id, unnest(ls) AS href, generate_subscripts(ls, 1) AS pos FROM l) SELECT * FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM e WHERE regexp_matches(href, '(?i)(kontak|contact|hubungi|about|tentang|profil)')) WHERE n <= 2"""),
+        "web10_contact_emails": (q_contact_emails, None),
         "web11_attach": (q_attach, with_views(f"WITH h AS (SELECT *, {near} AS nr, {clean('html')} AS e FROM pages), p AS (SELECT page_id * 6 + 2 AS seq, coalesce(e[1], '') AS mail, {years} AS tahun FROM h) SELECT l.seq, coalesce(nullif(mail, ''), email) AS email, instagram, tahun FROM v_listings l LEFT JOIN p USING (seq)", "listings")),
         "prs14_blocked_pages": (q_blocked, "SELECT page_id, CASE " + " ".join(f"WHEN contains(lower(left(html, 3000)), '{w}') THEN '{w}'" for w in BLOCKED) + " END AS alasan, length(html) AS n FROM pages"),
     }

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketlens import registry
+from marketlens.operators import pages
 from marketlens.sources.tables import table
 from marketlens.sources.views import view, whole_views
 
@@ -44,3 +45,20 @@ def test_every_store_and_feed_row(spark):
         before = view(spark, DIR, "businesses").agg(F.sum("times_seen")).first()[0]
     fed = QUERIES["st3_upsert_feed_whole"](spark, DIR)
     assert fed.agg(F.sum("times_seen")).first()[0] == before + table(spark, DIR, "customer").count()
+
+
+def test_contact_page_gives_the_missing_email(spark):
+    a = lambda href, text="x": f'<a class="k" href="{href}">{text}</a>'
+    mail = a("mailto:me@shop.id")
+    rows = [
+        (1, "https://a.id/", a("https://b.id/contact") + a("/contact#form") + a("/about"), "aktif"),
+        (2, "https://a.id/contact", "<p>hi@a.id</p>", "aktif"),
+        (3, "https://a.id/about", "late@a.id", "aktif"),
+        (4, "https://b.id/contact", "x@b.id " + mail, "aktif"),
+        (5, "https://a.id/en/home", a("/x") + a("/y", "<b>Hubungi</b> kami") + a("/about") + a("/contact"), "aktif"),
+        (6, "https://a.id", a("contact"), "mati"),
+        (7, "https://a.id", a("contact"), "aktif"),
+    ]
+    got = pages.contact_emails(spark.createDataFrame(rows, "page_id long, url string, html string, web_status string"))
+    want = [(1, "hi@a.id", True), (2, "hi@a.id", False), (3, "late@a.id", False), (4, "me@shop.id", False), (5, "late@a.id", True), (6, "", False), (7, "hi@a.id", True)]
+    assert sorted(map(tuple, got.collect())) == want
