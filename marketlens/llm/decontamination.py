@@ -6,7 +6,8 @@ fingerprints of documents and items misses no shared window. Documents that shar
 again, and their hits are extended: every window of WINDOW words (or a whole shorter item) is
 compared word by word, and the hit words are the union of the windows found.
 
-Fingerprints use Unicode lower case; as equal words stay equal, they only widen the candidates.
+Fingerprints and comparison fold A-Z only: Unicode lower case of a capital sigma depends on letters
+beyond the marks that break words here, so equal words would not stay equal.
 Items of fewer words than WINDOW have one window, their whole sequence, and are looked up by hashes
 of that many words. The benchmark's side of a join is broadcast only up to SMALL rows.
 
@@ -26,6 +27,11 @@ BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def folded():
+    """The text with A-Z in lower case."""
+    return F.translate("text", UPPER, UPPER.lower())
+
+
 def word_array(text):
     """Words as they are written."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAK), "")
@@ -60,7 +66,7 @@ def window_texts(words, size):
 
 def item_windows(benchmark):
     """(gram, size, item_id) of every window of every item."""
-    items = benchmark.where("item_id is not null").select("item_id", word_array(F.translate("text", UPPER, UPPER.lower())).alias("words")).where(F.size("words") > 0)
+    items = benchmark.where("item_id is not null").select("item_id", word_array(folded()).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(WINDOW))
     runs = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
     return each(items, ["item_id", n.alias("size")], runs, "gram").distinct()
@@ -70,21 +76,21 @@ def hits(docs, benchmark):
     """Per document text: keys, n_words, and for hit ones the windows (start, size) and item ids."""
     windows = checkpointed(item_windows(benchmark))
     short = sorted(r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
-    items = benchmark.where("item_id is not null").select(word_array(F.lower("text")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.where("item_id is not null").select(word_array(folded()).alias("words")).where(F.size("words") > 0)
     long_ = fingerprints(items.where(F.size("words") >= WINDOW), [])
     found = each(long_, [], "fps", "fp")
     for m in short:
         found = found.unionByName(each(items.where(F.size("words") == m), [], gram_hashes(F.col("words"), m), "fp"))
     found, _ = sized(checkpointed(found.distinct().withColumn("shared", F.lit(True))), SMALL)
 
-    rows = row_keys(docs.select("doc_id", "text")).withColumn("words", word_array(F.lower("text")))
+    rows = row_keys(docs.select("doc_id", "text")).withColumn("words", word_array(folded()))
     rows = fingerprints(rows, short).select("__row_doc", "__row_text", F.size("words").cast("long").alias("n_words"), F.explode_outer("fps").alias("fp"))
     judged = rows.join(found, "fp", "left").groupBy("__row_doc", "__row_text").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("shared", F.lit(False))).alias("shared"))
     judged = checkpointed(judged)
 
     candidates, _ = sized(judged.where("shared").select("__row_doc", "__row_text"), SMALL)
     texts = row_keys(docs.select("doc_id", "text")).join(candidates, ["__row_doc", "__row_text"], "left_semi").dropDuplicates(["__row_doc", "__row_text"])
-    texts = texts.select("__row_doc", "__row_text", word_array(F.translate("text", UPPER, UPPER.lower())).alias("words"))
+    texts = texts.select("__row_doc", "__row_text", word_array(folded()).alias("words"))
     runs = F.concat(*(window_texts(F.col("words"), m) for m in [*short, WINDOW]))
     runs = each(texts, ["__row_doc", "__row_text"], runs, "w").select("__row_doc", "__row_text", "w.*")
     side, _ = sized(windows, SMALL)

@@ -163,6 +163,13 @@ def base_spans(text):
     return sorted(out)
 
 
+def test_window_with_capital_sigma_before_a_break(spark):
+    item = spark.createDataFrame([(1, "w0 w1 w2 w3 ΤΕΛΟΣ ΑΡΧΗ w6 w7 w8 ΟΔΟΣ")], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "w0 w1 w2 w3 ΤΕΛΟΣ.ΑΡΧΗ w6 w7 w8 ΟΔΟΣ:Zeta", "", "", 0), (2, "w0 w1", "", "", 0)], KIND)
+    got = {r.doc_id: (r.n_hit, r.contaminated) for r in decontamination.judge(frame, item).collect()}
+    assert got == {1: (10, True), 2: (0, False)}
+
+
 def test_pii(spark, empty):
     texts = [
         "mail a.b@x.com, c@d.e_f@g.hh é 10.0.0.255 1.2.3.4.5.6.7.8 999.1.1.1 +62 812-3456-7890.", "4111 1111 1111 1111 and 4111111111111112 or 4111-1111-1111-1111-1", None, "", "no data", "+1 (23) 456 789 000 +12", "ü@ä.com x@y z@-.-",
