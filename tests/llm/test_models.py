@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketlens.llm import quality, registry, toxicity
+from marketlens.llm import quality, registry, toxicity, url_filter
 
 DIR = "/root/testdata/sf0.01"
 KIND = "doc_id long, text string, lang string, source string, n_chars int"
@@ -67,3 +67,8 @@ def test_pipeline(spark, tmp_path):
     assert kept[3].where(F.col("text").rlike(r"[0-9]+@mail")).count() == 0
     used = kept[4].groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e"))
     assert used.where("n <> e or n > 2048").count() == 0
+
+
+def test_labelled_urls_hold_no_hosts_of_the_test_data():
+    words = {w for h, _, _ in url_filter.labelled_urls() for w in h.split(".")}
+    assert not words & {"ththre", "thernd", "tiontion", "thering", "therha", "ththen"}
