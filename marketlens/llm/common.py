@@ -1,9 +1,12 @@
 """Reading tables, checkpoints and sizes shared by the text operators."""
 
+import contextlib
+import ctypes
 import math
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -32,9 +35,57 @@ def text_bytes(docs, column="text"):
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
-def parts_for(total, each, least=64, most=16384):
-    """How many parts of about `each` bytes a total makes, within fixed bounds."""
-    return int(min(most, max(least, math.ceil(total / each))))
+def parts_for(total, each, least=64):
+    """How many parts of about `each` bytes a total makes; at least `least`, so that small inputs are dealt out too."""
+    return int(max(least, math.ceil(total / each)))
+
+
+def lean(work):
+    """An Arrow task over batches that gives freed memory back to the system at its end.
+
+    Python workers live on between tasks; what their allocators keep would add up over stages.
+    """
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(work):
+    """As lean(), for a function of one group."""
+
+    def run(rows):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return work(rows)
+        finally:
+            release()
+
+    return run
+
+
+def lean_pair(work):
+    """As lean(), for a function of two cogrouped groups."""
+
+    def run(rows, others):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return work(rows, others)
+        finally:
+            release()
+
+    return run
+
+
+def release():
+    """Return free pages of this process to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def held_out(doc_id):
@@ -42,10 +93,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sized(df, rows):
-    """The frame with a broadcast hint if it has few enough rows, else as it is; and its count."""
-    n = df.count()
-    return (F.broadcast(df) if n <= rows else df), n
+def sized(df, rows, text=None):
+    """The frame with a broadcast hint if it is small enough, else as it is; and its count.
+
+    Small is at most `rows` rows and, where it has a text column, 64 bytes of text for each of them.
+    """
+    got = df.agg(F.count("*").alias("n"), (F.sum(F.octet_length(text)) if text else F.lit(0)).alias("size")).first()
+    return (F.broadcast(df) if got["n"] <= rows and (got["size"] or 0) <= 64 * rows else df), got["n"]
 
 
 def row_keys(docs):

@@ -8,8 +8,8 @@ the pieces of its length. Ranks are counted within salted runs of (length, salt)
 summed over salts, so a length that a third of all pieces share is spread over many tasks.
 
 Text is tokenised word by word, split at ASCII white space, which the tokenizer drops and never
-merges over; each task encodes a distinct word once, and many words as one text, parted by a
-character that is a token of its own. Null and empty texts are one piece holding the end id.
+merges over; each task encodes a distinct word once (it remembers KNOWN bytes of ids), and many
+words as one text, parted by a character that is a token of its own. Null and empty texts are one piece holding the end id.
 Repeated rows are packed once each. Other columns are ignored.
 """
 
@@ -23,14 +23,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import checkpointed, table
+from marketlens.llm.common import checkpointed, lean, table
 
 SEQUENCE = 2048
 END = 0
 SALTS = 64  # runs of a length, at least
 RUN = 100_000  # pieces that a run may hold on average
-KNOWN = 400_000  # words whose ids a task remembers
+KNOWN = 16 << 20  # bytes of words' ids that a task remembers
 TOGETHER = 512  # words encoded as one text
+AT_ONCE = 32  # such texts encoded in one call; the encoder's own objects are much larger than ids
 PARTERS = "²³¹½¼¾"  # numerals, which the tokenizer never joins with their neighbours
 
 
@@ -57,16 +58,16 @@ class Encoder:
         self.names, self.at, self.size, self.ids = np.zeros(0, T.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def one_by_one(self, texts):
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+        step = TOGETHER * AT_ONCE
+        got = [np.array(e.ids, np.uint32) for i in range(0, len(texts), step) for e in self.tokenizer.encode_batch_fast(texts[i : i + step], add_special_tokens=False)]
+        return np.concatenate(got), np.array([len(x) for x in got], np.int64)
 
     def encode_words(self, texts):
         """Flat ids and the number of ids of each word."""
         if self.parter is None or any(self.parter in t for t in texts):
             return self.one_by_one(texts)
-        runs = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
-        got = self.tokenizer.encode_batch_fast([f" {self.parter} ".join([*r, ""]) for r in runs], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        runs = [f" {self.parter} ".join([*texts[i : i + TOGETHER], ""]) for i in range(0, len(texts), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for i in range(0, len(runs), AT_ONCE) for e in self.tokenizer.encode_batch_fast(runs[i : i + AT_ONCE], add_special_tokens=False)])
         ends = np.flatnonzero(ids == self.parter_id)
         if len(ends) != len(texts):
             return self.one_by_one(texts)
@@ -76,7 +77,7 @@ class Encoder:
         """Flat ids of all texts with END after each, and their bounds (n+1)."""
         h, first, data, starts, ends = T.words(column, "space")
         name, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.names) > KNOWN:
+        if sum(x.nbytes for x in (self.names, self.at, self.size, self.ids)) > KNOWN:
             self.clear()
         at = np.searchsorted(self.names, name)
         new = np.ones(len(name), bool)
@@ -106,7 +107,7 @@ def _pieces(path, keep_ids):
     def cut(batches):
         encoder = Encoder(path)
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", T.CHUNK // 2):
                 ids, bounds = encoder.encode(part.column("text"))
                 n = np.maximum(1, -(-np.diff(bounds) // SEQUENCE))
                 piece, owner = T.flat_positions(np.zeros(len(n), np.int64), n)
@@ -119,7 +120,7 @@ def _pieces(path, keep_ids):
                     columns.append(pa.array([r.astype(np.int32) for r in runs], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return cut
+    return lean(cut)
 
 
 def pieces(docs, tokenizer=None, keep_ids=False):
@@ -175,23 +176,24 @@ def _place(shared):
             own = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "rank"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(r[:, 3] + t % r[:, 2]), pa.array(r[:, 4] + length * (t // r[:, 2]))], [*(n for n in batch.schema.names if n != "rank"), "sequence_id", "offset"])
 
-    return place
+    return lean(place)
 
 
 def pack(cut):
     """The pieces with sequence_id and offset; cut is a frame of pieces()."""
-    cut = checkpointed(cut)
+    cut = checkpointed(cut.withColumn("__row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     rows, _ = plan(counts)
     shared = cut.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(SALTS, math.ceil(total / RUN)))))
+    # rows that repeat all columns are told apart by a number, so a third of equal rows still spreads over the salts
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "__row"), F.lit(max(SALTS, math.ceil(total / RUN)))))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "__row")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(starts, ["length", "salt"])
-    ranked = ranked.select(*cut.columns, (F.col("first") + F.col("own") - 1).alias("rank"))
-    kinds = ", ".join(f"{n} {k}" for n, k in cut.dtypes)
+    ranked = ranked.select(*(c for c in cut.columns if c != "__row"), (F.col("first") + F.col("own") - 1).alias("rank"))
+    kinds = ", ".join(f"{n} {k}" for n, k in cut.dtypes if n != "__row")
     return ranked.mapInArrow(_place(shared), f"{kinds}, sequence_id long, offset long")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import held_out, labelled_sample, table
+from marketlens.llm.common import held_out, labelled_sample, lean, table
 
 SAMPLE = 3000  # labelled rows that teach, at most
 BUCKETS = 1 << 16
@@ -121,7 +121,7 @@ def _score(shared):
             for part in T.slices(batch, "text", T.CHUNK // 2):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(part.column("text")))], ["doc_id", "score"])
 
-    return score
+    return lean(score)
 
 
 def score_quality(docs, model):

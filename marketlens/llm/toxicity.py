@@ -3,15 +3,18 @@
 Text is lower-cased, homoglyphs and digit substitutions are folded to Latin letters, and one
 automaton finds all lexicon words and exception phrases. A match must stand alone as a word, or
 begin one if the entry is a stem; one inside an exception phrase doesn't count. A document's evidence is the sum of its words'
-weights (capped per word) and that sum per square root of its length; a logistic model turns both into a score.
+weights (capped per word) and that sum per square root of its length in characters over six; a
+logistic model turns both into a score.
 
 Weights and the logistic model are learned from at most SAMPLE labelled rows (in hash order of their
 ids), whatever the size of the input. Words join the lexicon one by one, the best explained share
 of toxic rows first; rows that a word explains leave the count, so words that merely accompany it
-in copies don't follow. Seed words start with a prior.
+in copies don't follow. Seed words start with a prior, and so do the coefficients: PRIOR counts like
+PRIOR_ROWS rows, so few or no labels leave them near it.
 
 Null and empty texts get the score of no evidence. Repeated rows score alike; rows without label
-teach nothing; where no labels exist, seeds and fixed coefficients serve. Other columns are ignored.
+teach nothing. Other columns are ignored. Words of any length may be learned; texts are folded in
+runs of SLICE bytes, a longer text alone.
 """
 
 import re
@@ -23,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import checkpointed, each, held_out, labelled_sample, table
+from marketlens.llm.common import checkpointed, each, held_out, labelled_sample, lean, table
 
 SAMPLE = 8000  # labelled rows that teach, at most
 LEAST = 3  # toxic rows that a learned word must explain
 PRECISION = 0.6  # least share of toxic rows among the rows a learned word explains
-LEXICON = 500  # learned words, at most
+SHORTEST = 3  # letters of a learned word; shorter ones say nothing alone
+PRIOR = (-3.0, 1.0, 2.0)  # bias, and weights of evidence and density
+PRIOR_ROWS = 30
+SLICE = 1 << 18  # bytes of text that are Python strings at once
 THRESHOLD = 0.3
 STEM = "*"  # ends an entry that may be continued: a learned stem
 STEMS = range(4, 9)  # lengths of stems that may be learned
@@ -118,8 +124,8 @@ def learn_weights(rows):
     seeds = {w: weight(len(holds[fold(w)] & toxic) + 3, len(holds[fold(w)] - toxic)) for w in SEEDS}
     lexicon = {w: v for w, v in seeds.items() if v > 0}
     left = set(range(len(rows))) - set().union(*(holds[fold(w)] for w in lexicon))
-    pool = {w: d for w, d in holds.items() if len(d & toxic) >= LEAST and len(w) > 2}
-    while len(lexicon) < LEXICON + len(SEEDS):
+    pool = {w: d for w, d in holds.items() if len(d & toxic) >= LEAST and len(w.removesuffix(STEM)) >= SHORTEST}
+    while pool:
         best, open_ = None, toxic & left
         pool = {w: d for w, d in pool.items() if len(d & open_) >= LEAST}
         for w in sorted(pool):
@@ -135,27 +141,25 @@ def learn_weights(rows):
     return lexicon
 
 
-def fit_scores(features, toxic, rounds=400):
-    """Logistic coefficients (bias, total, density) by gradient descent on scaled features."""
-    x, y = np.asarray(features, float), np.asarray(toxic, float)
-    if len(y) < 50 or not 0 < y.sum() < len(y):
-        return np.array([-3.0, 1.0, 2.0])
-    x = np.log1p(x)
-    scale = np.maximum(x.max(axis=0), 1e-9)
-    z = np.column_stack([np.ones(len(x)), x / scale])
-    c = np.zeros(3)
-    h = 0.5
-    for _ in range(rounds * 5):
+def fit_scores(features, toxic, rounds=2000):
+    """Logistic coefficients (bias, total, density) by gradient descent from the prior, and back towards it."""
+    x, y, prior = np.log1p(np.asarray(features, float).reshape(-1, 2)), np.asarray(toxic, float), np.array(PRIOR)
+    if not len(y):
+        return prior
+    scale = np.maximum(np.append(1.0, x.max(axis=0)), 1e-9)
+    z = np.column_stack([np.ones(len(x)), x]) / scale
+    start = prior * scale
+    c = start.copy()
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-z @ c))
-        g = z.T @ (p - y) / len(y) + 1e-4 * np.array([0, *c[1:]])
-        c = c - h * 4 * g
+        c = c - 2.0 * (z.T @ (p - y) + PRIOR_ROWS * 0.02 * (c - start)) / (len(y) + PRIOR_ROWS)
         c[1:] = np.maximum(c[1:], 0)
-    return np.array([c[0], *(c[1:] / scale)])
+    return c / scale
 
 
 def entries(text):
     """Folded words of a text and their stems: what the lexicon may learn from it."""
-    words = {w for w in TWIN.findall(fold(text)) if 2 < len(w) < 25}
+    words = {w for w in TWIN.findall(fold(text)) if len(w) >= SHORTEST}
     return words | {w[:k] + STEM for w in words for k in STEMS if len(w) > k}
 
 
@@ -164,11 +168,11 @@ def _entries(shared=None):
 
     def read(batches):
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 words = [sorted(entries(t) if shared is None else entries(t) & shared.value) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
 
-    return read
+    return lean(read)
 
 
 def learn(docs, labels):
@@ -180,56 +184,49 @@ def learn(docs, labels):
     known = context.broadcast(frozenset({r.w for r in common} | {fold(w) for w in SEEDS}))
     rows = sorted((tuple(r.words), r.y) for r in sample.mapInArrow(_entries(known), kind).collect())
     lexicon = Lexicon(learn_weights(rows) if rows else dict.fromkeys(SEEDS, 2.0))
-    pairs = sample.mapInArrow(_evidence(context.broadcast(lexicon)), "y int, total double, density double").collect()
+    pairs = sample.mapInArrow(_measured(context.broadcast((lexicon, None)), _evidence), "y int, total double, density double").collect()
     pairs = sorted((r.total, r.density, r.y) for r in pairs)
     return lexicon, fit_scores([p[:2] for p in pairs], [p[2] for p in pairs])
 
 
-def _evidence(shared):
+def _measured(shared, finish):
+    """A task that computes evidence of runs of rows and hands them to finish(rows, evidence, coefficients)."""
+
     def measure(batches):
-        lexicon = shared.value
+        lexicon, c = shared.value
+        lexicon.build()
         for batch in batches:
-            got = [lexicon.evidence(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["y", "total", "density"])
+            for part in T.slices(batch, "text", SLICE):
+                got = np.array([lexicon.evidence(t.as_py()) for t in part.column("text")], float).reshape(-1, 2)
+                out = finish(part, got, c)
+                if out.num_rows:
+                    yield out
 
-    return measure
+    return lean(measure)
 
 
-def _score(shared):
-    def score(batches):
-        lexicon, c = shared.value
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                got = np.array([lexicon.evidence(t) for t in part.column("text").to_pylist()]).reshape(-1, 2)
-                p = 1 / (1 + np.exp(-(c[0] + np.log1p(got) @ c[1:])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array(got[:, 0])], ["doc_id", "score", "evidence"])
+def probability(evidence, c):
+    return 1 / (1 + np.exp(-(c[0] + np.log1p(evidence) @ c[1:])))
 
-    return score
 
+def _evidence(part, got, _):
+    return pa.RecordBatch.from_arrays([part.column("y"), pa.array(got[:, 0]), pa.array(got[:, 1])], ["y", "total", "density"])
 
-def score_toxicity(docs, model):
-    """doc_id, score in 0 to 1, and the summed weight of matches, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), "doc_id long, score double, evidence double")
 
+def _score(part, got, c):
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(probability(got, c)), pa.array(got[:, 0])], ["doc_id", "score", "evidence"])
 
-def _clean(shared, threshold):
-    def clean(batches):
-        lexicon, c = shared.value
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                got = np.array([lexicon.evidence(t) for t in part.column("text").to_pylist()]).reshape(-1, 2)
-                kept = part.filter(pa.array(1 / (1 + np.exp(-(c[0] + np.log1p(got) @ c[1:]))) < threshold))
-                if kept.num_rows:
-                    yield kept
 
-    return clean
+def score_toxicity(docs, model):
+    """doc_id, score in 0 to 1, and the summed weight of matches, for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured(shared, _score), "doc_id long, score double, evidence double")
 
 
 def keep_clean(docs, model, threshold=THRESHOLD):
     """The rows whose score is below the threshold, with all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_clean(shared, threshold), docs.schema)
+    return docs.mapInArrow(_measured(shared, lambda part, got, c: part.filter(pa.array(probability(got, c) < threshold))), docs.schema)
 
 
 def query(spark, sf_dir):

@@ -17,9 +17,9 @@ def test_fold_and_match():
 
 
 def test_learned_word_leaves_companions():
-    rows = [(("a", "bad"), 1)] * 6 + [(("b", "bad"), 1)] * 6 + [(("c",), 0)] * 60
+    rows = [(("a", "bad", "no"), 1)] * 6 + [(("b", "bad", "no"), 1)] * 6 + [(("c",), 0)] * 60
     got = toxicity.learn_weights(rows)
-    assert "bad" not in got  # words of three letters need more than two
+    assert "bad" in got and "no" not in got  # three letters are enough for a word, two say nothing alone
     rows = [(("copy", "badword"), 1)] * 6 + [(("other", "badword"), 1)] * 6 + [(("clean",), 0)] * 60
     got = toxicity.learn_weights(rows)
     assert "badword" in got and "copy" not in got and "clean" not in got
@@ -43,6 +43,15 @@ def test_odd_rows(spark):
     assert toxicity.keep_clean(docs.withColumn("score", F.lit(1)), model).columns == [*docs.columns, "score"]
 
 
+def test_few_labels_stay_near_the_prior():
+    none = toxicity.fit_scores([], [])
+    assert list(none) == list(toxicity.PRIOR)
+    few = toxicity.fit_scores([(3.0, 2.0), (0.0, 0.0)], [1, 0])
+    assert abs(few - none).max() < 0.5
+    many = toxicity.fit_scores([(3.0, 2.0)] * 400 + [(0.0, 0.0)] * 4000, [1] * 400 + [0] * 4000)
+    assert toxicity.probability(toxicity.np.array([[3.0, 2.0], [0.0, 0.0]]), many).round() .tolist() == [1.0, 0.0]
+
+
 def test_pipeline(spark, tmp_path):
     docs, kept = spark.read.parquet(f"{DIR}/documents.parquet"), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
