@@ -30,8 +30,8 @@ RULES = [
 ]
 
 # The labelled URL table; host words and paths of unwanted and of ordinary pages.
-UNWANTED_HOSTS = "cheap-pills spam-farm casino-win adult-x free-bets ads-track pills-online casino-royal best-casino win-bets adult-cams xxx-videos free-porn click-ads adserver-track spam-links link-farm replica-watches payday-loans viagra-cheap betting-tips free-casino porn-hub track-ads-click seo-spam".split()
-ORDINARY_HOSTS = "university library news-daily museum weather city-council wiki docs developer health-institute school research journal blog-cooking gardening history science travel-guide music theatre".split()
+UNWANTED_HOSTS = "pills-online casino-royal best-casino win-bets adult-cams xxx-videos free-porn click-ads adserver-track spam-links link-farm replica-watches payday-loans viagra-cheap betting-tips free-casino porn-hub track-ads-click seo-spam cheap-meds adult-dating poker-bonus slots-jackpot adtracker".split()
+ORDINARY_HOSTS = "university library news-daily museum weather city-council wiki docs developer health-institute school research journal blog-cooking gardening history science travel-guide music theatre garden-tools hospital parliament railway-times bookshop maps archive recipes village-hall chess-club football-league astronomy photos-nature kitchen-stories local-paper water-board swimming orchestra railway teacher-notes farm-shop open-data hiking bridge-building".split()
 UNWANTED_PATHS = ["/buy/pills-now", "/casino/bonus", "/adult/free", "/track/click", "/win/jackpot", "/bets/free", "/porn/videos", "/ads/redirect"]
 ORDINARY_PATHS = ["/en/120", "/fr/34.html", "/de/news/2020", "/es/articulo/5", "/about", "/docs/intro", "/", "/en/853/"]
 
