@@ -73,7 +73,12 @@ def item_windows(benchmark):
 
 
 def hits(docs, benchmark):
-    """Per document text: keys, n_words, and for hit ones the windows (start, size) and item ids."""
+    """Per hit document text: keys, the windows hit (start, size) and the ids of their items.
+
+    Only fingerprints that meet one of the benchmark's leave the first join, whichever way it runs; where
+    the benchmark is too large to broadcast, a fingerprint that very many documents hold is one key
+    of a shuffle join, which Spark splits.
+    """
     windows = checkpointed(item_windows(benchmark))
     short = sorted(r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
     items = benchmark.where("item_id is not null").select(word_array(folded()).alias("words")).where(F.size("words") > 0)
@@ -81,22 +86,21 @@ def hits(docs, benchmark):
     found = each(long_, [], "fps", "fp")
     for m in short:
         found = found.unionByName(each(items.where(F.size("words") == m), [], gram_hashes(F.col("words"), m), "fp"))
-    found, _ = sized(checkpointed(found.distinct().withColumn("shared", F.lit(True))), SMALL)
+    found, _ = sized(checkpointed(found.distinct()), SMALL)
 
     rows = row_keys(docs.select("doc_id", "text")).withColumn("words", word_array(folded()))
-    rows = fingerprints(rows, short).select("__row_doc", "__row_text", F.size("words").cast("long").alias("n_words"), F.explode_outer("fps").alias("fp"))
-    judged = rows.join(found, "fp", "left").groupBy("__row_doc", "__row_text").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("shared", F.lit(False))).alias("shared"))
-    judged = checkpointed(judged)
+    rows = each(fingerprints(rows, short), ["__row_doc", "__row_text"], "fps", "fp")
+    shared = rows.join(found, "fp").select("__row_doc", "__row_text").distinct()
 
-    candidates, _ = sized(judged.where("shared").select("__row_doc", "__row_text"), SMALL)
+    candidates, _ = sized(checkpointed(shared), SMALL)
     texts = row_keys(docs.select("doc_id", "text")).join(candidates, ["__row_doc", "__row_text"], "left_semi").dropDuplicates(["__row_doc", "__row_text"])
     texts = texts.select("__row_doc", "__row_text", word_array(folded()).alias("words"))
     runs = F.concat(*(window_texts(F.col("words"), m) for m in [*short, WINDOW]))
     runs = each(texts, ["__row_doc", "__row_text"], runs, "w").select("__row_doc", "__row_text", "w.*")
-    side, _ = sized(windows, SMALL)
+    side, _ = sized(windows, SMALL, "gram")
     met = runs.join(side, ["gram", "size"])
     spans = met.groupBy("__row_doc", "__row_text").agg(F.collect_set(F.struct("start", "size")).alias("windows"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    return judged.select("__row_doc", "__row_text", "n_words").join(spans, ["__row_doc", "__row_text"], "left")
+    return checkpointed(spans)
 
 
 def covered(windows):
@@ -108,17 +112,17 @@ def covered(windows):
 
 def judge(docs, benchmark):
     """doc_id, n_words, n_hit, items (ids as sorted strings) and contaminated, of every row."""
-    found = hits(docs, benchmark)
-    rows = row_keys(docs.select("doc_id", "text")).select("doc_id", "__row_doc", "__row_text").join(found, ["__row_doc", "__row_text"], "left")
-    n_hit = F.coalesce(covered(F.col("windows")), F.lit(0)).cast("long")
-    items = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
+    found, _ = sized(hits(docs, benchmark).select("__row_doc", "__row_text", covered(F.col("windows")).alias("n_hit"), F.array_join(F.array_sort("items"), "\x00").alias("items")), SMALL // 10, "items")
+    n_words = F.size(word_array(F.col("text"))).cast("long")
+    rows = row_keys(docs.select("doc_id", "text")).select("doc_id", "__row_doc", "__row_text", n_words.alias("n_words")).join(found, ["__row_doc", "__row_text"], "left")
+    items = F.when(F.col("items").isNull(), F.array().cast("array<string>")).otherwise(F.split("items", "\x00"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def remove(docs, benchmark):
     """The documents without a shared window, with all their columns."""
-    bad = hits(docs, benchmark).where("windows is not null").select("__row_doc", "__row_text")
-    bad, _ = sized(checkpointed(bad), SMALL)
+    bad, _ = sized(hits(docs, benchmark).select("__row_doc", "__row_text"), SMALL)
     return row_keys(docs).join(bad, ["__row_doc", "__row_text"], "left_anti").select(*docs.columns)
 
 
