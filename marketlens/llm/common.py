@@ -10,8 +10,17 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark, sf_dir, name):
-    """A table of the collection, read by Spark so that any file system works."""
+    """A table of the collection, read by Spark so that any file system works.
+
+    Rows with texts are long: where the session has Spark's own default, Arrow batches hold fewer rows,
+    so that a batch takes a few MB in the executor and again in its Python worker.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
