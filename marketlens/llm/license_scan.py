@@ -1,13 +1,14 @@
 """License scans by a positional index of rare licence words.
 
-Templates are short licence notices; a notice may have mandatory key phrases. The index holds,
-for every template, postings (template, position) of its words. How rare a licence word is comes
-from its document frequency over all documents. In a document, each occurrence of a template's
-rarest words looks up its postings, and postings that agree on the relative position (document
-position minus template position) add up. A start where enough weight agrees is a candidate; it
-counts once a mandatory phrase stands there word by word. The four base phrases are
-templates of their own, wholly mandatory, whose single rarest word is the lookup, so every place
-where they stand is found.
+Templates are short licence notices with mandatory key phrases. The index holds, for every template,
+postings (template, position) of all its words. How rare a licence word is (its IDF) comes from its
+document frequency over all documents. Each file looks up its own words: of the licence words that
+it holds, for each template that it may hold (no mandatory word is missing), the RARE words of
+highest IDF, and the PHRASE words of highest IDF of every mandatory phrase. Their postings are
+intersected by relative position (document position minus template position): a start is a
+candidate where at least two looked-up words agree. It counts once all mandatory phrases stand there
+word by word and SHARE of the template's IDF weight is in place. The four base phrases are templates that
+are one mandatory phrase; where such a phrase stands, its looked-up words agree, so no place is missed.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty
 texts have no words: counts of 0, null positions, empty labels, score 0. Repeated rows are scanned
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import table
+from marketlens.llm.common import lean, table
 
 U = np.uint64
 
@@ -31,7 +32,7 @@ BASE = [
     ("mit license", "mit"),
 ]
 
-# Notices of public licences: label, text, mandatory phrases (one suffices).
+# Notices of public licences: label, text, mandatory phrases (all are needed).
 NOTICES = [
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2", ["gnu general public license version 2"]),
@@ -39,22 +40,23 @@ NOTICES = [
     ("agpl", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
     ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge", "this software and associated documentation files"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights cc0 1 0 universal", ["cc0 1 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("bsd", "released under the bsd 3 clause license", ["bsd 3 clause license", "bsd license"]),
+    ("bsd", "released under the bsd 3 clause license", ["bsd 3 clause license"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("epl-2.0", "this program is made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
     ("proprietary", "all rights reserved no part of this publication may be reproduced", ["all rights reserved"]),
 ]
-RARE = 3  # rarest words of a notice that are looked up
-SHARE = 0.5  # least share of a notice's rarity weight that must stand in place
+RARE = 3  # words of highest IDF in a file that are looked up for a template
+PHRASE = 2  # of each mandatory phrase
+SHARE = 0.5  # least share of a notice's IDF weight that must stand in place
 
 
 def word_hashes(text):
@@ -66,11 +68,10 @@ class Template:
     def __init__(self, label, text, mandatory, base=None):
         self.label, self.base, self.words = label, base, word_hashes(text)
         self.mandatory = [(self.find(word_hashes(p)), word_hashes(p)) for p in mandatory]
-        self.mandatory = [m for m in self.mandatory if m[0] is not None] or [(0, word_hashes(mandatory[0]))]
 
     def find(self, phrase):
-        at = [i for i in range(len(self.words) - len(phrase) + 1) if (self.words[i : i + len(phrase)] == phrase).all()]
-        return at[0] if at else None
+        """Where a phrase begins in the template, which must hold it."""
+        return next(i for i in range(len(self.words) - len(phrase) + 1) if (self.words[i : i + len(phrase)] == phrase).all())
 
 
 def templates():
@@ -96,7 +97,7 @@ def _frequencies(vocabulary):
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(vocabulary.view(np.int64), 0)), pa.array(np.append(df, n)), pa.array(np.append(np.zeros(len(df), bool), True))], ["h", "df", "all"])
 
-    return count
+    return lean(count)
 
 
 def rarity(docs, vocabulary):
@@ -109,36 +110,57 @@ def rarity(docs, vocabulary):
 
 
 class Index:
-    """Postings of the rarest words of each template."""
+    """Postings of all words of the templates, and how rare the words are."""
 
     def __init__(self, found, vocabulary, idf):
-        self.templates, self.weights, self.postings = found, [], {}
-        for t, x in enumerate(found):
-            w = idf[np.searchsorted(vocabulary, x.words)]
-            self.weights.append(w)
-            inside = np.arange(len(w))
-            if x.base is not None:
-                look = [int(np.argmax(w))]
-            else:
-                at, phrase = x.mandatory[0]
-                look = sorted(inside, key=lambda i: (-w[i], i))[:RARE]
-                look = sorted({*look, max(range(at, min(at + len(phrase), len(w))), key=lambda i: (w[i], -i))})
-            for i in look:
-                self.postings.setdefault(int(x.words[i]), []).append((t, int(i)))
-        self.words = np.sort(np.array(list(self.postings), dtype=U))
+        self.templates, self.vocabulary, self.idf = found, vocabulary, idf
+        self.at = [np.searchsorted(vocabulary, x.words) for x in found]  # each position's word
+        self.weights = [idf[v] for v in self.at]
+
+    def looked_up(self, t, holds):
+        """Whether each file looks up each distinct word of template t, and these words.
+
+        holds: whether each file holds each word of the vocabulary.
+        """
+        x, at = self.templates[t], self.at[t]
+        words = np.unique(at)
+        words = words[np.lexsort((words, -self.idf[words]))]  # highest IDF first
+        here = holds[:, words]
+        take = here & (np.cumsum(here, axis=1) <= RARE)
+        possible = np.ones(len(holds), bool)
+        for begin, phrase in x.mandatory:
+            inside = np.isin(words, at[begin : begin + len(phrase)])
+            possible &= here[:, inside].all(axis=1)
+            take |= inside & (np.cumsum(inside) <= PHRASE)
+        return take & possible[:, None], words
 
     def candidates(self, h, first):
-        """(template, document, start) where a looked-up word puts the template, each once."""
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        hit = np.flatnonzero(self.words[at] == h)
-        owner = np.searchsorted(first, hit, "right") - 1
-        places = {}
-        for word in self.words:
-            here = h[hit] == word
-            for t, i in self.postings[int(word)]:
-                places.setdefault(t, []).append(np.stack([owner[here], hit[here] - i]))
-        for t, found in places.items():
-            yield t, np.unique(np.concatenate(found, axis=1), axis=1)
+        """(template, document, start) where looked-up words of a file agree on the relative position."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        hit = np.flatnonzero(self.vocabulary[at] == h)
+        word, owner = at[hit], np.searchsorted(first, hit, "right") - 1
+        files, own = np.unique(owner, return_inverse=True)  # only files with licence words
+        holds = np.zeros((len(files), len(self.vocabulary)), bool)
+        holds[own, word] = True
+        order = np.argsort(word, kind="stable")
+        cuts = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+        for t, x in enumerate(self.templates):
+            take, words = self.looked_up(t, holds)
+            if not take.any():
+                continue
+            start, doc, by = [], [], []
+            for k in np.flatnonzero(take.any(axis=0)):
+                places = order[cuts[words[k]] : cuts[words[k] + 1]]
+                places = places[take[own[places], k]]
+                for i in np.flatnonzero(self.at[t] == words[k]):
+                    start.append(hit[places] - i)
+                    doc.append(owner[places])
+                    by.append(np.full(len(places), k))
+            found = np.unique(np.stack([np.concatenate(doc), np.concatenate(start), np.concatenate(by)]), axis=1)
+            place, agree = np.unique(found[:2], axis=1, return_counts=True)
+            place = place[:, agree >= min(2, len(np.unique(x.words)))]
+            if place.shape[1]:
+                yield t, place
 
     def scan(self, h, first):
         """Base places (phrase, document, start) and verified notices (template, document, score)."""
@@ -149,16 +171,14 @@ class Index:
             where = start[:, None] + np.arange(len(x.words))
             inside = (where >= lo[:, None]) & (where < hi[:, None])
             same = inside & (h[np.clip(where, 0, max(len(h) - 1, 0))] == x.words)
+            share = (same * w).sum(axis=1) / w.sum()
+            ok = share >= SHARE
+            for begin, phrase in x.mandatory:
+                ok &= same[:, begin : begin + len(phrase)].all(axis=1)
             if x.base is not None:
-                ok = same.all(axis=1)
                 base.append((np.full(ok.sum(), x.base), doc[ok], start[ok] - lo[ok]))
-                continue
-            share = (same * w).sum(axis=1) / w.sum()
-            need = np.zeros(len(doc), bool)
-            for at, phrase in x.mandatory:
-                need |= same[:, at : at + len(phrase)].all(axis=1)
-            ok = need & (share >= SHARE)
-            notices.append((np.full(ok.sum(), t), doc[ok], share[ok]))
+            else:
+                notices.append((np.full(ok.sum(), t), doc[ok], share[ok]))
         join = lambda x, k: np.concatenate([y[k] for y in x]) if x else np.zeros(0, np.int64)
         return [join(base, k) for k in range(3)], [join(notices, k) for k in range(3)]
 
@@ -184,7 +204,7 @@ def _scan(shared):
                 notices = [[{"label": k, "score": float(v)} for k, v in sorted(x.items())] for x in notices]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(places, kinds[0]), pa.array(notices, kinds[1])], ["doc_id", "n_words", "places", "notices"])
 
-    return scan
+    return lean(scan)
 
 
 def scan_licenses(docs):

@@ -246,6 +246,37 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_labels_and_scores_against_brute_force(spark):
+    from math import log
+
+    texts = [f"intro words {n} and more" for _, n, _ in license_scan.NOTICES] + [n.replace("license", "licence") for _, n, _ in license_scan.NOTICES] + ["all rights reserved", "mit license " * 3, "with or without fee is hereby granted", None, "", "mit " * 50 + "license", "x " * 30_000 + "cc by nc 4 0"]
+    texts += [" ".join(n.split()[3:]) for _, n, _ in license_scan.NOTICES] + ["plain text of a clean document"] * 40
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)] + [(0, texts[0], "", "", 0), (None, texts[1], "", "", 0)]
+    frame = spark.createDataFrame(rows, KIND).withColumn("places", F.lit(1)).withColumn("label", F.lit("x"))
+    words = [re.findall(ALNUM, low(t)) for _, t, *_ in rows]
+    idf = lambda w: log((len(rows) + 1) / (sum(w in x for x in words) + 1)) + 1e-6
+    want = {}
+    for (i, *_), w in zip(rows, words, strict=True):
+        best = {}
+        for label, notice, mandatory in license_scan.NOTICES:
+            t = notice.split()
+            weight = {x: idf(x) for x in t}
+            for at in range(-len(t), len(w)):
+                same = [0 <= at + k < len(w) and w[at + k] == x for k, x in enumerate(t)]
+                if not any(same):
+                    continue
+                share = sum(weight[x] for x, s in zip(t, same, strict=True) if s) / sum(weight[x] for x in t)
+                begins = [next(k for k in range(len(t)) if t[k : k + len(p.split())] == p.split()) for p in mandatory]
+                if share >= license_scan.SHARE and all(all(same[b : b + len(p.split())]) for b, p in zip(begins, mandatory, strict=True)):
+                    best[label] = max(best.get(label, 0.0), round(share, 9))
+        want.setdefault(i, []).append(best)
+    got = {}
+    for r in license_scan.scan_licenses(frame).collect():
+        got.setdefault(r.doc_id, []).append({n.label: round(n.score, 9) for n in r.notices})
+    assert got == want
+    assert {x for b in want.values() for d in b for x in d} == {label for label, *_ in license_scan.NOTICES}
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
