@@ -324,22 +324,45 @@ def test_plan(seed):
     assert sequences <= 1.06 * sum(k * n for k, n in counts.items()) / 100 + 1 or any(k > 50 for k in counts)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = [[float(v) for v in r] for r in rng.normal(0, 0.3, (700, 8)).astype(np.float32)]
     x[50:350] = [x[50]] * 300
     x[400], x[401], x[402] = None, [1.0, None] + [0.0] * 6, [float("nan")] * 8
     x[403], x[404] = [0.0] * 8, [1.0, 2.0]
-    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    ok = {i: np.floor(np.array(v, np.float32).astype(float) * 64) for i, v in enumerate(x) if v is not None and all(c is not None and np.isfinite(c) for c in v)}
-    want = set()
-    for q in (i for i in ok if i % 20 == 0):
-        near = sorted((-int(ok[q] @ ok[c]), c) for c in ok if c != q and len(ok[c]) == len(ok[q]))[:20]
-        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(near)}
-    assert {tuple(r) for r in topk_search.top_k(frame).collect()} == want
+    rows = [*enumerate(x), (60, x[60]), (60, x[60]), (60, x[61]), (20, x[20]), (None, x[3]), (7, x[7])]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").withColumn("dim", F.lit("clash")).withColumn("row", F.lit(0))
+    ok = [(i, np.floor(np.array(v, np.float32).astype(float) * 64)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    want = []
+    for at, (q, v) in enumerate(ok):
+        if q % 20 == 0:
+            near = sorted((-int(v @ w), c) for j, (c, w) in enumerate(ok) if j != at and len(w) == len(v))[:20]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(near)]
+    assert sorted(tuple(r) for r in topk_search.top_k(frame).collect()) == sorted(want)
+    monkeypatch.setattr(topk_search, "GROUP", 40)
+    monkeypatch.setattr(topk_search, "PAGE", 8)
+    monkeypatch.setattr(topk_search, "RUN", 10)
+    assert sorted(tuple(r) for r in topk_search.top_k(frame).collect()) == sorted(want)
     assert topk_search.top_k(frame.limit(0)).count() == 0
 
 
+def test_tree_passes_over_what_its_bounds_exclude():
+    rng = np.random.default_rng(1)
+    centers = rng.normal(0, 400, (20, 16))
+    x = np.floor(np.repeat(centers, 300, axis=0) + rng.normal(0, 5, (6000, 16)))
+    tree, seen = topk_search.Tree(np.arange(6000), np.arange(6000), x), []
+    whole = topk_search.products
+    try:
+        topk_search.products = lambda q, v: seen.append(len(v)) or whole(q, v)
+        for i in range(0, 6000, 500):
+            score = whole(x[i], x)
+            want = sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:20]
+            assert [(-s, v) for s, v in tree.search(i, x[i], -np.inf, 20)] == want
+    finally:
+        topk_search.products = whole
+    assert sum(seen) < 0.2 * 12 * 6000
+
+
 def test_urls(spark):
     urls = ["http://A.Example.com/en/7?x", "https://b.example.com/en/1", "https://x.example.net/de/8", "https://x.example.net/de/1#t", "ftp://y.org/es/", None, "no", "x://h", "a://b://c/en/", "http://com/en/", "http://notcom/en/", "http://cheap-pills.example.com/x", "http://ththre.example.com/fr/1"]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
