@@ -3,17 +3,20 @@
 Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-word shingles.
 
 * Equal sets form a class; one set stands for it from then on, so copies cost no pairs.
-* Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order. Shingles
-  that are frequent in a bounded sample come last in ours. The order changes the cost, never the
-  result. Sets that share such a shingle, within a band of sizes, make a tile.
+* Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order. Frequent
+  shingles come last in ours; they are counted over all documents. The order changes the
+  cost, never the result. Sets that share such a shingle, within a band of sizes, make a tile. Most
+  shingles meet in buckets; a frequent one may be in very many sets, so its pivot is a
+  minimum that is combined before the shuffle and joined back.
 * Hashed bitmaps bound each overlap from above (bits of A that B lacks are shingles that B
   lacks), and only the rest meets the exact intersection of sorted arrays. A bitmap has about
   twice as many bits as its set has shingles; of two lengths, the longer is folded.
 * Most large tiles are groups of near copies: first, each member meets its tile's pivot alone,
   and links found there make components. Then only tiles with more than one component are
   compared in full, pairs inside a component excepted. Bitmaps alone name the members that may
-  still link; only their arrays are fetched, and a tile yields a spanning forest. Tiles over
-  TILE members are cut into blocks; each pair of blocks is a task of its own.
+  still link; only their arrays are fetched, and a tile yields a spanning forest. In a tile, the members outside
+  its pivot's component ask, in runs of ASK, all members, in runs of TILE; each pair of
+  runs is a task of its own, so a tile with few such members costs little more than its size.
 
 Nulls and texts without words have no shingles and link with nothing; texts of fewer than five
 words have one. Repeated rows with the same doc_id count as copies; a null doc_id stays alone.
@@ -24,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import checkpointed, parts_for, row_keys, sized, table, text_bytes
+from marketlens.llm.common import checkpointed, lean, lean_group, parts_for, row_keys, sized, table, text_bytes
 
 WORDS = 5  # words in a shingle
 PERCENT = 80  # least similarity
 BITS = 2  # of a bitmap for each shingle, rounded up to a power of two
 NEAR = 1_000_000  # keys (16 MB) up to which a list of them is broadcast
-TILE = 256  # members of a block of a tile
-SAMPLE = 4000  # documents from which frequent shingles are learned
-FREQUENT = 3  # documents of the sample that make a shingle frequent
+ASK, TILE = 64, 192  # members of a tile that ask, and that are asked, in one task
+BUCKET = 64 << 20  # bytes of text whose first shingles meet in a bucket
+OFTEN = 3  # documents of a run of texts from which a shingle's count is kept
+RARE = 1000  # a shingle of more than one in RARE documents is frequent
+FREQUENT = 1 << 18  # ... and of more than a FREQUENT-th of all shingles, so there are fewer than that
 U = np.uint64
 
 
@@ -100,37 +105,46 @@ def may_link(n, bits, other_n, other_bits):
     return 100 * most >= PERCENT * (n + other_n - most)
 
 
+SETS = "doc_id long, row_text long, n_shingles long, key long, check long, bits binary, shingle long, times long"
+
+
 def _sets(batches):
+    """A row per document, and one per shingle that OFTEN documents of a run of texts hold."""
+    kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2
+    names = [c.split()[0] for c in SETS.split(", ")]
     for batch in batches:
         for part in T.slices(batch, "text"):
             value, bounds = shingle_sets(part.column("text"))
             a, b = set_keys(value, bounds)
             maps = [bitmap(value[x:y]).tobytes() if y > x else None for x, y in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_text"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(maps, pa.binary())], ["doc_id", "row_text", "n_shingles", "key", "check", "bits"])
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_text"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(maps, pa.binary()), none, none], names)
+            shingle, times = np.unique(value, return_counts=True)
+            often = times >= OFTEN
+            n = int(often.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:6]), pa.array(shingle[often].view(np.int64)), pa.array(times[often])], names)
 
 
 def document_sets(docs):
-    """doc_id, the text's hash, n_shingles, the name and the bitmap of each document's shingle set."""
+    """doc_id, the text's hash, n_shingles, name and bitmap of each document's set; and rows of shingle counts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_text"), "text")
-    return rows.mapInArrow(_sets, "doc_id long, row_text long, n_shingles long, key long, check long, bits binary")
+    return rows.mapInArrow(lean(_sets), SETS)
 
 
-def _sample_shingles(batches):
-    for batch in batches:
-        for part in T.slices(batch, "text"):
-            value, _ = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], ["h"])
-
-
-def frequent_shingles(docs):
-    """Shingles in FREQUENT or more of SAMPLE documents; their number is bounded by the sample."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text")
-    found = some.mapInArrow(_sample_shingles, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r.h for r in found.select("h").orderBy(F.desc("count"), "h").limit(200_000).collect()], dtype=np.int64).view(U))
+def frequent_shingles(named):
+    """Shingles of many documents, in order; by their definition fewer than FREQUENT."""
+    whole = named.agg(F.count("n_shingles").alias("docs"), F.sum("n_shingles").alias("shingles")).first()
+    least = max(OFTEN, whole["docs"] / RARE, (whole["shingles"] or 0) / FREQUENT)
+    found = named.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.shingle for r in found.select("shingle").collect()], dtype=np.int64).view(U))
 
 
 def _prefixes(parts, frequent):
-    """Rows (bucket, keys, counts, hashes) with the first shingles of each set of a batch."""
+    """Rows (bucket, keys, sizes, hashes) with the first shingles of each set of a batch.
+
+    Frequent shingles go to buckets of their own, dealt by set and not by shingle.
+    """
 
     def emit(batches):
         common = frequent.value
@@ -147,11 +161,13 @@ def _prefixes(parts, frequent):
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((value, late, owner))  # owner keeps its place
                 take, own = T.flat_positions(bounds[:-1], np.where(n > 0, prefix_length(n), 0))
-                sets.append((key[own], n[own], value[order[take]]))
+                first = order[take]
+                sets.append((key[own], n[own], value[first], late[first]))
             if not sets:
                 continue
-            key, size, value = (np.concatenate(x) for x in zip(*sets, strict=True))
+            key, size, value, late = (np.concatenate(x) for x in zip(*sets, strict=True))
             bucket = (value % U(parts)).astype(np.int64)
+            bucket[late] = parts + (T.mix(key[late].view(U)) % U(parts)).astype(np.int64)
             value = (value >> U(32)).astype(np.uint32)  # with the bucket, enough to name candidates
             size = band(size)
             order = np.lexsort((key, value, bucket))
@@ -161,62 +177,73 @@ def _prefixes(parts, frequent):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
             key, size, value, bucket = key[new], size[new], value[new], bucket[new]
-            cuts = np.searchsorted(bucket, np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            cols = [[x[cuts[i] : cuts[i + 1]].tobytes() for i in used] for x in (key, size, value)]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "sizes", "hashes"])
+            used, cuts = np.unique(bucket, return_index=True)
+            cuts = np.append(cuts, len(bucket))
+            cols = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in (key, size, value)]
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "sizes", "hashes"])
 
-    return emit
+    return lean(emit)
 
 
 def _joined(column, kind):
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros(0, kind)
 
 
-def _tiles(rows):
-    """Of a bucket: sets that share a first shingle, each with the smallest of them, its pivot."""
-    key, size, value = _joined(rows["keys"], np.int64), _joined(rows["sizes"], np.int16), _joined(rows["hashes"], np.uint32)
-    order = np.lexsort((key, value))
-    key, size, value = key[order], size[order], value[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
-    key, size, value = key[new], size[new], value[new]
-    start = np.ones(len(key), bool)
-    start[1:] = value[1:] != value[:-1]
-    begin = np.flatnonzero(start)
-    count = np.diff(np.append(begin, len(key)))
-    many = count > 1
-    at, owner = T.flat_positions(begin[many], count[many])
-    key, size = key[at], size[at]
-    # sets of a link lie in the same band or in neighbouring ones, so a tile ends at a missing band
-    order = np.lexsort((key, size, owner))
-    key, size = key[order], size[order]
-    brk = np.ones(len(key), bool)
-    brk[1:] = (owner[1:] != owner[:-1]) | (size[1:] > size[:-1] + 1)
-    begin = np.flatnonzero(brk)
-    count = np.diff(np.append(begin, len(key)))
-    keep = np.flatnonzero(count > 1)
-    if not len(keep):
-        return pa.table({"tile": pa.array([], pa.int64()), "key": pa.array([], pa.int64())})
-    at, owner = T.flat_positions(begin[keep], count[keep])
-    key = key[at]
-    pivot = np.minimum.reduceat(key, np.cumsum(count[keep]) - count[keep])[owner]
-    order = np.lexsort((key, pivot))
-    key, pivot = key[order], pivot[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (pivot[1:] != pivot[:-1])
-    return pa.table({"tile": pivot[new], "key": key[new]})
-
-
-def candidate_tiles(docs, total):
+def _tiles(parts):
+    """Of a bucket: sets that share a first shingle, each with the smallest of them, its pivot.
+
+    Of a bucket of frequent shingles: (shingle, key) rows, as their sets lie in many buckets.
+    """
+
+    def tiles(rows):
+        key, size, value = _joined(rows["keys"], np.int64), _joined(rows["sizes"], np.int16), _joined(rows["hashes"], np.uint32)
+        order = np.lexsort((key, value))
+        key, size, value = key[order], size[order], value[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
+        key, size, value = key[new], size[new], value[new]
+        if rows["bucket"][0].as_py() >= parts:
+            return pa.table({"shingle": pa.array(value.astype(np.int64)), "tile": pa.nulls(len(key), pa.int64()), "key": key})
+        start = np.ones(len(key), bool)
+        start[1:] = value[1:] != value[:-1]
+        begin = np.flatnonzero(start)
+        count = np.diff(np.append(begin, len(key)))
+        many = count > 1
+        at, owner = T.flat_positions(begin[many], count[many])
+        key, size = key[at], size[at]
+        # sets of a link lie in the same band or in neighbouring ones, so a tile ends at a missing band
+        order = np.lexsort((key, size, owner))
+        key, size = key[order], size[order]
+        brk = np.ones(len(key), bool)
+        brk[1:] = (owner[1:] != owner[:-1]) | (size[1:] > size[:-1] + 1)
+        begin = np.flatnonzero(brk)
+        count = np.diff(np.append(begin, len(key)))
+        keep = np.flatnonzero(count > 1)
+        at, owner = T.flat_positions(begin[keep], count[keep])
+        key = key[at]
+        pivot = np.minimum.reduceat(key, np.cumsum(count[keep]) - count[keep])[owner] if len(keep) else key
+        order = np.lexsort((key, pivot))
+        key, pivot = key[order], pivot[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (pivot[1:] != pivot[:-1])
+        return pa.table({"shingle": pa.nulls(int(new.sum()), pa.int64()), "tile": pivot[new], "key": key[new]})
+
+    return lean_group(tiles)
+
+
+def candidate_tiles(docs, named, total):
     """Rows (tile, key): a tile is named by its pivot and holds all sets that met it by a shingle.
 
-    Two sets that share a first shingle met the same pivot there, so they share a tile.
+    Two sets that share a first shingle met the same pivot there, so they share a tile. Frequent shingles
+    are told apart by 32 bits; more sets in a tile than need be are only more work.
     """
-    parts = parts_for(total, 8 << 20)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
-    packed = docs.select("text").mapInArrow(_prefixes(parts, frequent), "bucket long, keys binary, sizes binary, hashes binary")
-    return packed.groupBy("bucket").applyInArrow(_tiles, "tile long, key long").distinct()
+    parts = parts_for(total, BUCKET)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(named))
+    sent = docs.select("text").mapInArrow(_prefixes(parts, frequent), "bucket long, keys binary, sizes binary, hashes binary")
+    met = checkpointed(sent.groupBy("bucket").applyInArrow(_tiles(parts), "shingle long, tile long, key long"))
+    often = met.where("shingle is not null").select("shingle", "key")
+    pivots, _ = sized(checkpointed(often.groupBy("shingle").agg(F.min("key").alias("tile"), F.max("key").alias("last")).where("tile <> last").drop("last")), NEAR)
+    return met.where("tile is not null").select("tile", "key").unionByName(often.join(pivots, "shingle").select("tile", "key")).distinct()
 
 
 def _set_arrays(batches):
@@ -261,34 +288,31 @@ def _pivot_links(batches):
 
 
 def _cross_pairs(rows):
-    """Members of a tile in order of size, and an iterator over (i, all j that may link with i)."""
-    rows = rows.take(pa.array(np.argsort(rows["n"].to_numpy(), kind="stable")))
-    part, n, two = rows["part"].to_numpy(), rows["n"].to_numpy(), rows["lo"][0] != rows["hi"][0]
+    """The components of a run's members as small numbers, and an iterator over (i, all j that may link with the asking i)."""
+    n, asks = rows["n"].to_numpy(), rows["asks"].to_numpy(zero_copy_only=False)
     label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
     maps = [np.frombuffer(x.as_buffer(), U) for x in rows["bits"]]
     words = np.array([len(x) for x in maps])
 
     def pairs():
-        at = {w: np.flatnonzero(words >= w) for w in set(words.tolist())}  # sizes ascend, so do map lengths
-        flat = {w: np.stack([folded(maps[k], w) for k in i]) for w, i in at.items()}
-        for i in range(len(n)):
-            members, bits = at[words[i]], flat[words[i]]
-            lo, hi = np.searchsorted(members, i, "right"), np.searchsorted(members, np.searchsorted(n, 100 * n[i] // PERCENT, "right"), "left")
-            j = members[lo:hi]
-            ok = label[j] != label[i]
-            if two:
-                ok &= part[j] != part[i]
-            if ok.any():
-                ok &= may_link(n[i], maps[i], n[j], bits[lo:hi])
-                if ok.any():
-                    yield i, j[ok]
-
-    return rows, label, pairs()
+        at = {w: np.flatnonzero(~asks & (words == w)) for w in set(words[~asks].tolist())}
+        flat = {(w, c): np.stack([folded(maps[k], c) for k in i]) for w, i in at.items() for c in (w, w // 2) if c}
+        for i in np.flatnonzero(asks):
+            for w in (words[i] // 2, words[i], 2 * words[i]):  # sizes of a link differ by a quarter at most
+                if w in at:
+                    common = min(w, words[i])
+                    j = at[w]
+                    ok = (label[j] != label[i]) & (PERCENT * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i]))
+                    ok[ok] = may_link(n[i], folded(maps[i], common), n[j[ok]], flat[w, common][ok])
+                    if ok.any():
+                        yield i, j[ok]
+
+    return label, pairs()
 
 
 def _open_members(rows):
-    """The members of a tile, or of two of its blocks, that may link across components."""
-    rows, _, pairs = _cross_pairs(rows)
+    """The members of two runs of a tile that may link across components."""
+    _, pairs = _cross_pairs(rows)
     use = np.zeros(rows.num_rows, bool)
     for i, j in pairs:
         use[i] = use[j] = True
@@ -296,8 +320,8 @@ def _open_members(rows):
 
 
 def _forest(rows):
-    """Spanning links between the components of a tile, or between two of its blocks."""
-    rows, label, pairs = _cross_pairs(rows)
+    """Spanning links between the components of two runs of a tile."""
+    label, pairs = _cross_pairs(rows)
     key, arrays = rows["key"].to_numpy(), [np.frombuffer(x.as_buffer(), U) for x in rows["hashes"]]
     a, b = [], []
     for i, near in pairs:
@@ -309,6 +333,20 @@ def _forest(rows):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def runs_of_tiles(known):
+    """Members (tile, key, component) of tiles of several components, once per pair of runs: (tile, asking, asked, asks)."""
+    own = known.where("tile = key").select("tile", F.col("component").alias("main"))
+    known = known.join(own, "tile")
+    mixed = known.groupBy("tile").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("r")).where("r > 0")
+    mixed, _ = sized(checkpointed(mixed), NEAR)
+    known = known.join(mixed, "tile").withColumn("rows", F.ceil(F.col("r") / ASK).cast("int")).withColumn("columns", F.ceil(F.col("m") / TILE).cast("int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    run = lambda c, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(c)).cast("int")
+    asked = known.select("tile", "key", "component", upto("rows").alias("asking"), run("columns", 1).alias("asked"), F.lit(False).alias("asks"))
+    asking = known.where("component <> main").select("tile", "key", "component", run("rows", 2).alias("asking"), upto("columns").alias("asked"), F.lit(True).alias("asks"))
+    return asked.unionByName(asking)
+
+
 def components(edges):
     """(node, component): the smallest node that links reach, by alternating star steps.
 
@@ -337,39 +375,34 @@ def set_arrays(docs, keys, classes):
     reps = checkpointed(reps.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     reps, _ = sized(reps, NEAR)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
-    return texts.select("key", "text").mapInArrow(_set_arrays, "key long, hashes binary")
+    return texts.select("key", "text").mapInArrow(lean(_set_arrays), "key long, hashes binary")
 
 
 def join(docs):
     """doc_id, row_text (hash of the text), n_shingles, component_id of every document."""
-    named = checkpointed(document_sets(docs))
+    every = checkpointed(document_sets(docs))
+    named = every.where("n_shingles is not null")
     classes = named.where("n_shingles > 0 and doc_id is not null").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
     classes = checkpointed(classes)
-    tiles = checkpointed(candidate_tiles(docs, text_bytes(docs)))
+    tiles = checkpointed(candidate_tiles(docs, every, text_bytes(docs)))
 
     def side(x, *columns):
         return [F.col(c).alias(x if c == "key" else f"{x}_{c}") for c in ("key", *columns)]
 
     star = tiles.select(F.col("key").alias("a"), F.col("tile").alias("b")).where("a <> b")
-    star = star.join(classes.select(side("a", "n", "bits")), "a").join(classes.select(side("b", "n", "bits")), "b").mapInArrow(_possible, "a long, b long")
+    star = star.join(classes.select(side("a", "n", "bits")), "a").join(classes.select(side("b", "n", "bits")), "b").mapInArrow(lean(_possible), "a long, b long")
     star = checkpointed(star)
     arrays = checkpointed(set_arrays(docs, star.select(F.explode(F.array("a", "b")).alias("key")), classes))
-    links = star.join(arrays.select(side("a", "hashes")), "a").join(arrays.select(side("b", "hashes")), "b").mapInArrow(_pivot_links, "a long, b long")
+    links = star.join(arrays.select(side("a", "hashes")), "a").join(arrays.select(side("b", "hashes")), "b").mapInArrow(lean(_pivot_links), "a long, b long")
     links = checkpointed(links)
 
     first = components(links)
     known = tiles.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = known.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    mixed, _ = sized(checkpointed(mixed.select("tile", "m")), NEAR)
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    cut = known.join(mixed, "tile").withColumn("blocks", blocks).withColumn("part", part)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    cut = cut.join(classes.select("key", "n", "bits"), "key").select("tile", "lo", "hi", "part", "key", "component", "n", "bits")
-    kind = "tile long, lo int, hi int, part int, key long, component long, n long, bits binary"
-    cut = checkpointed(cut.groupBy("tile", "lo", "hi").applyInArrow(_open_members, kind))
+    cut = runs_of_tiles(known).join(classes.select("key", "n", "bits"), "key").select("tile", "asking", "asked", "asks", "key", "component", "n", "bits")
+    kind = "tile long, asking int, asked int, asks boolean, key long, component long, n long, bits binary"
+    cut = checkpointed(cut.groupBy("tile", "asking", "asked").applyInArrow(lean_group(_open_members), kind))
     arrays = set_arrays(docs, cut.select("key"), classes)
-    more = cut.join(arrays, "key").groupBy("tile", "lo", "hi").applyInArrow(_forest, "a long, b long")
+    more = cut.join(arrays, "key").groupBy("tile", "asking", "asked").applyInArrow(lean_group(_forest), "a long, b long")
     final = components(links.unionByName(more)).withColumnRenamed("node", "key")
 
     lowest = classes.join(final, "key", "left").select("key", "check", "rep", F.coalesce("component", "key").alias("component"))

@@ -85,6 +85,9 @@ def test_jaccard_join(docs):
 
 def test_jaccard_blocks(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "ASK", 3)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 2)
+    monkeypatch.setattr(jaccard_join, "RARE", 40)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
     assert got == components(corpus())
 
