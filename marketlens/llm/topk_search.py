@@ -39,7 +39,7 @@ CELLS = (16, 256)  # routing vectors of cells: least and most
 GROUP = 16384  # vectors of a tree
 RUN = 16384  # queries that meet a tree in one task
 FAN = 16
-PAGE = 128
+PAGE = 512
 
 
 def usable(table_):
@@ -97,13 +97,15 @@ class Tree:
 
     def __init__(self, rows, ids, x):
         self.rows, self.ids, self.x = rows, ids, x
+        self.largest = float(np.abs(x).max()) if x.size else 0.0
         self.root = self.node(np.arange(len(ids)), x[0]) if len(ids) else None
 
     def node(self, at, route):
         dist = np.sqrt(((self.x[at] - route) ** 2).sum(axis=1))
         if len(at) <= PAGE:
-            return route, float(dist.max()), (dist, at, self.x[at]), None
-        routes = far_apart(self.x[at[:: max(1, len(at) // 256)]], FAN)
+            order = np.argsort(-dist, kind="stable")
+            return route, float(dist.max()), (dist[order], at[order], self.x[at[order]]), None
+        routes = far_apart(self.x[at[:: max(1, len(at) // 256)]], min(FAN, 1 + len(at) // PAGE))
         own = ((routes**2).sum(axis=1) - 2 * self.x[at] @ routes.T).argmin(axis=1)
         if np.bincount(own).max() > 0.75 * len(at):  # equal or crowded vectors: cut at distances instead
             own = np.argsort(np.argsort(dist, kind="stable")) * FAN // len(at)
@@ -119,6 +121,7 @@ class Tree:
         if self.root is None:
             return best
         norm = float(np.sqrt(q @ q))
+        exact = self.largest * float(np.abs(q).max(initial=0)) * len(q) < 2**53
         center = float(q @ self.root[0])
         heap = [(-np.inf, next(tie), center, self.root)]
         while heap:
@@ -128,10 +131,12 @@ class Tree:
             slack = 1e-6 * (1 + abs(center))
             if children is None:
                 dist, at, x = stored
-                use = np.flatnonzero(center + slack + norm * dist >= floor)
-                score = products(q, x[use])
+                if norm * dist[0] + center + slack < floor:  # members are in order of falling distance
+                    continue
+                near = int(np.searchsorted(-dist, (center + slack - floor) / norm, "right")) if norm and floor > -np.inf else len(dist)
+                score = products(q, x[:near], exact)
                 for i in np.flatnonzero(score >= floor):
-                    j = at[use[i]]
+                    j = at[i]
                     if self.rows[j] != row:
                         item = (int(score[i]), -int(self.ids[j]))
                         if len(best) < k:
@@ -150,13 +155,9 @@ class Tree:
         return [(s, -v) for s, v in sorted(best, reverse=True)]
 
 
-def products(q, x):
-    """Exact integer inner products of a vector with rows."""
-    if not x.size or not q.size:
-        return np.zeros(len(x), np.int64)
-    if np.abs(q).max() * np.abs(x).max() * len(q) < 2**53:
-        return (x @ q).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+def products(q, x, exact=True):
+    """Integer inner products of a vector with rows; exact says whether floating point holds them."""
+    return x @ q if exact else x.astype(np.int64) @ q.astype(np.int64)
 
 
 def packed(v):

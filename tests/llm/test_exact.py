@@ -116,6 +116,9 @@ def test_substring_dedup(docs, spark, empty):
     out = sorted((str(r.doc_id), r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, KIND)).collect())
     assert out == [("5", 0), ("5", 0), ("6", 20), ("None", 0)]
     assert substring_dedup.remove_repeats(empty).count() == 0
+    rows = [(5, f"{long_} one", "", "", 0), (5, f"two {long_}", "", "", 0), (7, f"{long_} three", "", "", 0), (None, None, "", "", 0), (None, f"{long_} four", "", "", 0)]
+    frame = spark.createDataFrame(rows, KIND).withColumn("block", F.lit("clash")).withColumn("bucket", F.lit(0))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame).collect()) == [("5", 21, 0), ("5", 21, 0), ("7", 21, 20), ("None", 0, 0), ("None", 21, 0)]
 
 
 def test_difference_cover():
@@ -343,7 +346,7 @@ def test_top_k(spark, monkeypatch):
             want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(near)]
     assert sorted(tuple(r) for r in topk_search.top_k(frame).collect()) == sorted(want)
     monkeypatch.setattr(topk_search, "GROUP", 40)
-    monkeypatch.setattr(topk_search, "PAGE", 8)
+    monkeypatch.setattr(topk_search, "PAGE", 8)  # also the least page with several levels
     monkeypatch.setattr(topk_search, "RUN", 10)
     assert sorted(tuple(r) for r in topk_search.top_k(frame).collect()) == sorted(want)
     assert topk_search.top_k(frame.limit(0)).count() == 0
@@ -356,7 +359,7 @@ def test_tree_passes_over_what_its_bounds_exclude():
     tree, seen = topk_search.Tree(np.arange(6000), np.arange(6000), x), []
     whole = topk_search.products
     try:
-        topk_search.products = lambda q, v: seen.append(len(v)) or whole(q, v)
+        topk_search.products = lambda q, v, exact: seen.append(len(v)) or whole(q, v)
         for i in range(0, 6000, 500):
             score = whole(x[i], x)
             want = sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:20]
