@@ -335,9 +335,9 @@ def _forest(rows):
 
 def runs_of_tiles(known):
     """Members (tile, key, component) of tiles of several components, once per pair of runs: (tile, asking, asked, asks)."""
-    own = known.where("tile = key").select("tile", F.col("component").alias("main"))
-    known = known.join(own, "tile")
-    mixed = known.groupBy("tile").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("r")).where("r > 0")
+    each_ = known.groupBy("tile", "component").agg(F.count("*").alias("n"), F.bool_or(F.col("tile") == F.col("key")).alias("own"))
+    main = F.max(F.when(F.col("own"), F.col("component"))).alias("main")
+    mixed = each_.groupBy("tile").agg(F.sum("n").alias("m"), F.sum(F.when(~F.col("own"), F.col("n"))).alias("r"), main).where("r > 0")
     mixed, _ = sized(checkpointed(mixed), NEAR)
     known = known.join(mixed, "tile").withColumn("rows", F.ceil(F.col("r") / ASK).cast("int")).withColumn("columns", F.ceil(F.col("m") / TILE).cast("int"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
