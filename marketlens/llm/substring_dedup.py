@@ -8,13 +8,16 @@ word sequence also starts in a document with a smaller doc_id.
   WINDOW = ANCHOR + PERIOD - 1, so two equal windows share an anchor at the same place inside.
 * An anchor found in one document only cannot lie in a repeated window. Around the others, full
   windows are hashed (the extension), and the smallest document of each window decides.
-* Documents are dealt to blocks by doc_id once; that shuffle serves all three passes. Blocks send
-  each hash once, however many of their documents hold it, so a passage that very many documents
-  share costs a row per block and bucket, never a pair of documents.
+* Documents are dealt to blocks of about BLOCK bytes by doc_id and text, once; that shuffle serves all three
+  passes. Blocks send each hash once, however many of their documents hold it, so a passage
+  that very many documents share costs a value per block, never a pair of documents. Hashes
+  meet in buckets of about BUCKET bytes of text; neither kind of group grows with the input. A block sends
+  its values of a bucket as one row, so there are never more rows than values: at 100 TB about three values
+  share a row, at 1 TB some three hundred.
 
 Null texts and texts without words give 0 words and an empty text. Rows that repeat a doc_id are
-judged alike and don't count against each other. Rows with a null doc_id lose nothing and make
-others lose nothing. Further columns are ignored.
+judged alike and don't count against each other, whatever block they are in; rows equal in both share one.
+Rows with a null doc_id lose nothing and make others lose nothing. Further columns are ignored.
 """
 
 import numpy as np
@@ -22,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens as T
-from marketlens.llm.common import parts_for, table, text_bytes
+from marketlens.llm.common import lean_group, lean_pair, parts_for, table, text_bytes
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK = 8 << 20  # bytes of text in a block
+BUCKET = 64 << 20  # bytes of text whose anchors, or windows, meet in a bucket
 U = np.uint64
 NONE = np.iinfo(np.int64).max  # stands for a null doc_id
 
@@ -101,11 +105,11 @@ def window_table(block, shared, buckets):
     return at, grouped((value % U(buckets)).astype(np.int64), value, block.doc_at(at))
 
 
-def packed(number, bucket, buckets, *columns):
+def packed(number, bucket, *columns):
     """One row per bucket in use, with the bytes of each column's run."""
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    data = [pa.array([c[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()) for c in columns]
+    used, cuts = np.unique(bucket, return_index=True)
+    cuts = np.append(cuts, len(bucket))
+    data = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for c in columns]
     return pa.table([pa.array(used.astype(np.int64)), pa.array(np.full(len(used), number, np.int64)), *data], names=["bucket", "block", *(f"c{i}" for i in range(len(columns)))])
 
 
@@ -134,12 +138,12 @@ def flags_of(rows, hit, size, phase):
 FLAGS = "block long, bucket long, phase long, n long, bits binary"
 
 
-def passes(docs, buckets):
+def passes(buckets):
     """The three passes as functions over blocks."""
 
     def anchors(rows):
         bucket, value, least, most, _ = anchor_table(Block(rows), buckets)
-        return packed(rows["block"][0].as_py(), bucket, buckets, value, np.where(most > least, 1, 0).astype(np.uint8))
+        return packed(rows["block"][0].as_py(), bucket, value, np.where(most > least, 1, 0).astype(np.uint8))
 
     def shared(rows):
         value, size = runs(rows["c0"], np.uint32)
@@ -154,7 +158,7 @@ def passes(docs, buckets):
         block = Block(rows)
         *_, back = got = anchor_table(block, buckets)
         _, (bucket, value, least, *_) = window_table(block, unpacked(flags, 1, len(got[0]))[back], buckets)
-        return packed(rows["block"][0].as_py(), bucket, buckets, value, least)
+        return packed(rows["block"][0].as_py(), bucket, value, least)
 
     def earlier(rows):
         value, size = runs(rows["c0"], U)
@@ -192,15 +196,15 @@ def passes(docs, buckets):
         left = np.concatenate([[0], np.cumsum(keep)])
         return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(n), "n_removed": pa.array(n - (left[block.first[1:]] - left[block.first[:-1]])), "kept_text": pa.array(texts, pa.string())})
 
-    return anchors, shared, windows, earlier, kept
+    return lean_group(anchors), lean_group(shared), lean_pair(windows), lean_group(earlier), lean_pair(kept)
 
 
 def remove_repeats(docs):
     """doc_id, n_words, n_removed and kept_text (kept words joined by a space) of each row."""
     total = text_bytes(docs)
     blocks = parts_for(total, BLOCK)
-    anchors, shared, windows, earlier, kept = passes(docs, blocks)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
+    anchors, shared, windows, earlier, kept = passes(parts_for(total, BUCKET))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
     send = "bucket long, block long, c0 binary, c1 binary"
     one = dealt.groupBy("block").applyInArrow(anchors, send).groupBy("bucket").applyInArrow(shared, FLAGS)
     wide = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(windows, send)
