@@ -1,5 +1,8 @@
 """Small frame helpers."""
 
+import os
+import tempfile
+
 from pyspark.sql import functions as F
 
 
@@ -8,3 +11,17 @@ def each(rows, keep, column, name):
     array's size, which it would push down and so compute the array twice.
     """
     return rows.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
+def checkpoint_folder(spark):
+    """The session's shared folder for checkpoints and tables; one of its own only where none is set, as in tests."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketlens-", dir=os.environ.get("TMPDIR")))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df):
+    """The frame written once to the shared checkpoint folder: what reads it several times computes it once."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

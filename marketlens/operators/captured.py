@@ -180,14 +180,6 @@ def q_two_stage(spark, d):
 
 
 def q_ups_products(spark, d):
-    """Products of some stores upserted from those of others; the own flag stays."""
-    p = view(spark, d, "products").where("store_id in ('st-1', 'st-2', 'st-3')").groupBy("product_key").agg(F.max("harga").alias("harga"), F.max("is_own").alias("is_own"))
-    current = p.withColumn("times_seen", F.lit(1)).withColumn("last_scraped_at", F.lit("2023"))
-    feed = view(spark, d, "products").where("store_id in ('st-2', 'st-4')").select("product_key", F.col("terjual").alias("seq"), F.when(F.col("harga") > 0, F.col("harga")).alias("harga"), F.lit(9).alias("is_own"))
-    return ledger.upsert(current, feed, "product_key", ["seq", "harga"], keep=("is_own",)).select("product_key", "harga", "is_own", "times_seen")
-
-
-def q_ups_products_whole(spark, d):
     """All products upserted from the prices of all observations; the own flag stays."""
     p = view(spark, d, "products").groupBy("product_key").agg(F.max("harga").alias("harga"), F.max("is_own").alias("is_own"))
     current = p.withColumn("times_seen", F.lit(1)).withColumn("last_scraped_at", F.lit("2023"))
@@ -210,11 +202,6 @@ def q_crm_edits(spark, d):
 
 
 def q_sheet_order(spark, d):
-    """The sheet of two stores."""
-    return sheet_order(view(spark, d, "products")).where("store_id in ('st-1', 'st-2')")
-
-
-def q_sheet_order_whole(spark, d):
     return sheet_order(view(spark, d, "products"))
 
 
@@ -236,7 +223,7 @@ def q_shelf_scores(spark, d):
     shelves = spark.createDataFrame([(i, s) for i, s in enumerate(SHELVES)], "etalase long, nama string").withColumn("et", L.tokens(F.col("nama")))
     stores = view(spark, d, "stores").where("aktif = 1").select(F.col("id").alias("store_id"), (F.expr("substring(id, 4)").cast("long") % 3).alias("m"))
     own = stores.join(shelves, F.col("etalase") % 3 == F.col("m"))
-    q = matching.parsed_queries(spark, matching.QUERIES, view(spark, d, "products")).select("query_id", F.col("tokens").alias("qt"), F.col("specs").alias("qs"))
+    q = matching.parsed_queries(spark, matching.QUERIES, LX.store_titles(view(spark, d, "products"))).select("query_id", F.col("tokens").alias("qt"), F.col("specs").alias("qs"))
     x = own.crossJoin(F.broadcast(q))
     shared = F.size(F.array_intersect("qt", "et"))
     head, asked = concept(F.col("et")), concept(F.col("qt"))
@@ -249,7 +236,7 @@ def q_shelf_scores(spark, d):
 
 def q_search_terms(spark, d):
     """In-store terms: exact models, longest first, else three strong tokens; then the raw text."""
-    q = matching.parsed_queries(spark, matching.QUERIES, view(spark, d, "products"))
+    q = matching.parsed_queries(spark, matching.QUERIES, LX.store_titles(view(spark, d, "products")))
     strong = F.array_join(F.slice(F.filter("tokens", lambda t: L.kind(t).isin("model", "spek", "merek")), 1, 3), " ")
     longest = F.transform(F.array_sort(F.transform("models", lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
     first = F.when(F.size("models") > 0, longest).otherwise(F.filter(F.array(strong), lambda s: s != ""))
@@ -268,7 +255,7 @@ def q_lines(spark, d):
     g = pricing.groups(view(spark, d, "products")).where("harga > 0")
     used = pricing.trimmed(g, "varian").where("dipakai")
     wide = used.groupBy("varian").agg(F.count("*").alias("n"), (F.max("harga") / F.min("harga")).alias("lebar")).where("n >= 3 and lebar >= 1.6").select("varian")
-    df = LX.document_frequency(LX.titled(view(spark, d, "products")))
+    df = LX.document_frequency(LX.store_titles(view(spark, d, "products")))
     rare = df.where((F.col("df") / F.col("n_dok") <= 0.12) & F.col("token").rlike("^[a-z]{4,}$") & L.kind(F.col("token")).isin("umum", "merek")).select("token", "idf")
     t = g.join(F.broadcast(wide), "varian").select("varian", "product_key", "store_id", "terjual", F.explode_outer("tokens").alias("token")).join(rare, "token", "left")
     best = t.groupBy("varian", "product_key", "store_id", "terjual").agg(F.max_by("token", F.when(F.col("idf").isNotNull(), F.struct("idf", "token"))).alias("lini"))
@@ -302,12 +289,10 @@ def build():
         "joi7_saved_cost": (q_saved_cost, with_views(f"WITH {L.VARIANT_SQL}, c AS (SELECT product_key, max(trunc(harga * 0.8::DOUBLE))::BIGINT AS modal FROM v_products WHERE is_own = 1 GROUP BY 1), r AS (SELECT varian, product_key, row_number() OVER (PARTITION BY varian ORDER BY harga, product_key) AS n FROM vr WHERE is_own = 1 AND harga > 0) SELECT varian, r.product_key, modal FROM r LEFT JOIN c USING (product_key) WHERE n = 1", PR)),
         "joi9_targets": (q_targets, with_views("SELECT jenis, area, concat(jenis, ' ', area) AS kueri FROM (SELECT DISTINCT kategori AS jenis FROM v_listings WHERE kategori IS NOT NULL), (SELECT DISTINCT area_pencarian AS area FROM v_listings)", L_)),
         "ded4_two_stage_key": (q_two_stage, with_views(f"WITH c AS (SELECT {PLACE_KEY_SQL} AS place_key FROM v_listings) SELECT CASE WHEN b.place_key IS NULL THEN 'BARU' WHEN try_cast(last_scraped_at AS TIMESTAMP) IS NULL OR try_cast(last_scraped_at AS TIMESTAMP) < TIMESTAMP '2024-01-15' - INTERVAL 182 DAY THEN 'LAMA_KEDALUWARSA' ELSE 'LAMA_SEGAR' END AS status, count(*) AS n FROM c LEFT JOIN v_businesses b USING (place_key) GROUP BY 1", L_, B)),
-        "ups2_products": (q_ups_products, with_views("WITH p AS (SELECT product_key, max(harga) AS harga, max(is_own) AS is_own FROM v_products WHERE store_id IN ('st-1', 'st-2', 'st-3') GROUP BY 1), f AS (SELECT product_key, last(CASE WHEN harga > 0 THEN harga END ORDER BY terjual, CASE WHEN harga > 0 THEN harga END NULLS FIRST) FILTER (WHERE harga > 0) AS harga, count(*) AS n FROM v_products WHERE store_id IN ('st-2', 'st-4') GROUP BY 1) SELECT coalesce(p.product_key, f.product_key) AS product_key, coalesce(f.harga, p.harga) AS harga, coalesce(p.is_own, 9) AS is_own, (CASE WHEN p.product_key IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS times_seen FROM p FULL JOIN f ON p.product_key = f.product_key", PR)),
-        "ups2_products_whole": (q_ups_products_whole, with_views("WITH p AS (SELECT product_key, max(harga) AS harga, max(is_own) AS is_own FROM v_products GROUP BY 1), f AS (SELECT product_key, last(harga ORDER BY seq, harga) FILTER (WHERE harga > 0) AS harga, count(*) AS n FROM v_product_obs GROUP BY 1) SELECT coalesce(p.product_key, f.product_key) AS product_key, coalesce(f.harga, p.harga) AS harga, coalesce(p.is_own, 9) AS is_own, (CASE WHEN p.product_key IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS times_seen FROM p FULL JOIN f ON p.product_key = f.product_key", PR, "product_obs")),
+        "ups2_products": (q_ups_products, with_views("WITH p AS (SELECT product_key, max(harga) AS harga, max(is_own) AS is_own FROM v_products GROUP BY 1), f AS (SELECT product_key, last(harga ORDER BY seq, harga) FILTER (WHERE harga > 0) AS harga, count(*) AS n FROM v_product_obs GROUP BY 1) SELECT coalesce(p.product_key, f.product_key) AS product_key, coalesce(f.harga, p.harga) AS harga, coalesce(p.is_own, 9) AS is_own, (CASE WHEN p.product_key IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS times_seen FROM p FULL JOIN f ON p.product_key = f.product_key", PR, "product_obs")),
         "ups4_last_write": (q_last_write, with_views("SELECT store_id, harga, seq FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY captured_at DESC, seq DESC, harga DESC) AS n FROM v_price_obs WHERE harga IS NOT NULL) WHERE n = 1", O)),
         "ups5_crm_edits": (q_crm_edits, with_views("SELECT place_key, CASE WHEN skor_pembeli > 60 THEN 'Follow Up' ELSE status_leads END AS status_leads, CASE WHEN skor_pembeli > 60 AND times_seen > 2 THEN '2024-02-01' ELSE tanggal_follow_up END AS tanggal_follow_up FROM v_businesses", B)),
-        "srt1_sheet_order": (q_sheet_order, with_views(f"WITH {L.VARIANT_SQL} SELECT store_id, product_key, varian, row_number() OVER (PARTITION BY store_id ORDER BY varian, CASE WHEN harga > 0 THEN harga END ASC NULLS LAST, product_key, terjual, nama_produk) AS urut FROM vr WHERE store_id IN ('st-1', 'st-2')", PR)),
-        "srt1_sheet_order_whole": (q_sheet_order_whole, with_views(f"WITH {L.VARIANT_SQL} SELECT store_id, product_key, varian, row_number() OVER (PARTITION BY store_id ORDER BY varian, CASE WHEN harga > 0 THEN harga END ASC NULLS LAST, product_key, terjual, nama_produk) AS urut FROM vr", PR)),
+        "srt1_sheet_order": (q_sheet_order, with_views(f"WITH {L.VARIANT_SQL} SELECT store_id, product_key, varian, row_number() OVER (PARTITION BY store_id ORDER BY varian, CASE WHEN harga > 0 THEN harga END ASC NULLS LAST, product_key, terjual, nama_produk) AS urut FROM vr", PR)),
         "mat8_product_lines": (q_lines, None),
         "mat11_win5_shelf_scores": (q_shelf_scores, None),
         "mat12_search_terms": (q_search_terms, None),

@@ -4,38 +4,51 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import titles as L
-from marketlens.functions.frames import each
+from marketlens.functions.frames import each, kept
 from marketlens.sources.views import view, with_views
 
 
 def titled(products):
-    """Products with distinct tokens of their titles."""
-    return products.withColumn("tokens", L.tokens(F.col("nama_produk")))
+    """Products with the tokens of their titles; equal titles are taken apart once."""
+    words = products.select("nama_produk").distinct().withColumn("tokens", L.tokens(F.col("nama_produk")))
+    return products.join(words, "nama_produk")
+
+
+def store_titles(products):
+    """(store_id, nama_produk, jumlah, tokens): each title of a store with its number of products. All counts come from it."""
+    return kept(titled(products.groupBy("store_id", "nama_produk").agg(F.count("*").alias("jumlah"))))
+
+
+def each_title(titles):
+    """The titles of all stores, each once, with the number of products."""
+    return titles.groupBy("nama_produk", "tokens").agg(F.sum("jumlah").alias("jumlah"))
 
 
 def document_frequency(titles):
     """token, df, idf over all titles with tokens."""
-    n = titles.where(F.size("tokens") > 0).agg(F.count("*").alias("n_dok"))
-    df = each(titles, [], F.array_distinct("tokens"), "token").groupBy("token").agg(F.count("*").alias("df"))
+    titles = each_title(titles)
+    n = titles.where(F.size("tokens") > 0).agg(F.sum("jumlah").alias("n_dok"))
+    df = each(titles, ["jumlah"], F.array_distinct("tokens"), "token").groupBy("token").agg(F.sum("jumlah").alias("df"))
     return df.join(F.broadcast(n)).withColumn("idf", F.log(1 + (F.col("n_dok") + 1) / (F.col("df") + 1)))
 
 
 def learned_promo(titles, share=0.35, stores=2):
     """Words in a large share of the titles of several stores; never with digits, brands, models or specifications."""
-    total = titles.groupBy("store_id").agg(F.count("*").alias("total"))
-    per = each(titles, ["store_id"], F.array_distinct("tokens"), "token").groupBy("store_id", "token").agg(F.count("*").alias("n"))
-    much = per.join(F.broadcast(total), "store_id").where(F.col("n") / F.col("total") >= share).groupBy("token").agg(F.count("*").alias("n_toko"))
+    total = titles.groupBy("store_id").agg(F.sum("jumlah").alias("total"))
+    per = each(titles, ["store_id", "jumlah"], F.array_distinct("tokens"), "token").groupBy("store_id", "token").agg(F.sum("jumlah").alias("n"))
+    much = per.join(total, "store_id").where(F.col("n") / F.col("total") >= share).groupBy("token").agg(F.count("*").alias("n_toko"))
     ok = ~F.col("token").rlike("[0-9]") & ~F.col("token").isin(*L.BRANDS) & ~L.kind(F.col("token")).isin("model", "spek")
     return much.where((F.col("n_toko") >= stores) & ok)
 
 
 def aliases(titles):
     """(token, keluarga, n): digit-bearing tokens that aren't models, with the model families of their title."""
+    titles = each_title(titles)
     models = F.filter("tokens", lambda w: L.kind(w) == "model")
     families = F.array_distinct(F.transform(models, lambda w: L.family(w)))
     others = F.array_distinct(F.filter("tokens", lambda w: w.rlike("[0-9]") & (L.kind(w) != "model")))
-    x = each(titles.select(families.alias("f"), others.alias("o")), ["f"], "o", "token")
-    return each(x, ["token"], "f", "keluarga").groupBy("token", "keluarga").agg(F.count("*").alias("n"))
+    x = each(titles.select("jumlah", families.alias("f"), others.alias("o")), ["f", "jumlah"], "o", "token")
+    return each(x, ["token", "jumlah"], "f", "keluarga").groupBy("token", "keluarga").agg(F.sum("jumlah").alias("n"))
 
 
 def q_tokens(spark, d):
@@ -44,27 +57,27 @@ def q_tokens(spark, d):
 
 
 def q_kinds(spark, d):
-    x = each(titled(view(spark, d, "products")), [], "tokens", "token").groupBy("token").agg(F.count("*").alias("n"))
+    x = each(each_title(store_titles(view(spark, d, "products"))), ["jumlah"], "tokens", "token").groupBy("token").agg(F.sum("jumlah").alias("n"))
     dim, value = L.spec_pair(F.col("token"))
     kind = L.kind(F.col("token"))
     return x.select("token", "n", kind.alias("kelas"), dim.alias("dimensi"), value.alias("nilai"), F.when(kind == "model", L.family(F.col("token"))).alias("keluarga"))
 
 
 def q_idf(spark, d):
-    return document_frequency(titled(view(spark, d, "products"))).select("token", "df", F.bround("idf", 6).alias("idf"))
+    return document_frequency(store_titles(view(spark, d, "products"))).select("token", "df", F.bround("idf", 6).alias("idf"))
 
 
 def q_promo(spark, d):
-    return learned_promo(titled(view(spark, d, "products"))).withColumn("benih", F.col("token").isin(*L.PROMO))
+    return learned_promo(store_titles(view(spark, d, "products"))).withColumn("benih", F.col("token").isin(*L.PROMO))
 
 
 def q_aliases(spark, d):
-    return aliases(titled(view(spark, d, "products"))).withColumn("cukup", F.col("n") >= 3)
+    return aliases(store_titles(view(spark, d, "products"))).withColumn("cukup", F.col("n") >= 3)
 
 
 def q_strong(spark, d):
     """The twelve strongest aliases with their four commonest families."""
-    a = aliases(titled(view(spark, d, "products")))
+    a = aliases(store_titles(view(spark, d, "products")))
     total = a.groupBy("token").agg(F.sum("n").alias("total"))
     top = total.orderBy(F.desc("total"), "token").limit(12)
     w = Window.partitionBy("token").orderBy(F.desc("n"), "keluarga")

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import titles as L
-from marketlens.functions.frames import each
+from marketlens.functions.frames import each, kept
 from marketlens.operators import lexicon as LX
 from marketlens.sources.views import view
 
@@ -20,9 +20,9 @@ WEIGHTS = {"model": 3.0, "spek": 2.0, "merek": 1.5, "umum": 1.0, "promo": 0.0}
 LEAST, TOP, EVIDENCE, LEADER = 0.45, 200, 2, 0.72
 
 
-def distinct_titles(products):
+def distinct_titles(titles):
     """One row per title with tokens, model codes, families and specifications."""
-    t = products.select("nama_produk").distinct().withColumn("tokens", L.tokens(F.col("nama_produk"))).where(F.size("tokens") > 0)
+    t = LX.each_title(titles).where(F.size("tokens") > 0).select("nama_produk", "tokens")
     t = t.withColumn("models", F.array_distinct(F.filter("tokens", lambda w: L.kind(w) == "model")))
     return t.withColumn("families", F.array_distinct(F.transform("models", lambda w: L.family(w)))).withColumn("specs", specs("tokens"))
 
@@ -32,9 +32,8 @@ def specs(column):
     return F.filter(both, lambda s: s["d"].isNotNull())
 
 
-def parsed_queries(spark, texts, products):
-    """Queries with their tokens (class, weight, alias families, generation prefix) and the families meant."""
-    titles = LX.titled(products)
+def parsed_queries(spark, texts, titles):
+    """Queries with their tokens (class, weight, alias families, generation prefix) and the families meant, by the titles of all stores."""
     idf = LX.document_frequency(titles).select("token", "df", "idf", "n_dok")
     n = idf.agg(F.max("n_dok").alias("n_dok"))
     fam = LX.aliases(titles).where(F.col("n") >= EVIDENCE).groupBy("token").agg(F.collect_set("keluarga").alias("fam"))
@@ -56,7 +55,7 @@ def parsed_queries(spark, texts, products):
     meant = F.when(F.size("direct") > 0, F.col("direct")).when(F.size("sets") == 0, none).when(F.size(both) > 0, both).otherwise(F.array_distinct(F.flatten("sets")))
     q = q.withColumn("meant", meant)
     near = F.filter("meant", lambda f: F.exists("gens", lambda g: f.startswith(g)))
-    return q.withColumn("meant", F.when((F.size("gens") > 0) & (F.size(near) > 0), near).otherwise(F.col("meant")))
+    return kept(q.withColumn("meant", F.when((F.size("gens") > 0) & (F.size(near) > 0), near).otherwise(F.col("meant"))))
 
 
 def hit(x, tokens, families):
@@ -67,8 +66,9 @@ def hit(x, tokens, families):
 
 def matches(spark, texts, products):
     """(query_id, nama_produk, skor, models, tokens) of titles that pass the hard filters and the threshold."""
-    titles = distinct_titles(products)
-    q = parsed_queries(spark, texts, products)
+    every = LX.store_titles(products)
+    titles = kept(distinct_titles(every))
+    q = parsed_queries(spark, texts, every)
     weighted = q.select("query_id", F.explode(F.filter("qt", lambda x: x["w"] > 0)).alias("x"))
     keys = weighted.select("query_id", F.col("x.token").alias("key")).unionByName(weighted.select("query_id", F.explode("x.fam").alias("key"))).unionByName(weighted.where("x.gen is not null").select("query_id", F.concat(F.lit("gen:"), "x.gen").alias("key"))).distinct()
     prefixes = F.flatten(F.transform("families", lambda f: F.array(F.concat(F.lit("gen:"), F.substring(f, 1, 1)), F.concat(F.lit("gen:"), F.substring(f, 1, 2)))))
@@ -129,7 +129,7 @@ def q_search(spark, d):
 
 
 def q_queries(spark, d):
-    q = parsed_queries(spark, QUERIES, view(spark, d, "products"))
+    q = parsed_queries(spark, QUERIES, LX.store_titles(view(spark, d, "products")))
     return q.select("query_id", "teks", F.array_join("tokens", " ").alias("token"), F.array_join(F.array_sort("meant"), ",").alias("keluarga"), F.array_join("gens", ",").alias("prefiks"))
 
 

@@ -23,7 +23,6 @@ BUILDERS = [
     ("Weebly", "host LIKE '%weebly.com%'"), ("Webnode", "host LIKE '%webnode.%'"), ("Wix", "low LIKE '%wix.com%' OR low LIKE '%\\_wixcssimports%'"), ("Shopify", "low LIKE '%cdn.shopify.com%'"),
     ("Webflow", "host LIKE '%webflow.io%' OR low LIKE '%webflow.com%'"), ("Squarespace", "low LIKE '%squarespace%'"), ("WordPress", "low LIKE '%wp-content%' OR low LIKE '%wp-includes%' OR low LIKE '%wp-json%'"),
 ]
-BLOCKED = ("captcha", "verify you are human", "access denied", "unusual traffic", "robot")
 
 
 def emails(text):
@@ -130,9 +129,9 @@ def q_attach(spark, d):
 
 
 def q_blocked(spark, d):
-    """Captured pages that show a block notice in title or first 3000 characters."""
+    """Captured pages that show a block notice in title or first 3000 characters, or whose url leads to a check or a login."""
     low = F.lower(F.substring("html", 1, 3000))
-    why = F.coalesce(*(F.when(F.contains(low, F.lit(w)), w) for w in BLOCKED))
+    why = F.coalesce(*(F.when(F.contains(low, F.lit(w)), w) for w in X.BLOCK_TEXT), *(F.when(F.contains(F.lower("url"), F.lit(w)), w) for w in X.BLOCK_URL))
     return table(spark, d, "pages").select("page_id", why.alias("alasan"), F.length("html").cast("long").alias("n"))
 
 
@@ -154,7 +153,7 @@ SELECT page_id, CASE WHEN {hosts('host', X.SOCIAL_HOSTS)} THEN 'sosmed_saja' WHE
         "web10_contact_links": (q_contact_links, """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages), e AS (SELECT page_id, unnest(ls) AS href, generate_subscripts(ls, 1) AS pos FROM l) SELECT * FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM e WHERE regexp_matches(href, '(?i)(kontak|contact|hubungi|about|tentang|profil)')) WHERE n <= 2"""),
         "web10_contact_emails": (q_contact_emails, None),
         "web11_attach": (q_attach, with_views(f"WITH h AS (SELECT *, {near} AS nr, {clean('html')} AS e FROM pages), p AS (SELECT page_id * 6 + 2 AS seq, coalesce(e[1], '') AS mail, {years} AS tahun FROM h) SELECT l.seq, coalesce(nullif(mail, ''), email) AS email, instagram, tahun FROM v_listings l LEFT JOIN p USING (seq)", "listings")),
-        "prs14_blocked_pages": (q_blocked, "SELECT page_id, CASE " + " ".join(f"WHEN contains(lower(left(html, 3000)), '{w}') THEN '{w}'" for w in BLOCKED) + " END AS alasan, length(html) AS n FROM pages"),
+        "prs14_blocked_pages": (q_blocked, "SELECT page_id, CASE " + " ".join([*(f"WHEN contains(lower(left(html, 3000)), '{w}') THEN '{w}'" for w in X.BLOCK_TEXT), *(f"WHEN contains(lower(url), '{w}') THEN '{w}'" for w in X.BLOCK_URL)]) + " END AS alasan, length(html) AS n FROM pages"),
     }
 
 

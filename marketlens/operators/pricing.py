@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import fixed as X
 from marketlens.functions import parse as P
 from marketlens.functions import titles as L
+from marketlens.functions.frames import kept
 from marketlens.sources.views import view, with_views
 
 FEE, FIXED = 8.0, 1250  # platform cut in percent and per order
@@ -59,11 +60,15 @@ def statistics(rows, group):
 
 
 def groups(products):
-    """Products with their variant: the sorted model codes of the title, or the title's tokens."""
-    t = L.tokens(F.col("nama_produk"))
-    x = products.withColumn("tokens", t)
+    """Products with tokens and variant: the sorted model codes of the title, or its tokens. Equal titles are taken apart once."""
+    x = products.select("nama_produk").distinct().withColumn("tokens", L.tokens(F.col("nama_produk")))
     model = F.array_sort(F.array_distinct(F.filter("tokens", lambda w: L.kind(w) == "model")))
-    return x.withColumn("varian", F.when(F.size(model) > 0, F.array_join(model, "|")).otherwise(F.array_join("tokens", " ")))
+    return products.join(x.withColumn("varian", F.when(F.size(model) > 0, F.array_join(model, "|")).otherwise(F.array_join("tokens", " "))), "nama_produk")
+
+
+def priced(products):
+    """What the analysis reads of products, with their variant, computed once."""
+    return kept(groups(products).select("varian", "product_key", "is_own", "sumber", "harga", "terjual"))
 
 
 def analysis(products, group):
@@ -98,13 +103,13 @@ def q_trim(spark, d):
 
 
 def q_analysis(spark, d):
-    x = analysis(groups(view(spark, d, "products")), "varian")
+    x = analysis(priced(view(spark, d, "products")), "varian")
     return x.select("varian", "n", "n_pencilan", "min", "p25", "median", "p75", "maks", "sebaran", "keyakinan", "kita", "modal", "lantai", "agresif", "seimbang", "premium", "posisi", "peringkat", "verdict", "bukan_harga")
 
 
 def q_bands(spark, d):
     """Three bands per product, with net cash, break-even cost, profit and margin."""
-    x = analysis(groups(view(spark, d, "products")), "varian")
+    x = analysis(priced(view(spark, d, "products")), "varian")
     rows = x.select("varian", "modal", F.inline(F.array(*(F.struct(F.lit(n).alias("nama"), F.col(n).alias("harga")) for n in ("agresif", "seimbang", "premium")))))
     h = F.col("harga")
     rows = rows.withColumn("uang_bersih", net_cash(h)).withColumn("potongan", (h * F.lit(FEE) / 100).cast("long")).withColumn("impas", most_cost(h)).withColumn("impas_margin", most_cost(h, X.MARGIN))
@@ -113,7 +118,7 @@ def q_bands(spark, d):
 
 def q_sheet(spark, d):
     """Each harvested row with its variant's count, median, advice and gap, in sheet order."""
-    g = groups(view(spark, d, "products"))
+    g = priced(view(spark, d, "products"))
     s = statistics(g, "varian").select("varian", "n", "median")
     x = g.join(s, "varian", "left").withColumn("saran", rounded(F.col("median"))).withColumn("selisih", F.col("harga") - F.col("median"))
     return x.select("product_key", "varian", "n", "median", "saran", F.col("selisih").cast("long").alias("selisih"))
@@ -125,10 +130,10 @@ def q_sentences(spark, d):
 
 
 def q_scale(spark, d):
-    """Upper-middle price per store outside the plausible range."""
-    p = view(spark, d, "products").where("harga > 0")
-    s = p.groupBy("store_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY harga DESC)").alias("tengah"))
-    return s.select("store_id", F.col("tengah").cast("long").alias("tengah"), (~F.col("tengah").between(100_000, 50_000_000)).alias("janggal"))
+    """Upper-middle price of each run, and whether it is outside of what any product costs."""
+    p = view(spark, d, "price_obs").where("harga > 0")
+    s = p.groupBy("run_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY harga DESC)").alias("tengah"))
+    return s.select("run_id", F.col("tengah").cast("long").alias("tengah"), (~F.col("tengah").between(*X.PLAUSIBLE)).alias("janggal"))
 
 
 def q_fees(spark, d):
@@ -194,6 +199,6 @@ def build():
         "prc6_bands": (q_bands, with_views(f"WITH {analysis_sql()}, bd AS ({bands}), b2 AS (SELECT *, {net('harga')} AS uang_bersih FROM bd) SELECT varian, nama, harga, uang_bersih, trunc(harga * 8.0::DOUBLE / 100)::BIGINT AS potongan, uang_bersih AS impas, trunc(uang_bersih - 0.05::DOUBLE * harga)::BIGINT AS impas_margin, uang_bersih - modal AS laba, CASE WHEN harga > 0 THEN round_even((uang_bersih - modal)::DOUBLE / harga * 100, 1) END AS margin_persen FROM b2", PR)),
         "prc10_sentences": (q_sentences, with_views(f"WITH {base} SELECT barang, concat(barang, ': ', n, ' harga pembanding, ', {tail('min')}, ' – ', {tail('maks')}, ', median ', {tail('median')}, '.') AS kalimat FROM s2", PR)),
         "prc11_sheet": (q_sheet, with_views(f"WITH {L.VARIANT_SQL}, {stats_sql('vr', 'varian')} SELECT product_key, vr.varian, n, median, {near('median')} AS saran, (harga - median)::BIGINT AS selisih FROM vr LEFT JOIN st USING (varian)", PR)),
-        "agg8_scale_alert": (q_scale, with_views("WITH g AS (SELECT store_id, list_sort(list(harga)) AS h FROM v_products WHERE harga > 0 GROUP BY 1) SELECT store_id, h[len(h) // 2 + 1]::BIGINT AS tengah, NOT (h[len(h) // 2 + 1] BETWEEN 100000 AND 50000000) AS janggal FROM g", PR)),
+        "agg8_scale_alert": (q_scale, with_views("WITH g AS (SELECT run_id, list_sort(list(harga)) AS h FROM v_price_obs WHERE harga > 0 GROUP BY 1) SELECT run_id, h[len(h) // 2 + 1]::BIGINT AS tengah, NOT (h[len(h) // 2 + 1] BETWEEN 100 AND 5000000000) AS janggal FROM g", "price_obs")),
         "joi6_fees": (q_fees, with_views("SELECT DISTINCT platform, CASE platform WHEN 'tokopedia' THEN 8.0 ELSE 0 END::DOUBLE AS persen, CASE platform WHEN 'tokopedia' THEN 1250 ELSE 0 END AS tetap FROM v_products", PR)),
     }

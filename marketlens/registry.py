@@ -2,24 +2,13 @@
 
 import importlib
 
-from marketlens.sources.views import whole, whole_sql
-
-MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "streaming.jobs")
-# Queries whose views are cut by their SQL; each is registered again as NAME_whole over every row.
-CUT = (
-    "agg1_dashboard", "agg3_branches", "agg6_campaign", "qry1_lead_page", "qry2_lead_detail", "io8_lead_sink", "io9_export", "ded2_joi1_admission", "ded3_refresh_due", "ded4_two_stage_key",
-    "cdc1_contact_changes", "cdc2_change_text", "ups1_cdc3_upsert", "ups5_crm_edits", "joi2_3_inherit", "sco3_6_scores", "dst1_categories", "set1_union", "win2_latest_changes", "prs12_ded3_readers",
-    "prs1_2_3_7_card_values", "prs8_product_cards", "agg7_rejects",
-)
+MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "operators.stores", "streaming.jobs")
 
 
 def _all():
     found = {}
     for m in MODULES:
         found.update(importlib.import_module(f"marketlens.{m}").build())
-    for name in CUT:
-        query, sql = found[name]
-        found[f"{name}_whole"] = (whole(query), whole_sql(sql))
     return found
 
 

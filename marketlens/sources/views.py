@@ -3,16 +3,13 @@
 The SQL is portable: Spark builds the frames from it and the oracles use it unchanged.
 """
 
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from marketlens.sources.tables import TABLES, table
 
 VIEWS = {
     "listings": r"""
 SELECT c_custkey AS seq,
   CASE WHEN c_custkey % 4 = 0 THEN concat('https://maps.example/place/0x', lower(hex(c_custkey % 900 + 256)), ':0x2f!3d-6.', cast(c_custkey % 90 + 10 AS STRING), '!4d106.', cast(c_custkey % 80 + 10 AS STRING))
-       WHEN c_custkey % 4 = 1 THEN concat('https://maps.example/?cid=', cast(c_custkey % 700 AS STRING))
+       WHEN c_custkey % 4 = 1 THEN concat('https://maps.example/?cid=', cast(c_custkey - c_custkey % 8 + 1 AS STRING))
        ELSE concat('https://maps.example/p/', cast(c_custkey AS STRING)) END AS href,
   concat('Bisnis ', c_mktsegment, ' ', cast(c_custkey % 97 AS STRING)) AS nama_bisnis,
   CASE c_custkey % 8 WHEN 0 THEN 'Klinik Gigi' WHEN 1 THEN 'Warung Makan' WHEN 2 THEN 'Toko Baju'
@@ -45,7 +42,7 @@ SELECT c_custkey AS seq,
 FROM customer
 """,
     "businesses": r"""
-SELECT concat('cid:', cast(c_custkey % 700 AS STRING)) AS place_key,
+SELECT concat('cid:', cast(c_custkey AS STRING)) AS place_key,
   concat('Bisnis ', c_mktsegment, ' ', cast(c_custkey % 97 AS STRING)) AS nama_bisnis,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('Jl. Contoh No. ', cast(c_custkey % 300 AS STRING)) END AS alamat,
   concat('Area ', cast(c_nationkey AS STRING)) AS area_pencarian,
@@ -64,7 +61,7 @@ SELECT concat('cid:', cast(c_custkey % 700 AS STRING)) AS place_key,
   CASE WHEN c_custkey % 4 = 0 THEN concat('2024-01-', lpad(cast(1 + c_custkey % 28 AS STRING), 2, '0')) END AS tanggal_follow_up,
   CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN '2023-11-05' ELSE concat('2023-', lpad(cast(1 + c_custkey % 12 AS STRING), 2, '0'), '-15 08:30:00') END AS last_scraped_at,
   1 + c_custkey % 4 AS times_seen
-FROM customer WHERE c_custkey % 4 = 1 AND c_custkey < 700
+FROM customer
 """,
     "stores": r"""
 SELECT concat('st-', cast(s_suppkey AS STRING)) AS id,
@@ -117,7 +114,7 @@ SELECT l_orderkey * 10 + l_linenumber AS seq,
     CASE l_orderkey % 5 WHEN 0 THEN '1,2rb terjual' WHEN 1 THEN '1.200 terjual' WHEN 2 THEN concat(cast(l_partkey AS STRING), ' terjual') WHEN 3 THEN 'Terjual 50' ELSE '' END) AS teks,
   concat('https://www.toko.example/s', cast(l_suppkey AS STRING), '/p', cast(l_partkey AS STRING), '?t=', cast(l_orderkey AS STRING)) AS href,
   concat('s', cast(l_suppkey AS STRING)) AS username
-FROM lineitem WHERE l_orderkey % 3 = 0
+FROM lineitem
 """,
     "listing_cards": r"""
 SELECT c_custkey AS seq,
@@ -129,47 +126,9 @@ FROM customer
 """,
 }
 
-# Views that hold every row, for the queries named ..._whole. The view businesses keeps one customer in four
-# below 700: here each customer is one business with a key of its own, and each two listings with a cid share one.
-# The view card_text keeps every third order: here each lineitem row is a card.
-WHOLE = {
-    "businesses": VIEWS["businesses"].replace("c_custkey % 700", "c_custkey").replace(" WHERE c_custkey % 4 = 1 AND c_custkey < 700", ""),
-    "listings": VIEWS["listings"].replace("c_custkey % 700", "c_custkey - c_custkey % 8 + 1"),
-    "card_text": VIEWS["card_text"].replace(" WHERE l_orderkey % 3 = 0", ""),
-}
-_WHOLE = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole_views():
-    """Within it, view() takes the views that hold every row."""
-    token = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(token)
-
-
-def whole(query):
-    """A query over the views that hold every row."""
-
-    def run(spark, sf_dir, *args):
-        with whole_views():
-            return query(spark, sf_dir, *args)
-
-    return run
-
-
-def whole_sql(sql):
-    """The oracle of such a query: the same SQL with those views in front."""
-    for name, text in WHOLE.items():
-        sql = sql.replace(f"v_{name} AS ({VIEWS[name]})", f"v_{name} AS ({text})")
-    return sql
-
-
 def view(spark, sf_dir, name):
     """The frame of a view; only the tables and columns it names are read."""
-    sql = WHOLE.get(name, VIEWS[name]) if _WHOLE.get() else VIEWS[name]
+    sql = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql}
     for t in used:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")

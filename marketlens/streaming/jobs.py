@@ -1,22 +1,20 @@
 """Incremental rules as Structured Streaming jobs over file sources; the batch forms are the truth."""
 
-import os
-import tempfile
 import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from marketlens.functions.frames import checkpoint_folder
 from marketlens.operators import ledger
 from marketlens.sources.tables import table
-from marketlens.sources.views import view, whole, whole_sql, with_views
+from marketlens.sources.views import view, with_views
 
 
 def folder(spark):
     """A new folder under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketlens-", dir=os.environ.get("TMPDIR"))
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark, sf_dir, name):
@@ -82,20 +80,14 @@ def upserted(spark, d, feed_of):
 
 
 def q_upsert(spark, d):
-    """One customer in four as a feed into the businesses."""
-    return upserted(spark, d, lambda rows: rows.where("c_custkey % 4 = 1").withColumn("place_key", F.concat(F.lit("cid:"), (F.col("c_custkey") % 700).cast("string"))))
-
-
-def q_upsert_whole(spark, d):
     """All customers as a feed into all businesses: pairs share an even key, every fifth is new."""
     key = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("baru:"), "c_custkey")).otherwise(F.concat(F.lit("cid:"), F.col("c_custkey") - F.col("c_custkey") % 2))
-    return whole(upserted)(spark, d, lambda rows: rows.withColumn("place_key", key))
+    return upserted(spark, d, lambda rows: rows.withColumn("place_key", key))
 
 
 def build():
     return {
         "st1_price_changes": (q_price_changes, ledger.build()["snp1_price_history"][1]),
         "st2_admission": (q_admission, "SELECT DISTINCT user_id, event_type FROM events"),
-        "st3_upsert_feed": (q_upsert, with_views("WITH f AS (SELECT concat('cid:', (c_custkey % 700)::VARCHAR) AS place_key, last(c_name ORDER BY c_custkey) AS nama_bisnis, last(c_mktsegment ORDER BY c_custkey) AS telepon, count(*) AS n FROM customer WHERE c_custkey % 4 = 1 GROUP BY 1) SELECT coalesce(b.place_key, f.place_key) AS place_key, coalesce(f.nama_bisnis, b.nama_bisnis) AS nama_bisnis, coalesce(f.telepon, b.telepon) AS telepon, CASE WHEN n IS NULL THEN b.last_scraped_at ELSE '2024-01-15 00:00:00' END AS last_scraped_at, (coalesce(b.times_seen, 0) + coalesce(n, 0))::BIGINT AS times_seen FROM v_businesses b FULL JOIN f ON b.place_key = f.place_key", "businesses")),
-        "st3_upsert_feed_whole": (q_upsert_whole, whole_sql(with_views("WITH f AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN concat('baru:', c_custkey::VARCHAR) ELSE concat('cid:', (c_custkey - c_custkey % 2)::VARCHAR) END AS place_key, last(c_name ORDER BY c_custkey) AS nama_bisnis, last(c_mktsegment ORDER BY c_custkey) AS telepon, count(*) AS n FROM customer GROUP BY 1) SELECT coalesce(b.place_key, f.place_key) AS place_key, coalesce(f.nama_bisnis, b.nama_bisnis) AS nama_bisnis, coalesce(f.telepon, b.telepon) AS telepon, CASE WHEN n IS NULL THEN b.last_scraped_at ELSE '2024-01-15 00:00:00' END AS last_scraped_at, (coalesce(b.times_seen, 0) + coalesce(n, 0))::BIGINT AS times_seen FROM v_businesses b FULL JOIN f ON b.place_key = f.place_key", "businesses"))),
+        "st3_upsert_feed": (q_upsert, with_views("WITH f AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN concat('baru:', c_custkey::VARCHAR) ELSE concat('cid:', (c_custkey - c_custkey % 2)::VARCHAR) END AS place_key, last(c_name ORDER BY c_custkey) AS nama_bisnis, last(c_mktsegment ORDER BY c_custkey) AS telepon, count(*) AS n FROM customer GROUP BY 1) SELECT coalesce(b.place_key, f.place_key) AS place_key, coalesce(f.nama_bisnis, b.nama_bisnis) AS nama_bisnis, coalesce(f.telepon, b.telepon) AS telepon, CASE WHEN n IS NULL THEN b.last_scraped_at ELSE '2024-01-15 00:00:00' END AS last_scraped_at, (coalesce(b.times_seen, 0) + coalesce(n, 0))::BIGINT AS times_seen FROM v_businesses b FULL JOIN f ON b.place_key = f.place_key", "businesses")),
     }

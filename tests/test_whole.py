@@ -1,11 +1,11 @@
-"""Queries over every row: the views that cut theirs hold all of them under the name ..._whole."""
+"""Queries read every row of their tables."""
 
 from pyspark.sql import functions as F
 
 from marketlens import registry
 from marketlens.operators import pages
 from marketlens.sources.tables import table
-from marketlens.sources.views import view, whole_views
+from marketlens.sources.views import view
 
 DIR = "/root/testdata/sf0.01"
 QUERIES = registry.queries()
@@ -14,36 +14,34 @@ QUERIES = registry.queries()
 def test_each_customer_is_a_business(spark):
     n = table(spark, DIR, "customer").count()
     assert n > 700
-    with whole_views():
-        b, cards = view(spark, DIR, "businesses"), view(spark, DIR, "listings")
+    b, cards = view(spark, DIR, "businesses"), view(spark, DIR, "listings")
     assert b.count() == b.select("place_key").distinct().count() == n
-    assert cards.count() == n and view(spark, DIR, "businesses").count() == 175
-    totals = {r.k: r.n for r in QUERIES["agg1_dashboard_whole"](spark, DIR).where("jenis = 'semua'").collect()}
+    assert cards.count() == n
+    totals = {r.k: r.n for r in QUERIES["agg1_dashboard"](spark, DIR).where("jenis = 'semua'").collect()}
     assert totals["total"] == n
-    met = QUERIES["ded2_joi1_admission_whole"](spark, DIR).where("status <> 'BARU'")
+    met = QUERIES["ded2_joi1_admission"](spark, DIR).where("status <> 'BARU'")
     assert met.select("place_key").distinct().count() == (n + 7) // 8 > 175
-    assert QUERIES["ups1_cdc3_upsert_whole"](spark, DIR).where(F.col("status_leads").isNotNull()).count() == b.where("status_leads is not null").count()
+    assert QUERIES["ups1_cdc3_upsert"](spark, DIR).where(F.col("status_leads").isNotNull()).count() == b.where("status_leads is not null").count()
 
 
 def test_each_lineitem_is_a_card(spark):
     n = table(spark, DIR, "lineitem").count()
-    values = QUERIES["prs1_2_3_7_card_values_whole"](spark, DIR)
+    values = QUERIES["prs1_2_3_7_card_values"](spark, DIR)
     assert values.count() == n
-    cards = QUERIES["prs8_product_cards_whole"](spark, DIR)
+    cards = QUERIES["prs8_product_cards"](spark, DIR)
     assert cards.where("seq div 10 % 3 <> 0").count() > cards.where("seq div 10 % 3 = 0").count() > 0
 
 
 def test_every_store_and_feed_row(spark):
     n = view(spark, DIR, "products").count()
-    sheet = QUERIES["srt1_sheet_order_whole"](spark, DIR)
+    sheet = QUERIES["srt1_sheet_order"](spark, DIR)
     assert sheet.count() == n and sheet.select("store_id").distinct().count() == view(spark, DIR, "products").select("store_id").distinct().count() > 2
     keys = view(spark, DIR, "products").select("product_key").distinct()
-    seen = QUERIES["ups2_products_whole"](spark, DIR)
+    seen = QUERIES["ups2_products"](spark, DIR)
     assert seen.agg(F.sum("times_seen")).first()[0] == keys.count() + table(spark, DIR, "lineitem").count()
     assert seen.where("product_key like '%:baru' and is_own = 9").count() > 0
-    with whole_views():
-        before = view(spark, DIR, "businesses").agg(F.sum("times_seen")).first()[0]
-    fed = QUERIES["st3_upsert_feed_whole"](spark, DIR)
+    before = view(spark, DIR, "businesses").agg(F.sum("times_seen")).first()[0]
+    fed = QUERIES["st3_upsert_feed"](spark, DIR)
     assert fed.agg(F.sum("times_seen")).first()[0] == before + table(spark, DIR, "customer").count()
 
 
