@@ -38,3 +38,5 @@ AS_OF = "2024-01-15 00:00:00"
 PLAUSIBLE = (100, 5_000_000_000)  # least and greatest middle price of a run
 BLOCK_TEXT = ("just a moment", "checking your browser", "enable javascript", "verify you are human", "verifying you are human", "captcha", "akses ditolak", "access denied", "unusual traffic", "please wait while we", "ddos protection", "are you a robot", "verifikasi", "tekan dan tahan")
 BLOCK_URL = ("/verify/traffic", "/verify/captcha", "/buyer/login", "/login", "captcha")
+# Default fees by platform (per cent of the price, fixed sum).
+FEES = {"shopee": (8.0, 5000), "tokopedia": (6.5, 5000)}

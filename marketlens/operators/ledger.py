@@ -40,7 +40,7 @@ def keyed_cards(spark, d):
     return v.withColumn("place_key", P.place_key(F.col("href"), F.col("nama_bisnis"), F.col("alamat"), F.col("telepon")))
 
 
-def contact_changes(cards, businesses, fields=("telepon", "website")):
+def contact_changes(cards, businesses, fields=("telepon", "website", "email")):
     """(place_key, field, lama, baru): new non-blank values that differ from the stored ones."""
     new = first_per_key(cards.where("place_key <> ''"), "place_key", ["seq"]).select("place_key", *(F.col(f).alias(f"n_{f}") for f in fields))
     both = new.join(businesses.select("place_key", *fields), "place_key")
@@ -140,16 +140,6 @@ def q_srp1(spark, d):
     return best.join(low, ["run_id", "store_id", "tingkat"]).groupBy("run_id", "store_id", "sumber").agg(F.count("*").alias("n"))
 
 
-def q_del1(spark, d):
-    """Rows left and removed when history older than the limit and one store's products go."""
-    o, p = view(spark, d, "price_obs"), view(spark, d, "products")
-    old = F.col("captured_at") < F.lit("1996-01-01").cast("date")
-    gone = p.where("store_id = 'st-3'").select("product_key").distinct()
-    a = o.agg(F.count_if(old).alias("dihapus"), F.count_if(~old).alias("tersisa")).select(F.lit("riwayat").alias("tabel"), "dihapus", "tersisa")
-    b = p.agg(F.count_if(F.col("store_id") == "st-3").alias("dihapus")).crossJoin(p.join(gone, "product_key", "left_anti").agg(F.count("*").alias("tersisa")))
-    return a.unionByName(b.select(F.lit("produk").alias("tabel"), "dihapus", "tersisa"))
-
-
 def q_win3(spark, d):
     v = view(spark, d, "price_obs")
     w = Window.partitionBy("product_key").orderBy(F.desc("captured_at"), F.desc("seq"))
@@ -163,14 +153,6 @@ def q_searches(spark, d):
     return v.withColumn("n", F.row_number().over(w)).where("n <= 3")
 
 
-def q_agg2(spark, d):
-    p, s = view(spark, d, "products"), view(spark, d, "stores")
-    o = view(spark, d, "price_obs").agg(F.count("*").alias("riwayat"), F.countDistinct("run_id").alias("run"))
-    a = s.agg(F.count("*").alias("toko"), F.count_if(F.expr("is_own = 1")).alias("toko_sendiri"))
-    b = p.agg(F.count("*").alias("produk"), F.count_if(F.expr("is_own = 1")).alias("produk_sendiri"))
-    return a.crossJoin(b).crossJoin(o)
-
-
 def q_agg7(spark, d):
     """Rejected cards by reason."""
     v = view(spark, d, "card_text").select("username", "href", "seq", F.size(P.prices(F.col("teks"))).alias("n"), P.product_name(F.col("teks")).alias("nama"))
@@ -206,7 +188,8 @@ CARDS = f"cards AS (SELECT *, {PLACE_KEY_SQL} AS place_key FROM v_listings)"
 FIRST = f"{CARDS}, fc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_key ORDER BY seq) AS rn FROM cards WHERE place_key <> '') WHERE rn = 1)"
 CHANGES = f"""{FIRST}, ch AS (
 SELECT b.place_key, 'telepon' AS field, trim(coalesce(b.telepon, '')) AS lama, trim(f.telepon) AS baru FROM fc f JOIN v_businesses b USING (place_key)
-UNION ALL SELECT b.place_key, 'website', trim(coalesce(b.website, '')), trim(f.website) FROM fc f JOIN v_businesses b USING (place_key)),
+UNION ALL SELECT b.place_key, 'website', trim(coalesce(b.website, '')), trim(f.website) FROM fc f JOIN v_businesses b USING (place_key)
+UNION ALL SELECT b.place_key, 'email', trim(coalesce(b.email, '')), trim(f.email) FROM fc f JOIN v_businesses b USING (place_key)),
 cg AS (SELECT * FROM ch WHERE baru IS NOT NULL AND baru NOT IN ('', '-', 'n/a') AND baru <> lama)"""
 
 
@@ -228,10 +211,8 @@ SELECT coalesce(b.place_key, f.place_key) AS place_key, {', '.join(f'coalesce(f.
         "joi2_3_inherit": (q_joi2, with_views(f"WITH {CARDS} SELECT seq, c.place_key, coalesce(nullif(c.telepon, ''), nullif(b.telepon, '')) AS telepon, coalesce(nullif(c.alamat, ''), nullif(b.alamat, '')) AS alamat, coalesce(nullif(c.website, ''), nullif(b.website, '')) AS website FROM cards c LEFT JOIN v_businesses b USING (place_key)", L, B)),
         "snp1_price_history": (q_snp1, with_views("WITH v AS (SELECT *, coalesce(terjual, 0) AS tj, lag(harga) OVER w AS h0, lag(coalesce(terjual, 0)) OVER w AS t0 FROM v_price_obs WHERE coalesce(harga, 0) <> 0 WINDOW w AS (PARTITION BY product_key ORDER BY seq, harga, coalesce(terjual, 0))) SELECT product_key, seq, harga, tj AS terjual FROM v WHERE h0 IS NULL OR h0 <> harga OR t0 <> tj", O)),
         "srp1_best_source": (q_srp1, with_views("WITH t AS (SELECT *, CASE sumber WHEN 'api' THEN 1 WHEN 'dom_anchor' THEN 2 ELSE 3 END AS r FROM v_price_obs), m AS (SELECT *, min(r) OVER (PARTITION BY run_id, store_id) AS lo FROM t) SELECT run_id, store_id, sumber, count(*) AS n FROM m WHERE r = lo GROUP BY ALL", O)),
-        "del1_retention": (q_del1, with_views("SELECT 'riwayat' AS tabel, count(*) FILTER (WHERE captured_at < DATE '1996-01-01') AS dihapus, count(*) FILTER (WHERE captured_at >= DATE '1996-01-01') AS tersisa FROM v_price_obs UNION ALL SELECT 'produk', count(*) FILTER (WHERE store_id = 'st-3'), count(*) FILTER (WHERE product_key NOT IN (SELECT product_key FROM v_products WHERE store_id = 'st-3')) FROM v_products", O, PR)),
         "win3_last_prices": (q_win3, with_views("SELECT product_key, seq, n FROM (SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY captured_at DESC, seq DESC) AS n FROM v_price_obs) WHERE n <= 60", O)),
         "win1_agg4_latest_runs": (q_searches, with_views("WITH g AS (SELECT run_id, store_id, count(*) AS ditemukan, count(*) FILTER (WHERE coalesce(harga, 0) <> 0) AS baru, max(seq) AS terakhir FROM v_price_obs GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY terakhir DESC, run_id) AS n FROM g) WHERE n <= 3", O)),
-        "agg2_counters": (q_agg2, with_views("SELECT (SELECT count(*) FROM v_stores) AS toko, (SELECT count(*) FROM v_stores WHERE is_own = 1) AS toko_sendiri, (SELECT count(*) FROM v_products) AS produk, (SELECT count(*) FROM v_products WHERE is_own = 1) AS produk_sendiri, (SELECT count(*) FROM v_price_obs) AS riwayat, (SELECT count(DISTINCT run_id) FROM v_price_obs) AS run", O, PR, S)),
         "agg7_rejects": (q_agg7, with_views(r"WITH x AS (SELECT *, regexp_matches(teks, 'Rp\s?[0-9]') AS ada, regexp_extract(href, '/(p[0-9]+)[?]', 1) AS p FROM v_card_text), y AS (SELECT *, row_number() OVER (PARTITION BY username, p ORDER BY seq) AS r FROM x) SELECT username, count(*) FILTER (WHERE NOT ada) AS tanpa_harga, 0 AS tanpa_nama, count(*) FILTER (WHERE r > 1) AS ganda FROM y GROUP BY 1", "card_text")),
         "joi4_store_status": (q_joi4, with_views("SELECT id, coalesce(n, 0) AS n, coalesce(jual, false) AS jual FROM v_stores s LEFT JOIN (SELECT store_id, count(*) AS n, bool_or(lower(nama_produk) LIKE '%12700k%') AS jual FROM v_products GROUP BY 1) p ON p.store_id = s.id WHERE platform = 'tokopedia'", S, PR)),
         "joi5_own_flag": (q_joi5, with_views("SELECT product_key, coalesce(s.is_own, p.is_own)::INTEGER AS is_own FROM v_products p LEFT JOIN v_stores s ON s.id = p.store_id", S, PR)),

@@ -136,11 +136,19 @@ def q_scale(spark, d):
     return s.select("run_id", F.col("tengah").cast("long").alias("tengah"), (~F.col("tengah").between(*X.PLAUSIBLE)).alias("janggal"))
 
 
+def fees(platforms, typed, defaults=X.FEES):
+    """platforms with (persen, tetap): the fee that a user typed for the platform, else its default, else 0."""
+    pick = lambda k: F.coalesce(*(F.when(F.col("platform") == p, F.lit(v[k])) for p, v in defaults.items()), F.lit(0))
+    own = typed.select("platform", F.col("persen").alias("_persen"), F.col("tetap").alias("_tetap"))
+    return platforms.join(own, "platform", "left").withColumn("persen", F.coalesce("_persen", pick(0)).cast("double")).withColumn("tetap", F.coalesce("_tetap", pick(1)).cast("int")).drop("_persen", "_tetap")
+
+
 def q_fees(spark, d):
-    """Fees per platform with defaults overlaid by the given ones; unknown platforms cost nothing."""
-    p = view(spark, d, "products").groupBy("platform").agg(F.max("harga").alias("harga"))
-    fees = spark.createDataFrame([("tokopedia", 8.0, 1250)], "platform string, persen double, tetap int")
-    return p.join(F.broadcast(fees), "platform", "left").select("platform", F.coalesce("persen", F.lit(0.0)).alias("persen"), F.coalesce("tetap", F.lit(0)).alias("tetap"))
+    """Fees of every store's platform; a third platform has only typed ones, a fourth none."""
+    kind = F.expr("CASE WHEN id LIKE '%7' THEN 'lazada' WHEN id LIKE '%9' THEN 'bukalapak' ELSE platform END")
+    s = view(spark, d, "stores").select("id", kind.alias("platform"))
+    typed = spark.createDataFrame([("tokopedia", 7.25, None), ("lazada", 4.0, 1250)], "platform string, persen double, tetap int")
+    return fees(s, typed)
 
 
 GRID = "CASE WHEN {h} < 100000 THEN 500 WHEN {h} < 1000000 THEN 1000 WHEN {h} < 10000000 THEN 5000 ELSE 10000 END"
@@ -200,5 +208,5 @@ def build():
         "prc10_sentences": (q_sentences, with_views(f"WITH {base} SELECT barang, concat(barang, ': ', n, ' harga pembanding, ', {tail('min')}, ' – ', {tail('maks')}, ', median ', {tail('median')}, '.') AS kalimat FROM s2", PR)),
         "prc11_sheet": (q_sheet, with_views(f"WITH {L.VARIANT_SQL}, {stats_sql('vr', 'varian')} SELECT product_key, vr.varian, n, median, {near('median')} AS saran, (harga - median)::BIGINT AS selisih FROM vr LEFT JOIN st USING (varian)", PR)),
         "agg8_scale_alert": (q_scale, with_views("WITH g AS (SELECT run_id, list_sort(list(harga)) AS h FROM v_price_obs WHERE harga > 0 GROUP BY 1) SELECT run_id, h[len(h) // 2 + 1]::BIGINT AS tengah, NOT (h[len(h) // 2 + 1] BETWEEN 100 AND 5000000000) AS janggal FROM g", "price_obs")),
-        "joi6_fees": (q_fees, with_views("SELECT DISTINCT platform, CASE platform WHEN 'tokopedia' THEN 8.0 ELSE 0 END::DOUBLE AS persen, CASE platform WHEN 'tokopedia' THEN 1250 ELSE 0 END AS tetap FROM v_products", PR)),
+        "joi6_fees": (q_fees, with_views("WITH k AS (SELECT id, CASE WHEN id LIKE '%7' THEN 'lazada' WHEN id LIKE '%9' THEN 'bukalapak' ELSE platform END AS platform FROM v_stores), f(platform, persen, tetap) AS (VALUES ('shopee', 8.0, 5000), ('tokopedia', 7.25, 5000), ('lazada', 4.0, 1250)) SELECT id, k.platform, coalesce(persen, 0)::DOUBLE AS persen, coalesce(tetap, 0)::INTEGER AS tetap FROM k LEFT JOIN f USING (platform)", "stores")),
     }

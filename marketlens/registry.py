@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "operators.stores", "streaming.jobs")
+MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "operators.retention", "operators.stores", "streaming.jobs")
 
 
 def _all():

@@ -49,6 +49,7 @@ SELECT concat('cid:', cast(c_custkey AS STRING)) AS place_key,
   CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('0812', lpad(cast(c_custkey AS STRING), 7, '0')) END AS telepon,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('https://wa.me/62812', lpad(cast(c_custkey AS STRING), 7, '0')) END AS whatsapp_link,
   CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://lama', cast(c_custkey AS STRING), '.id') END AS website,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 9 = 0 THEN concat('kantor', cast(c_custkey AS STRING), '@usaha.co.id') ELSE '' END AS email,
   CASE c_custkey % 4 WHEN 1 THEN 'Klinik Gigi' WHEN 2 THEN 'Kafe' ELSE 'Toko Baju' END AS kategori,
   CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE cast(10 + (c_custkey * 7) % 41 AS DOUBLE) / cast(10 AS DOUBLE) END AS rating,
   CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE (c_custkey * 13) % 400 END AS jumlah_ulasan,
@@ -101,7 +102,7 @@ FROM lineitem
 """,
     "product_obs": r"""
 SELECT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'tkp:' ELSE 'shp:' END, cast(l_suppkey AS STRING), ':', cast(l_partkey AS STRING), CASE WHEN l_linenumber = 7 THEN ':baru' ELSE '' END) AS product_key,
-  l_orderkey * 10 + l_linenumber AS seq,
+  l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS captured_at, concat('run-', cast(l_orderkey % 12 AS STRING)) AS run_id,
   CASE WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_linenumber = 6 THEN 0 ELSE 100000 + 5000 * (l_orderkey % 3) END AS harga
 FROM lineitem
 """,
