@@ -1,6 +1,6 @@
 """Queries of the text operators with their SQL oracles."""
 
-from marketlens.llm import decontamination, jaccard_join, license_scan, packing, pii, quality, substring_dedup, topk_search, toxicity, url_filter
+from marketlens.llm import alignment, bpe, collocations, decontamination, jaccard_join, license_scan, packing, pii, quality, substring_dedup, topk_search, toxicity, url_filter
 
 
 def queries():
@@ -15,6 +15,9 @@ def queries():
         "op8_decontamination": decontamination.query,
         "op9_topk_search": topk_search.query,
         "op10_jaccard_join": jaccard_join.query,
+        "op11_bpe": bpe.query,
+        "op12_alignment": alignment.query,
+        "op13_collocations": collocations.query,
     }
 
 
@@ -24,4 +27,5 @@ def oracle_sql():
         "op8_decontamination": decontamination.ORACLE,
         "op9_topk_search": topk_search.ORACLE,
         "op10_jaccard_join": jaccard_join.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }

@@ -1,6 +1,6 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
-Words are runs of bytes of a class. Both classes used by the operators put every byte of a
+Words are runs of bytes of a class. All classes used by the operators put every byte of a
 multi-byte UTF-8 character inside words, so splitting bytes equals splitting characters.
 Hashes are 64 bit: a random value per byte times a power of an odd base, summed over the word
 and mixed. They depend on the bytes alone, so every executor finds the same ones.
@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 21  # bytes hashed at once; bounds the temporary arrays
 U = np.uint64
+BREAKS = np.array([*b".,;:!?", *range(0x0A, 0x0E)])  # bytes that phrases don't run over
 
 
 def mix(x):
@@ -31,10 +32,12 @@ def byte_values(lower=False):
 
 
 def byte_class(kind):
-    """Which bytes are in words: 'space' (all but ASCII white space) or 'alnum'."""
+    """Which bytes are in words: 'space' (all but ASCII white space), 'phrase' (nor BREAKS) or 'alnum'."""
     c = np.ones(256, dtype=bool)
-    if kind == "space":
+    if kind in ("space", "phrase"):
         c[[0x20, *range(0x09, 0x0E)]] = False
+        if kind == "phrase":
+            c[BREAKS] = False
     else:
         c[:0x80] = False
         c[0x30:0x3A] = True
