@@ -7,11 +7,12 @@ from the next scan on, while shorter and longer ones still go on, until each has
 once. A phrase that reaches the threshold in the whole corpus has parts that do, so none is missed.
 
 Each scan is one job: tasks count the active phrases of their texts, counts are summed by phrase and
-merged with what is known. Of each phrase the sum, the shards seen (as bits) and the scan in which it
-reached the threshold are kept. Which phrases are active is told to the tasks by a table of FILTER
-buckets at most: the earliest and the latest such scan among the phrases of a bucket. So phrases may be
-counted too early or twice in a shard, never too late; the bits keep a shard from being added twice. A phrase with
-LEAST occurrences has parts that reached the threshold, so at the end it has seen all shards.
+merged with what is known, which is written to the shared folder. Of each phrase the sum, its first scan
+and the scan in which it reached the threshold are kept. Which phrases are active is told to the
+tasks by a table of FILTER buckets at most: the earliest and the latest such scan among the phrases of
+a bucket. Once it admits a phrase, which is never too late, it does so for a whole round at least. So a phrase is complete SHARDS
+scans after its first one; what a bucket admits later is not added, and a complete phrase below
+the threshold is forgotten.
 
 Words lie in pieces without punctuation, all counting is by language. A null text has no words,
 a null language is `und`, words of any length count. Repeated rows count as often as they stand;
@@ -50,6 +51,14 @@ def bucket_of():
     return F.col("w1").bitwiseXOR(F.shiftrightunsigned("w2", 7)).bitwiseAND(F.lit(FILTER - 1))
 
 
+def laid_out(place, lo, hi):
+    """Both numbers of every bucket; LATE and 0 where it has none."""
+    out = np.zeros((2, FILTER), np.uint8)
+    out[0] = LATE
+    out[0, place], out[1, place] = lo, hi
+    return out
+
+
 def phrase_words(part):
     """Of a batch: bytes, word starts and ends, text of each word, its 64-bit hash, and whether the next word follows in the same piece."""
     data, offsets = T.utf8(part.column("text"))
@@ -77,7 +86,7 @@ def _scan(scan, filters):
     """Counts of the words (in the first round) and of the active longer phrases of each batch."""
 
     def work(batches):
-        reached = filters.value if filters else {}
+        reached = {s: laid_out(*held) for s, held in filters.value.items()} if filters else {}
         for batch in batches:
             for part in T.slices(batch, "text", T.CHUNK * 2):
                 data, starts, ends, owner, h, follows = phrase_words(part)
@@ -111,10 +120,9 @@ def _scan(scan, filters):
     return lean(work)
 
 
-def dealt(docs):
+def dealt(docs, folder):
     """The texts with a language, in SHARDS folders of equal size; each scan reads one of them."""
     spark = docs.sparkSession
-    folder = f"{checkpoint_folder(spark)}/phrases-{uuid.uuid4().hex}"
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(SHARDS)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     return spark.read.schema("lang string, text string, shard int").parquet(folder)
@@ -128,38 +136,50 @@ def filter_table(known):
     rows = known.where(F.col("reached").isNotNull() & (F.col("size") < LONGEST))
     got = rows.groupBy("size", bucket_of().alias("bucket")).agg(F.min("reached").cast("short").alias("lo"), F.max("reached").cast("short").alias("hi")).toArrow()
     size, place, lo, hi = (got.column(c).to_numpy() for c in ("size", "bucket", "lo", "hi"))
-    out, last = {}, -1
-    for s in np.unique(size).tolist():
-        held = np.zeros((2, FILTER), np.uint8)
-        held[0] = LATE
-        held[0, place[size == s]], held[1, place[size == s]] = lo[size == s], hi[size == s]
-        out[s], last = held, max(last, int(hi[size == s].max()))
-    return out, last
+    out = {s: (place[size == s].astype(np.int32), lo[size == s].astype(np.uint8), hi[size == s].astype(np.uint8)) for s in np.unique(size).tolist()}
+    return out, int(max(hi, default=-1))
+
+
+def written(rows, folder):
+    """The rows as a table in the shared folder."""
+    rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def removed(spark, folder):
+    """Delete a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def phrase_counts(docs):
-    """lang, size, w1..w3 (word hashes), word (of size 1), n, of all words and of every phrase that has LEAST occurrences, and some more."""
-    spark, shards = docs.sparkSession, dealt(docs)
-    known, filters, last, scan = None, {}, -1, 0
+    """lang, size, w1..w3 (word hashes), word (of size 1) and n of every phrase with LEAST occurrences and some more;
+    and the number of words of each language.
+    """
+    spark, folder = docs.sparkSession, f"{checkpoint_folder(docs.sparkSession)}/phrases-{uuid.uuid4().hex}"
+    shards = dealt(docs, f"{folder}/shards")
+    known, totals, filters, last, scan = None, None, {}, -1, 0
     while scan < SHARDS or scan <= last + SHARDS:
         shared = spark.sparkContext.broadcast(filters) if filters else None
-        bit = 1 << scan % SHARDS
         rows = shards.where(F.col("shard") == scan % SHARDS).select("lang", "text")
         new = rows.mapInArrow(_scan(scan, shared), "lang string, size int, w1 long, w2 long, w3 long, word string, n long")
-        new = new.groupBy(*KEY, "word").agg(F.sum("n").alias("more"))
-        if known is None:
-            merged = new.select(*KEY, "word", F.lit(0).cast("long").alias("n"), "more", F.lit(0).alias("seen"), F.lit(None).cast("int").alias("reached"))
-        else:
-            old = known.select(*KEY, "word", "n", F.lit(0).cast("long").alias("more"), "seen", "reached")
-            merged = old.unionByName(new.select(*KEY, "word", F.lit(0).cast("long").alias("n"), "more", F.lit(0).alias("seen"), F.lit(None).cast("int").alias("reached")))
-            merged = merged.groupBy(*KEY, "word").agg(*(F.max(c).alias(c) for c in ("n", "more", "seen", "reached")))
-        # a shard counted before is not counted again
-        n = F.when(F.col("seen").bitwiseAND(bit) == 0, F.col("n") + F.col("more")).otherwise(F.col("n"))
-        merged = merged.select(*KEY, "word", n.alias("n"), F.when(F.col("more") > 0, F.col("seen").bitwiseOR(bit)).otherwise(F.col("seen")).alias("seen"), "reached")
-        known = checkpointed(merged.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= LEAST, F.lit(scan)))))
+        merged = new.select(*KEY, "word", F.lit(0).cast("long").alias("n"), F.col("n").alias("more"), F.lit(scan).alias("since"), F.lit(None).cast("int").alias("reached"))
+        if known is not None:
+            old = known.where((F.col("n") >= LEAST) | (F.col("since") + SHARDS > scan))
+            merged = merged.unionByName(old.select(*KEY, "word", "n", F.lit(0).cast("long").alias("more"), "since", "reached"))
+        merged = merged.groupBy(*KEY, "word").agg(F.max("n").alias("n"), F.sum("more").alias("more"), F.min("since").alias("since"), F.max("reached").alias("reached"))
+        n = F.col("n") + F.when(F.col("since") + SHARDS > scan, F.col("more")).otherwise(0)
+        merged = merged.withColumn("n", n).withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= LEAST, F.lit(scan)))).drop("more")
+        known = written(merged, f"{folder}/{scan}")
+        if shared:
+            shared.destroy()
+        if scan:
+            removed(spark, f"{folder}/{scan - 1}")
+        if scan == SHARDS - 1:
+            totals = checkpointed(known.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")))
         filters, last = filter_table(known)
         scan += 1
-    return known
+    return known, totals
 
 
 def looked_up(rows, size, w1, w2, parts, most, name):
@@ -177,8 +197,7 @@ def looked_up(rows, size, w1, w2, parts, most, name):
 
 def mined(docs, top=TOP):
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    known = phrase_counts(docs)
-    totals = known.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    known, totals = phrase_counts(docs)
     parts = known.where(F.col("n") >= LEAST)
     number = parts.where("size > 1").count()
     most = max(LEAST, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / COMMON))
