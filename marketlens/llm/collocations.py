@@ -6,17 +6,17 @@ and without its first word) have reached the threshold in what was scanned so fa
 from the next scan on, while shorter and longer ones still go on, until each has seen every shard
 once. A phrase that reaches the threshold in the whole corpus has parts that do, so none is missed.
 
-Each scan is one job: tasks count the active phrases of their texts, counts are summed by phrase and
-merged with what is known, which is written to the shared folder. Of each phrase the sum, its first scan
-and the scan in which it reached the threshold are kept. Which phrases are active is told to the
+In a scan tasks count the active phrases of their texts, counts are summed by phrase and merged with
+those that are still open, which are written to the shared folder. Of each phrase the sum, its first
+scan and the scan in which it reached the threshold are kept. Which phrases are active is told to the
 tasks by a table of FILTER buckets at most: the earliest and the latest such scan among the phrases of
 a bucket. Once it admits a phrase, which is never too late, it does so for a whole round at least. So a phrase is complete SHARDS
-scans after its first one; what a bucket admits later is not added, and a complete phrase below
-the threshold is forgotten.
+scans after its first one; below the threshold it is then forgotten, else set aside. What a bucket admits
+once more later gives no larger count, and the largest one holds.
 
-Words lie in pieces without punctuation, all counting is by language. A null text has no words,
-a null language is `und`, words of any length count. Repeated rows count as often as they stand;
-ids and other columns are ignored. No words: no rows.
+Words lie in pieces without punctuation, all counting is by language (words of two languages have different
+hashes). A null text has no words, a null language is `und`, words of any length count. Repeated rows
+count as often as they stand; ids and other columns are ignored. No words: no rows.
 """
 
 import functools
@@ -31,14 +31,13 @@ from pyspark.sql import functions as F
 from marketlens.llm import tokens as T
 from marketlens.llm.common import checkpoint_folder, checkpointed, lean, table
 
-LONGEST = 3
 LEAST = 10  # occurrences of a candidate
 SHARE = 50  # percent of a phrase's occurrences that lie in a longer candidate which takes its place
 TOP = 2000
-SHARDS = 4
+SHARDS = 2
 FILTER = 1 << 22
 COMMON = 10_000  # phrases with more than one in so many words of the corpus are sent to every task
-KEY = ["lang", "size", "w1", "w2", "w3"]
+KEY = ["w1", "w2", "w3"]  # words of a phrase by their hashes; 0 behind the last one
 LATE = 255  # in the filter, where no phrase of a bucket has reached the threshold; numbers of scans are below
 
 
@@ -51,23 +50,19 @@ def bucket_of():
     return F.col("w1").bitwiseXOR(F.shiftrightunsigned("w2", 7)).bitwiseAND(F.lit(FILTER - 1))
 
 
-def laid_out(place, lo, hi):
-    """Both numbers of every bucket; LATE and 0 where it has none."""
-    out = np.zeros((2, FILTER), np.uint8)
-    out[0] = LATE
-    out[0, place], out[1, place] = lo, hi
-    return out
-
-
 def phrase_words(part):
-    """Of a batch: bytes, word starts and ends, text of each word, its 64-bit hash, and whether the next word follows in the same piece."""
+    """Of a batch: bytes, word starts and ends, 64-bit hashes of word and language, text of each word, whether the next word follows in its piece."""
     data, offsets = T.utf8(part.column("text"))
     starts, ends, first = T.word_spans(data, offsets, "phrase")
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    breaks = np.concatenate([[0], np.cumsum(np.isin(data, T.BREAKS))])
+    breaks = np.concatenate([[0], np.cumsum(np.isin(data, T.BREAKS), dtype=np.int32)])
     follows = np.zeros(len(starts), bool)
     follows[:-1] = (owner[1:] == owner[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
-    return data, starts, ends, owner, T.span_hashes(data, starts, ends, lower=True), follows
+    names = part.column("lang").dictionary_encode()
+    letters, at = T.utf8(names.dictionary)
+    lang = np.array([T.span_hashes(letters, at[k : k + 1], at[k + 1 : k + 2])[0] if at[k + 1] > at[k] else 0 for k in range(len(at) - 1)], T.U)
+    own = T.mix(lang + T.U(0x9E3779B97F4A7C15))[names.indices.to_numpy(zero_copy_only=False)]  # apart from the hash of a word of the same letters
+    return data, starts, ends, T.mix(T.span_hashes(data, starts, ends, lower=True) ^ own[owner]), owner, follows
 
 
 def active(reached_a, reached_b, scan):
@@ -76,68 +71,77 @@ def active(reached_a, reached_b, scan):
     return begun & (np.maximum(reached_a[1], reached_b[1]).astype(np.int64) + SHARDS >= scan)
 
 
-def counted(hashes, columns):
-    """Distinct rows by hash: place of one of each, and how many there are."""
-    _, first, n = np.unique(functools.reduce(lambda h, c: T.mix(h * T.U(31) + c), columns, hashes), return_index=True, return_counts=True)
-    return first, n
+def counted(columns):
+    """Distinct rows of hashes: place of one of each, and how many there are."""
+    _, first, n = np.unique(functools.reduce(lambda h, c: T.mix(h * T.U(31) + c), columns), return_index=True, return_counts=True)
+    return first, n.astype(np.int64)
 
 
-def _scan(scan, filters):
-    """Counts of the words (in the first round) and of the active longer phrases of each batch."""
+def _words(batches):
+    """Counts of the words of each run of texts."""
+    for batch in batches:
+        for part in T.slices(batch, "text", 4 * T.CHUNK):
+            data, starts, ends, h, owner, _ = phrase_words(part)
+            first, n = counted([h])
+            text = data.tobytes()
+            spelled = [text[a:b].lower().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), part.column("lang").take(pa.array(owner[first])), pa.array(spelled, pa.string()), pa.array(n)], ["w1", "lang", "word", "n"])
+
+
+def _phrases(scan, shared):
+    """Counts of the active phrases of two and three words of each run of texts."""
 
     def work(batches):
-        reached = {s: laid_out(*held) for s, held in filters.value.items()} if filters else {}
+        held = shared.value
+        words, pairs = (laid_out(*x) for x in held)
         for batch in batches:
-            for part in T.slices(batch, "text", T.CHUNK * 2):
-                data, starts, ends, owner, h, follows = phrase_words(part)
-                langs = part.column("lang").dictionary_encode()
-                code, tags = langs.indices.to_numpy(zero_copy_only=False).astype(T.U), langs.dictionary
-                found = []
-                if scan < SHARDS:
-                    first, n = counted(code[owner], [h])
-                    found.append((1, first, n, [h[first]]))
+            for part in T.slices(batch, "text", 4 * T.CHUNK):
+                _, _, _, h, _, follows = phrase_words(part)
                 at = np.flatnonzero(follows)
-                if 1 in reached and len(at):
-                    look = lambda w1, w2, size: reached[size][:, bucket(w1, w2)]
-                    none = np.zeros(1, T.U)
-                    two = at[active(look(h[at], none, 1), look(h[at + 1], none, 1), scan)]
-                    first, n = counted(code[owner[two]], [h[two], h[two + 1]])
-                    found.append((2, two[first], n, [h[two[first]], h[two[first] + 1]]))
-                    three = at[:-1][follows[at[:-1] + 1]] if 2 in reached else at[:0]
-                    three = three[active(look(h[three], h[three + 1], 2), look(h[three + 1], h[three + 2], 2), scan)] if len(three) else three
-                    first, n = counted(code[owner[three]], [h[three], h[three + 1], h[three + 2]])
-                    found.append((3, three[first], n, [h[three[first] + k] for k in range(3)]))
-                text = data.tobytes()
-                for size, place, n, words in found:
-                    if not len(place):
-                        continue
-                    own = tags.take(pa.array(code[owner[place]].astype(np.int64)))
-                    columns = [own, pa.array(np.full(len(place), size, np.int32))]
-                    columns += [pa.array((words[k] if k < size else np.zeros(len(place), T.U)).view(np.int64)) for k in range(LONGEST)]
-                    spelled = [text[a:b].lower().decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)] if size == 1 else [None] * len(place)
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(spelled, pa.string()), pa.array(n.astype(np.int64))], [*KEY, "word", "n"])
+                at, last = at[:0] if not len(held[0][0]) else at, len(h) - 2
+                one = bucket(h, T.U(0))
+                two = at[active(words[:, one[at]], words[:, one[at + 1]], scan)]
+                three = at[(at < last) & follows[np.minimum(at + 1, len(h) - 1)]] if len(held[1][0]) else at[:0]
+                three = three[active(pairs[:, bucket(h[three], h[three + 1])], pairs[:, bucket(h[three + 1], h[three + 2])], scan)]
+                for place, size in ((two, 2), (three, 3)):
+                    columns = [h[place + k] for k in range(size)]
+                    first, n = counted(columns)
+                    columns += [np.zeros(len(h), T.U)] * (3 - size)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(n)], [*KEY, "n"])
 
     return lean(work)
 
 
+def laid_out(place, lo, hi):
+    """Both numbers of every bucket; LATE and 0 where it has none."""
+    out = np.zeros((2, FILTER), np.uint8)
+    out[0] = LATE
+    out[0, place], out[1, place] = lo, hi
+    return out
+
+
+class Reached:
+    """The filter of words or pairs as it grows: bounded by FILTER, whatever the corpus holds."""
+
+    def __init__(self):
+        self.scans, self.last = laid_out([], [], []), -1
+
+    def add(self, rows, scan):
+        """The buckets of phrases that reached the threshold in this scan."""
+        place = rows.where(F.col("reached") == scan).select(bucket_of().alias("b")).distinct().toArrow().column("b").to_numpy()
+        self.scans[0, place], self.scans[1, place] = np.minimum(self.scans[0, place], scan), scan
+        self.last = scan if len(place) else self.last
+
+    def sparse(self):
+        place = np.flatnonzero(self.scans[0] != LATE).astype(np.int32)
+        return place, self.scans[0, place], self.scans[1, place]
+
+
 def dealt(docs, folder):
     """The texts with a language, in SHARDS folders of equal size; each scan reads one of them."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(SHARDS)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
-    return spark.read.schema("lang string, text string, shard int").parquet(folder)
-
-
-def filter_table(known):
-    """For words and pairs: the first and the last scan in which a phrase of each bucket reached the threshold.
-
-    At most FILTER rows a size come to the driver.
-    """
-    rows = known.where(F.col("reached").isNotNull() & (F.col("size") < LONGEST))
-    got = rows.groupBy("size", bucket_of().alias("bucket")).agg(F.min("reached").cast("short").alias("lo"), F.max("reached").cast("short").alias("hi")).toArrow()
-    size, place, lo, hi = (got.column(c).to_numpy() for c in ("size", "bucket", "lo", "hi"))
-    out = {s: (place[size == s].astype(np.int32), lo[size == s].astype(np.uint8), hi[size == s].astype(np.uint8)) for s in np.unique(size).tolist()}
-    return out, int(max(hi, default=-1))
+    return docs.sparkSession.read.schema("lang string, text string, shard int").parquet(folder)
 
 
 def written(rows, folder):
@@ -152,44 +156,58 @@ def removed(spark, folder):
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def merged(new, old, keys, scan, folder):
+    """Counts of this scan added to those of open phrases."""
+    rows = new.select(*keys, "n", F.lit(scan).alias("since"), F.lit(None).cast("int").alias("reached"))
+    if old is not None:
+        rows = rows.unionByName(old.where(F.col("since") + SHARDS > scan))
+    rows = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("since").alias("since"), F.max("reached").alias("reached"))
+    return written(rows.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= LEAST, F.lit(scan)))), folder)
+
+
 def phrase_counts(docs):
-    """lang, size, w1..w3 (word hashes), word (of size 1) and n of every phrase with LEAST occurrences and some more;
-    and the number of words of each language.
-    """
+    """Words (w1, lang, word, n) and candidates (w1, w2, w3, n): phrases of two and three words with LEAST occurrences."""
     spark, folder = docs.sparkSession, f"{checkpoint_folder(docs.sparkSession)}/phrases-{uuid.uuid4().hex}"
     shards = dealt(docs, f"{folder}/shards")
-    known, totals, filters, last, scan = None, None, {}, -1, 0
-    while scan < SHARDS or scan <= last + SHARDS:
-        shared = spark.sparkContext.broadcast(filters) if filters else None
+    words = phrases = None
+    filters, done, scan = [Reached(), Reached()], [], 0
+    while scan < SHARDS or scan <= min(max(f.last for f in filters) + SHARDS, 3 * SHARDS - 1):  # three rounds complete all
         rows = shards.where(F.col("shard") == scan % SHARDS).select("lang", "text")
-        new = rows.mapInArrow(_scan(scan, shared), "lang string, size int, w1 long, w2 long, w3 long, word string, n long")
-        merged = new.select(*KEY, "word", F.lit(0).cast("long").alias("n"), F.col("n").alias("more"), F.lit(scan).alias("since"), F.lit(None).cast("int").alias("reached"))
-        if known is not None:
-            old = known.where((F.col("n") >= LEAST) | (F.col("since") + SHARDS > scan))
-            merged = merged.unionByName(old.select(*KEY, "word", "n", F.lit(0).cast("long").alias("more"), "since", "reached"))
-        merged = merged.groupBy(*KEY, "word").agg(F.max("n").alias("n"), F.sum("more").alias("more"), F.min("since").alias("since"), F.max("reached").alias("reached"))
-        n = F.col("n") + F.when(F.col("since") + SHARDS > scan, F.col("more")).otherwise(0)
-        merged = merged.withColumn("n", n).withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= LEAST, F.lit(scan)))).drop("more")
-        known = written(merged, f"{folder}/{scan}")
-        if shared:
+        sent, before = [f.sparse() for f in filters], words
+        if scan < SHARDS:
+            new = rows.mapInArrow(lean(_words), "w1 long, lang string, word string, n long")
+            words = merged(new, words, ["w1", "lang", "word"], scan, f"{folder}/words-{scan}")
+            filters[0].add(words.withColumn("w2", F.lit(0).cast("long")), scan)
+        if len(sent[0][0]):
+            shared, old = spark.sparkContext.broadcast(sent), phrases
+            phrases = merged(rows.mapInArrow(_phrases(scan, shared), "w1 long, w2 long, w3 long, n long"), old, KEY, scan, f"{folder}/{scan}")
             shared.destroy()
-        if scan:
-            removed(spark, f"{folder}/{scan - 1}")
-        if scan == SHARDS - 1:
-            totals = checkpointed(known.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")))
-        filters, last = filter_table(known)
+            filters[1].add(phrases.where("w3 = 0"), scan)
+            done.append(written(phrases.where((F.col("n") >= LEAST) & (F.col("since") + SHARDS <= scan + 1)).select(*KEY, "n"), f"{folder}/done-{scan}"))
+            if old is not None:
+                removed(spark, f"{folder}/{scan - 1}")
+        if before is not None and words is not before:
+            removed(spark, f"{folder}/words-{scan - 1}")
         scan += 1
-    return known, totals
+    none = spark.createDataFrame([], "w1 long, w2 long, w3 long, n long")
+    if phrases is not None:  # what began late has seen all shards too, where it occurs
+        done.append(phrases.where(F.col("n") >= LEAST).select(*KEY, "n"))
+    return words, functools.reduce(lambda a, b: a.unionByName(b), done, none).groupBy(*KEY).agg(F.max("n").alias("n"))
+
+
+def score_of(a, left, right):
+    """floor(1000000 a a / (left right)); decimals of 38 digits hold the products of two counts."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (wide(a) * wide(a)), wide(left) * wide(right))
 
 
-def looked_up(rows, size, w1, w2, parts, most, name):
+def looked_up(rows, w1, w2, parts, most, name):
     """The rows with the count of a word or pair. Counts of at least `most` are sent to every task; what they
     answer is dealt by the whole row afterwards, so no frequent part gathers its phrases in one task.
     """
-    key = F.xxhash64("lang", size, w1, w2)
-    parts = parts.where(F.col("size") < LONGEST).select(F.xxhash64("lang", "size", "w1", "w2").alias("__part"), F.col("n").alias("__n"))
+    parts = parts.select(F.xxhash64("w1", "w2").alias("__part"), F.col("n").alias("__n"))
     common = F.broadcast(parts.where(F.col("__n") >= most).withColumnsRenamed({"__part": "__common", "__n": "__known"}))
-    rows = rows.withColumn("__key", key).join(common, F.col("__key") == F.col("__common"), "left")
+    rows = rows.withColumn("__key", F.xxhash64(w1, w2)).join(common, F.col("__key") == F.col("__common"), "left")
     rows = rows.withColumn("__key", F.when(F.col("__known").isNull(), F.col("__key")).otherwise(F.xxhash64(*KEY, "k", F.lit(name))))
     rows = rows.join(parts.where(F.col("__n") < most), F.col("__key") == F.col("__part"), "left")
     return rows.withColumn(name, F.coalesce("__known", "__n")).drop("__key", "__common", "__known", "__part", "__n")
@@ -197,32 +215,35 @@ def looked_up(rows, size, w1, w2, parts, most, name):
 
 def mined(docs, top=TOP):
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    known, totals = phrase_counts(docs)
-    parts = known.where(F.col("n") >= LEAST)
-    number = parts.where("size > 1").count()
-    most = max(LEAST, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / COMMON))
-    candidates = parts.where("size > 1").select(*KEY, F.col("n").alias("a"))
-    none = F.lit(0).cast("long")
-    cuts = candidates.withColumn("k", F.explode(F.when(F.col("size") == 2, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
-    cuts = cuts.withColumns({"l2": F.when(F.col("k") == 2, F.col("w2")).otherwise(none), "rsize": F.col("size") - F.col("k")})
-    cuts = cuts.withColumns({"r1": F.when(F.col("k") == 1, F.col("w2")).otherwise(F.col("w3")), "r2": F.when((F.col("k") == 1) & (F.col("size") == 3), F.col("w3")).otherwise(none)})
-    cuts = looked_up(cuts, "k", "w1", "l2", parts, most, "l")
-    cuts = looked_up(cuts, "rsize", "r1", "r2", parts, most, "r")
-    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of two have 38 digits
-    score = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (wide("a") * wide("a")), wide("l") * wide("r"))
-    cuts = cuts.select(*KEY, "a", F.struct(score.alias("score"), "k", "l", "r").alias("cut"), F.lit(None).cast("long").alias("longer"))
-    inside = candidates.where(F.col("size") == 3).select("lang", F.lit(2).alias("size"), F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), F.col("a").alias("longer"))
-    inside = inside.select("lang", "size", "p.w1", "p.w2", none.alias("w3"), "longer")
+    words, phrases = phrase_counts(docs)
+    totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    candidates = checkpointed(phrases.withColumnRenamed("n", "a"))
+    number = candidates.count()
+    most = max(LEAST, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / COMMON))  # at most COMMON words and COMMON pairs have so many
+    zero = F.lit(0).cast("long")
+    often = words.where(F.col("n") >= LEAST)
+    parts = often.select("w1", zero.alias("w2"), "n").unionByName(candidates.where("w3 = 0").select("w1", "w2", F.col("a").alias("n")))
+    cut = lambda k, l1, l2, r1, r2: F.struct(F.lit(k).alias("k"), l1.alias("l1"), l2.alias("l2"), r1.alias("r1"), r2.alias("r2"))
+    w1, w2, w3 = map(F.col, KEY)
+    cuts = candidates.select(*KEY, "a", F.inline(F.when(w3 == 0, F.array(cut(1, w1, zero, w2, zero))).otherwise(F.array(cut(1, w1, zero, w2, w3), cut(2, w1, w2, w3, zero)))))
+    cuts = looked_up(looked_up(cuts, "l1", "l2", parts, most, "l"), "r1", "r2", parts, most, "r")
+    cuts = cuts.select(*KEY, "a", F.struct(score_of(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r").alias("cut"))
+    inside = candidates.where("w3 <> 0").select(F.inline(F.array(F.struct("w1", "w2"), F.struct(w2.alias("w1"), w3.alias("w2")))), F.col("a").alias("longer")).withColumn("w3", zero)
     both = cuts.unionByName(inside, allowMissingColumns=True).groupBy(*KEY).agg(F.max("a").alias("a"), F.min("cut").alias("cut"), F.max("longer").alias("longer"))
     left = both.where(F.col("a").isNotNull() & (F.col("longer").isNull() | (100 * F.col("longer") < SHARE * F.col("a")))).select(*KEY, "a", "cut.score", "cut.l", "cut.r")
+    # the language of a phrase is that of its first word; a frequent one is told to every task
+    named = often.select(F.col("w1").alias("__w"), F.col("lang").alias("__lang"), "n")
+    common = F.broadcast(named.where(F.col("n") >= most).select("__w", "__lang"))
+    left = left.join(common, w1 == F.col("__w"), "left").withColumn("__key", F.when(F.col("__w").isNull(), w1).otherwise(F.xxhash64(*KEY))).drop("__w")
+    rest = named.where(F.col("n") < most).select("__w", F.col("__lang").alias("__own"))
+    left = left.join(rest, F.col("__key") == F.col("__w"), "left").withColumn("lang", F.coalesce("__lang", "__own")).drop("__key", "__w", "__lang", "__own")
     # the first by score and count, with all ties, in two steps: no language goes through one task whole
     order = [F.desc("score"), F.desc("a")]
-    salted = left.withColumn("salt", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(max(16, number // 50_000))))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(max(16, number // 50_000))))
     first = salted.withColumn("__r", F.rank().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("__r") <= top)
     first = first.withColumn("__r", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("__r") <= top).drop("salt", "__r")
     first = checkpointed(first)
-    words = known.where("size = 1").select("lang", F.col("w1").alias("w"), "word")
-    spelled = first.select(*KEY, F.posexplode(F.slice(F.array("w1", "w2", "w3"), 1, F.col("size"))).alias("at", "w")).join(words, ["lang", "w"])
+    spelled = first.select(*KEY, F.posexplode(F.array(*KEY)).alias("at", "w")).where("w <> 0").join(often.select(F.col("w1").alias("w"), "word"), "w")
     spelled = spelled.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     ranked = first.join(spelled, KEY).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
