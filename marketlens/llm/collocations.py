@@ -38,6 +38,7 @@ SHARDS = 2
 FILTER = 1 << 22
 COMMON = 10_000  # phrases with more than one in so many words of the corpus are sent to every task
 KEY = ["w1", "w2", "w3"]  # words of a phrase by their hashes; 0 behind the last one
+IS_BREAK = np.isin(np.arange(256), T.BREAKS)
 LATE = 255  # in the filter, where no phrase of a bucket has reached the threshold; numbers of scans are below
 
 
@@ -55,9 +56,9 @@ def phrase_words(part):
     data, offsets = T.utf8(part.column("text"))
     starts, ends, first = T.word_spans(data, offsets, "phrase")
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    breaks = np.concatenate([[0], np.cumsum(np.isin(data, T.BREAKS), dtype=np.int32)])
+    breaks = np.cumsum(IS_BREAK[data], dtype=np.int32)
     follows = np.zeros(len(starts), bool)
-    follows[:-1] = (owner[1:] == owner[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
+    follows[:-1] = (owner[1:] == owner[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
     names = part.column("lang").dictionary_encode()
     letters, at = T.utf8(names.dictionary)
     lang = np.array([T.span_hashes(letters, at[k : k + 1], at[k + 1 : k + 2])[0] if at[k + 1] > at[k] else 0 for k in range(len(at) - 1)], T.U)
@@ -73,8 +74,13 @@ def active(reached_a, reached_b, scan):
 
 def counted(columns):
     """Distinct rows of hashes: place of one of each, and how many there are."""
-    _, first, n = np.unique(functools.reduce(lambda h, c: T.mix(h * T.U(31) + c), columns), return_index=True, return_counts=True)
-    return first, n.astype(np.int64)
+    if not len(columns[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names = pa.array(functools.reduce(lambda h, c: h * T.U(0x9E3779B97F4A7C15) + c, columns)).dictionary_encode()
+    where = names.indices.to_numpy()
+    place = np.empty(len(names.dictionary), np.int64)
+    place[where] = np.arange(len(where))
+    return place, np.bincount(where)
 
 
 def _words(batches):
@@ -146,7 +152,7 @@ def dealt(docs, folder):
 
 def written(rows, folder):
     """The rows as a table in the shared folder."""
-    rows.write.option("compression", "zstd").parquet(folder)
+    rows.write.option("parquet.enable.dictionary", "false").parquet(folder)  # hashes hardly repeat
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
