@@ -162,12 +162,13 @@ def removed(spark, folder):
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def merged(new, old, keys, scan, folder):
-    """Counts of this scan added to those of open phrases."""
+def merged(new, old, keys, scan, folder, least=LEAST):
+    """Counts of this scan added to those of open phrases; what is complete must have `least` to stay."""
     rows = new.select(*keys, "n", F.lit(scan).alias("since"), F.lit(None).cast("int").alias("reached"))
     if old is not None:
         rows = rows.unionByName(old.where(F.col("since") + SHARDS > scan))
     rows = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("since").alias("since"), F.max("reached").alias("reached"))
+    rows = rows.where((F.col("n") >= least) | (F.col("since") + SHARDS > scan + 1))  # complete below the threshold: forgotten
     return written(rows.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= LEAST, F.lit(scan)))), folder)
 
 
@@ -182,7 +183,7 @@ def phrase_counts(docs):
         sent, before = [f.sparse() for f in filters], words
         if scan < SHARDS:
             new = rows.mapInArrow(lean(_words), "w1 long, lang string, word string, n long")
-            words = merged(new, words, ["w1", "lang", "word"], scan, f"{folder}/words-{scan}")
+            words = merged(new, words, ["w1", "lang", "word"], scan, f"{folder}/words-{scan}", 0)
             filters[0].add(words.withColumn("w2", F.lit(0).cast("long")), scan)
         if len(sent[0][0]):
             shared, old = spark.sparkContext.broadcast(sent), phrases
