@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import fixed as X
 from marketlens.functions import parse as P
-from marketlens.functions.frames import each
+from marketlens.functions.ranks import numbered
+from marketlens.operators.greedy import admitted
 from marketlens.operators.keys import PLACE_KEY_SQL
 from marketlens.sources.tables import table
 from marketlens.sources.views import view, with_views
@@ -72,15 +73,6 @@ def price_history(observations):
     return valid.withColumn("_b", before).where("_b is null or _b.harga <> harga or _b.terjual <> terjual").drop("_b")
 
 
-def admitted(events, days=7):
-    """Per user, events whose last admitted predecessor is at least `days` old: a greedy fold in time order."""
-    span = days * 86400
-    times = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), "event_id"))).alias("e"))
-    start = F.struct(F.lit(-(2**60)).alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda a, x: F.when(x["t"] - a["last"] > span, F.struct(x["t"].alias("last"), F.array_append(a["ids"], x["event_id"].cast("long")).alias("ids"))).otherwise(a)
-    return each(times, ["user_id"], F.aggregate("e", start, step, lambda a: a["ids"]), "event_id")
-
-
 def q_ded1(spark, d):
     v = view(spark, d, "listings").withColumn("kunci", F.when(F.col("seq") % 10 == 0, "").otherwise(F.col("nama_bisnis")))
     return first_per_key(v.select("seq", "kunci"), "kunci", ["seq"])
@@ -180,8 +172,9 @@ def q_io1(spark, d):
 
 
 def q_io2(spark, d):
-    w = Window.orderBy(F.desc("is_own"), "platform", "nama", "id")
-    return view(spark, d, "stores").where("aktif = 1").select("id", "platform", "nama", F.row_number().over(w).alias("urut"))
+    """Active stores, own ones first, with their place."""
+    rows = view(spark, d, "stores").where("aktif = 1").select("id", "platform", "nama", "is_own")
+    return numbered(rows, [F.desc("is_own"), "platform", "nama", "id"]).select("id", "platform", "nama", "urut")
 
 
 CARDS = f"cards AS (SELECT *, {PLACE_KEY_SQL} AS place_key FROM v_listings)"

@@ -2,6 +2,7 @@
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -56,11 +57,48 @@ def q_price_changes(spark, d):
     return spark.read.parquet(f"{at}/out")
 
 
+def _admit(span):
+    """Events later than the last admitted one by more than the span; state is that one's time, kept as long as it matters."""
+
+    def admit(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat([b[["t", "event_id"]] for b in batches]).sort_values(["t", "event_id"], ignore_index=True)
+        t, keep, at = rows["t"].to_numpy(), [], 0 if last is None else int(np.searchsorted(rows["t"].to_numpy(), last + span, "right"))
+        while at < len(t):
+            keep.append(at)
+            last = int(t[at])
+            at = int(np.searchsorted(t, last + span, "right"))
+        ends = (last + span + 1) * 1000 if last is not None else 0
+        if ends > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy()[keep]}).astype({"user_id": "Int64", "event_id": "int64"})
+
+    return admit
+
+
+def admissions(events, days=182, late="1 day"):
+    """Admitted events (user_id, event_id) of a stream (user_id, ts, event_id) with a memory of `days`.
+
+    A timer drops a user's state when the memory ends, so state holds users of the last `days` only. Rows may
+    come `late` behind the newest one of the batches before; later ones are dropped. A batch sorts a user's rows, so its
+    size (files a trigger) bounds a task. With rows in the order of time, batches and restarts change nothing.
+    """
+    rows = events.where("ts is not null and event_id is not null").withWatermark("ts", late)
+    rows = rows.select("user_id", "ts", F.unix_timestamp("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.groupBy("user_id").applyInPandasWithState(_admit(days * 86400), "user_id long, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def q_admission(spark, d):
-    """First event of each user and type within a watermark of the memory; one row per key and memory."""
-    e = source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    """Admitted events of every user with a memory of seven days: the greedy rule over a stream."""
+    e = source(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     at = folder(spark)
-    finish(e.select("user_id", "event_type").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
+    finish(admissions(e, 7).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
     return spark.read.parquet(f"{at}/out")
 
 
@@ -88,6 +126,6 @@ def q_upsert(spark, d):
 def build():
     return {
         "st1_price_changes": (q_price_changes, ledger.build()["snp1_price_history"][1]),
-        "st2_admission": (q_admission, "SELECT DISTINCT user_id, event_type FROM events"),
+        "st2_admission": (q_admission, ledger.build()["ded5_greedy_admission"][1]),
         "st3_upsert_feed": (q_upsert, with_views("WITH f AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN concat('baru:', c_custkey::VARCHAR) ELSE concat('cid:', (c_custkey - c_custkey % 2)::VARCHAR) END AS place_key, last(c_name ORDER BY c_custkey) AS nama_bisnis, last(c_mktsegment ORDER BY c_custkey) AS telepon, count(*) AS n FROM customer GROUP BY 1) SELECT coalesce(b.place_key, f.place_key) AS place_key, coalesce(f.nama_bisnis, b.nama_bisnis) AS nama_bisnis, coalesce(f.telepon, b.telepon) AS telepon, CASE WHEN n IS NULL THEN b.last_scraped_at ELSE '2024-01-15 00:00:00' END AS last_scraped_at, (coalesce(b.times_seen, 0) + coalesce(n, 0))::BIGINT AS times_seen FROM v_businesses b FULL JOIN f ON b.place_key = f.place_key", "businesses")),
     }
