@@ -38,6 +38,8 @@ SHARDS = 2
 FILTER = 1 << 22
 COMMON = 10_000  # phrases with more than one in so many words of the corpus are sent to every task
 KEY = ["w1", "w2", "w3"]  # words of a phrase by their hashes; 0 behind the last one
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 IS_BREAK = np.isin(np.arange(256), T.BREAKS)
 LATE = 255  # in the filter, where no phrase of a bucket has reached the threshold; numbers of scans are below
 
@@ -51,6 +53,18 @@ def bucket_of():
     return F.col("w1").bitwiseXOR(F.shiftrightunsigned("w2", 7)).bitwiseAND(F.lit(FILTER - 1))
 
 
+def word_hashes(data, starts, ends):
+    """64-bit hashes of words with A-Z lower-cased, eight bytes at a time; words of up to eight bytes and one size never share one."""
+    padded = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, left = starts, ends - starts
+    out, own = left.astype(T.U), np.arange(len(starts))
+    while len(own):
+        out[own] = T.mix(out[own] ^ (eight[at] & MASKS[np.minimum(left, 8)]))
+        own, at, left = own[left > 8], at[left > 8] + 8, left[left > 8] - 8
+    return out
+
+
 def phrase_words(part):
     """Of a batch: bytes, word starts and ends, 64-bit hashes of word and language, text of each word, whether the next word follows in its piece."""
     data, offsets = T.utf8(part.column("text"))
@@ -61,15 +75,14 @@ def phrase_words(part):
     follows[:-1] = (owner[1:] == owner[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
     names = part.column("lang").dictionary_encode()
     letters, at = T.utf8(names.dictionary)
-    lang = np.array([T.span_hashes(letters, at[k : k + 1], at[k + 1 : k + 2])[0] if at[k + 1] > at[k] else 0 for k in range(len(at) - 1)], T.U)
+    lang = word_hashes(letters, at[:-1], at[1:])
     own = T.mix(lang + T.U(0x9E3779B97F4A7C15))[names.indices.to_numpy(zero_copy_only=False)]  # apart from the hash of a word of the same letters
-    return data, starts, ends, T.mix(T.span_hashes(data, starts, ends, lower=True) ^ own[owner]), owner, follows
+    return data, starts, ends, T.mix(word_hashes(data, starts, ends) ^ own[owner]), owner, follows
 
 
 def active(reached_a, reached_b, scan):
     """Whether phrases may be active: begun (after both parts reached the threshold) and not yet through all shards."""
-    begun = np.maximum(reached_a[0], reached_b[0]).astype(np.int64) + 1 <= scan
-    return begun & (np.maximum(reached_a[1], reached_b[1]).astype(np.int64) + SHARDS >= scan)
+    return (np.maximum(reached_a[0], reached_b[0]) < scan) & (np.maximum(reached_a[1], reached_b[1]) >= max(0, scan - SHARDS))
 
 
 def counted(columns):
@@ -106,9 +119,18 @@ def _phrases(scan, shared):
                 at = np.flatnonzero(follows)
                 at, last = at[:0] if not len(held[0][0]) else at, len(h) - 2
                 one = bucket(h, T.U(0))
-                two = at[active(words[:, one[at]], words[:, one[at + 1]], scan)]
+                one = words[0][one], words[1][one]
+                two = at[active([x[at] for x in one], [x[at + 1] for x in one], scan)]
                 three = at[(at < last) & follows[np.minimum(at + 1, len(h) - 1)]] if len(held[1][0]) else at[:0]
-                three = three[active(pairs[:, bucket(h[three], h[three + 1])], pairs[:, bucket(h[three + 1], h[three + 2])], scan)]
+                if len(three):  # a pair of active phrases follows another
+                    two_at = np.zeros((2, len(h)), np.uint8)
+                    two_at[0] = LATE
+                    some = np.zeros(len(h), bool)
+                    some[three] = some[three + 1] = True
+                    some = np.flatnonzero(some)
+                    place = bucket(h[some], h[some + 1])
+                    two_at[0, some], two_at[1, some] = pairs[0][place], pairs[1][place]
+                    three = three[active(two_at[:, three], two_at[:, three + 1], scan)]
                 for place, size in ((two, 2), (three, 3)):
                     columns = [h[place + k] for k in range(size)]
                     first, n = counted(columns)
