@@ -7,6 +7,7 @@ from marketlens.functions import fixed as X
 from marketlens.functions import parse as P
 from marketlens.functions import titles as L
 from marketlens.functions.frames import kept
+from marketlens.functions.quantiles import percentiles
 from marketlens.sources.views import view, with_views
 
 FEE, FIXED = 8.0, 1250  # platform cut in percent and per order
@@ -194,6 +195,12 @@ j5 AS (SELECT *, CASE WHEN kita > 0 THEN concat(lebih_murah + 1, ' dari ', n + 1
   coalesce(posisi = 'TERMURAH' AND terjual_kita < med_terjual, false) AS bukan_harga FROM j4)"""
 
 
+def q_percentiles(spark, d):
+    """Exact quartiles of rivals' prices by variant; a variant with most of the rows is spread over tasks."""
+    rivals = groups(view(spark, d, "products")).where("is_own = 0 and sumber <> 'ai' and harga > 0").select("varian", "harga")
+    return percentiles(rivals, ["varian"], "harga", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+
+
 def build():
     PR = "products"
     item = "pb AS (SELECT *, split_part(product_key, ':', 3) AS barang FROM v_products)"
@@ -202,6 +209,7 @@ def build():
     tail = lambda h: f"concat('Rp ', replace(format('{{:,}}', {h}), ',', '.'))"
     return {
         "prc1_trim": (q_trim, with_views(f"WITH {item}, rv AS (SELECT * FROM pb WHERE harga > 0), md AS (SELECT *, floor(quantile_cont(harga, 0.5) OVER (PARTITION BY barang)) AS mid, count(*) OVER (PARTITION BY barang) AS cn FROM rv), ok AS (SELECT *, harga >= 0.4::DOUBLE * mid AND harga <= 2.5::DOUBLE * mid AS ok FROM md) SELECT product_key, harga, cn < 3 OR NOT bool_or(ok) OVER (PARTITION BY barang) OR ok AS dipakai FROM ok", PR)),
+        "prc2_exact_percentiles": (q_percentiles, with_views(f"WITH {L.VARIANT_SQL} SELECT varian, quantile_cont(harga::DOUBLE, 0.25) AS p25, quantile_cont(harga::DOUBLE, 0.5) AS median, quantile_cont(harga::DOUBLE, 0.75) AS p75 FROM vr WHERE is_own = 0 AND sumber <> 'ai' AND harga > 0 GROUP BY 1", PR)),
         "prc2_5_market_statistics": (q_stats, with_views(f"WITH {base} SELECT *, {net('seimbang')} AS bersih, trunc({net('seimbang')} - 0.0::DOUBLE * seimbang)::BIGINT AS modal_maks FROM s2", PR)),
         "prc6_9_analysis": (q_analysis, with_views(f"WITH {analysis_sql()} SELECT varian, n, n_pencilan, min, p25, median, p75, maks, sebaran, keyakinan, kita, modal, lantai, agresif, seimbang, premium, posisi, peringkat, verdict, bukan_harga FROM j5", PR)),
         "prc6_bands": (q_bands, with_views(f"WITH {analysis_sql()}, bd AS ({bands}), b2 AS (SELECT *, {net('harga')} AS uang_bersih FROM bd) SELECT varian, nama, harga, uang_bersih, trunc(harga * 8.0::DOUBLE / 100)::BIGINT AS potongan, uang_bersih AS impas, trunc(uang_bersih - 0.05::DOUBLE * harga)::BIGINT AS impas_margin, uang_bersih - modal AS laba, CASE WHEN harga > 0 THEN round_even((uang_bersih - modal)::DOUBLE / harga * 100, 1) END AS margin_persen FROM b2", PR)),
