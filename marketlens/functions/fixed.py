@@ -40,3 +40,21 @@ BLOCK_TEXT = ("just a moment", "checking your browser", "enable javascript", "ve
 BLOCK_URL = ("/verify/traffic", "/verify/captcha", "/buyer/login", "/login", "captcha")
 # Default fees by platform (per cent of the price, fixed sum).
 FEES = {"shopee": (8.0, 5000), "tokopedia": (6.5, 5000)}
+
+# Seed words of promotion and of brands in product titles, units and series names, and suffixes of model numbers.
+PROMO = (
+    "ready", "readystock", "ori", "original", "promo", "murah", "termurah", "cod", "garansi", "resmi", "bergaransi", "gratis", "ongkir", "terlaris",
+    "bnib", "grosir", "diskon", "sale", "best", "seller", "free", "bonus", "limited", "stock", "stok", "siap", "kirim", "kualitas", "terjamin",
+    "dijamin", "asli", "terbaik", "berkualitas", "official", "store", "shop", "toko", "jual", "baru", "new", "hot", "recommended", "terpercaya",
+    "lengkap", "komplit", "amanah", "fast", "respon", "bisa", "dan", "untuk", "dengan", "yang", "atau", "the", "of", "for",
+)
+BRANDS = (
+    "intel", "amd", "nvidia", "asus", "msi", "gigabyte", "asrock", "corsair", "kingston", "samsung", "seagate", "logitech", "razer", "steelseries",
+    "hyperx", "adata", "team", "vgen", "sandisk", "crucial", "wd", "western", "digital", "cooler", "master", "deepcool", "noctua", "thermaltake", "aigo",
+    "xiaomi", "lenovo", "hp", "dell", "acer", "apple", "sapphire", "powercolor", "zotac", "palit", "galax", "inno3d", "colorful", "biostar", "rexus",
+    "fantech", "armaggeddon", "digital alliance", "venom", "pny", "patriot", "hiksemi", "venomrx", "transcend", "lexar", "rapoo", "tecgear", "edifier",
+    "cube", "canon", "epson", "brother", "tplink", "totolink", "nzxt", "lian", "antec", "seasonic", "silverstone", "montech", "infinity",
+)
+UNITS = "gb|tb|mb|kb|ghz|mhz|khz|hz|w|watt|va|mm|cm|inch|inci|bit|pin|rpm|ml|kg|gr"
+SERIES = "ddr|pcie|pci|usb|sata|nvme|gen|generasi|ryzen|lga|cat|pc"
+SUFFIXES = "ti|super|xt|x3d|ko|kf"

@@ -62,6 +62,29 @@ def test_titles(spark):
         assert one(spark, L.family(F.lit(token))) == want
 
 
+@pytest.mark.parametrize("title,want", [
+    ("\uff18\uff27\uff22", ["8gb"]), ("\U0001f525PROMO\U0001f525", ["promo"]), ("\u00bd kg \ufb01lter", ["1\u20442kg", "filter"]), ("caf\u00e9 \u216b", ["cafe\u0301", "xii"]),
+    ("12 th Generation", ["gen12"]), ("gen 12th", ["gen12"]), ("Intel 7 gen 12", ["intel", "i7", "gen12"]), ("core i 7 8 gb", ["i7", "8gb"]), ("DDR 4 GB", ["ddr", "4gb"]), ("ddr4 gb", ["ddr4", "gb"]),
+    ("RTX 3060 Ti", ["rtx", "3060ti"]), ("PC 3200 super", ["pc3200", "super"]), ("i 7 gb", ["i7", "gb"]), ("generasi 12", ["gen12"]), ("a " + "x" * 25 + " 5", ["5"]), (None, []), ("", []), ("?!", []),
+])
+def test_title_forms(spark, title, want):
+    assert one(spark, L.tokens(F.lit(title).cast("string"))) == want
+
+
+def test_title_words_by_sql(spark):
+    """The pass over joints and the SQL's fold over words agree on mixed titles."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    words, rng = "intel core i 7 8 12 gen 12th gb w ddr pcie usb generasi pc 3060 5600 ti super i7 ryzen 5 - | mm ram nvme".split(), random.Random(5)
+    titles = {" ".join(w for i, w in enumerate(rng.choices(words, k=6)) if w != "12th" or i == 2) for _ in range(2000)}
+    titles = pd.DataFrame({"t": sorted(t for t in titles if t.count("gen") < 2)})
+    ours = {r["t"]: r["n"] for r in spark.createDataFrame(titles).select("t", L.tokens(F.col("t")).alias("n")).collect()}
+    assert dict(duckdb.sql(f"SELECT t, {L.tokens_sql('t')} FROM titles").fetchall()) == ours
+
+
 def test_trim_and_grid(spark):
     p = spark.createDataFrame([("a", h) for h in (35000, 4700000, 4750000, 4800000, 24500000)] + [("b", 10), ("b", 90000)], "g string, harga long")
     kept = pricing.trimmed(p, "g").where("dipakai").orderBy("g", "harga")
