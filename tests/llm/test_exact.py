@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import re
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -208,16 +210,43 @@ def test_pii_trees_decide_by_context(spark):
     assert got == {0: [("secret", token)], 1: [], 2: [("card", "1234567812345678")], 3: [], 4: [("phone", "(017) 555-7713")], 5: [], 6: [("ip", "2001:db8:85a3:0:0:8a2e:370:7334")]}
 
 
-def test_pii_thresholds_hold_on_patterns_the_trees_never_saw(spark):
-    counts = pii.labelled_counts(spark)
-    model, limits = pii.learn(spark)
-    right = every = 0
+def judged(counts, model, limits):
+    """(found, false, missed) over counts of feature patterns."""
+    found = false = missed = 0
     for bits, p, n in counts:
         kind = next(k for k in range(len(pii.KINDS)) if bits >> k & 1)
-        if pii.held(bits):
-            every += p + n
-            right += p if pii.score_of(bits, model) >= limits[kind] else n
-    assert every > 100 and right / every > 0.9
+        if pii.score_of(bits, model) >= limits[kind]:
+            found, false = found + p, false + n
+        else:
+            missed += p
+    return found, false, missed
+
+
+def test_pii_judges_other_values_in_other_sentences(spark):
+    told = {
+        "email": (["please contact {} first", "mailto {}", "ask {} for it"], []),
+        "card": (["the credit card is {}", "our account: {} and", "her visa {}"], ["release {} is out", "the commit {}", "our invoice {}", "path {}", "ref={}"]),
+        "phone": (["call {} tonight", "whatsapp {}", "his telephone: {}"], ["release {} is out", "tracking no {}", "the commit {}"]),
+        "secret": (["passwd = {}", 'private_key = "{}"', "credential={}", "api key: {}"], ["digest: {}", "commit {} broke it", "read /var/{}.log", "we saw {} there"]),
+    }
+    known = {c for contexts in (pii.CONTEXTS, pii.OTHERS) for yes, no in contexts.values() for c in (*yes, *no)}
+    assert not known & {c for yes, no in told.values() for c in (*yes, *no)}
+    found, false, missed = judged(pii.labelled_counts(spark, pii.labelled_phrases(2024, told)), *pii.learn(spark))
+    assert found > 40 and found / (found + false) >= 0.9 and found / (found + missed) >= 0.9, (found, false, missed)
+
+
+def test_pii_phrases_come_from_no_test_table(spark):
+    said = sorted({v for _, _, v, _ in pii.labelled_phrases() + pii.labelled_phrases(8, pii.OTHERS) if v})
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        for name, column in (("documents", "text"), ("benchmark", "text"), ("conversations", "text"), ("pages", "html")):
+            rows = spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+            assert rows.where(reduce(or_, (F.contains(column, F.lit(v)) for v in said))).count() == 0, (sf, name)
+
+
+def test_pii_long_secrets_and_hosts_of_many_parts(spark):
+    long, host = "a1B2" * 400, " dot ".join(["part"] * 9)
+    got = added(spark, [f"password={long} end", f"write to joe [at] {host} today"])
+    assert got[0] == [("secret", long)] and got[1] == [("email", f"joe [at] {host}")]
 
 
 def test_pii_adds_spans_to_whole_documents(spark):
