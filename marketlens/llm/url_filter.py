@@ -8,6 +8,7 @@ A null url or one without :// has an empty host and path, which no rule fits and
 by its bias (allowed). Repeated rows are judged alike; other columns are ignored.
 """
 
+import random
 import zlib
 
 import numpy as np
@@ -29,18 +30,49 @@ RULES = [
     ("block", "org/es/"),
 ]
 
-# The labelled URL table; host words and paths of unwanted and of ordinary pages.
-UNWANTED_HOSTS = "pills-online casino-royal best-casino win-bets adult-cams xxx-videos free-porn click-ads adserver-track spam-links link-farm replica-watches payday-loans viagra-cheap betting-tips free-casino porn-hub track-ads-click seo-spam cheap-meds adult-dating poker-bonus slots-jackpot adtracker".split()
-ORDINARY_HOSTS = "university library news-daily museum weather city-council wiki docs developer health-institute school research journal blog-cooking gardening history science travel-guide music theatre garden-tools hospital parliament railway-times bookshop maps archive recipes village-hall chess-club football-league astronomy photos-nature kitchen-stories local-paper water-board swimming orchestra railway teacher-notes farm-shop open-data hiking bridge-building".split()
-UNWANTED_PATHS = ["/buy/pills-now", "/casino/bonus", "/adult/free", "/track/click", "/win/jackpot", "/bets/free", "/porn/videos", "/ads/redirect"]
-ORDINARY_PATHS = ["/en/120", "/fr/34.html", "/de/news/2020", "/es/articulo/5", "/about", "/docs/intro", "/", "/en/853/"]
-
-
-def labelled_urls():
-    """(host, path, unwanted) rows."""
-    tops = ("example.com", "example.org", "example.net")
-    rows = [(f"{sub}{h}.{tops[i % 3]}", p, 1) for i, h in enumerate(UNWANTED_HOSTS) for sub in ("", "www.", "m.") for p in (UNWANTED_PATHS[i % 8], ORDINARY_PATHS[i % 8])]
-    return rows + [(f"{sub}{h}.{tops[i % 3]}", ORDINARY_PATHS[(i + k) % 8], 0) for i, h in enumerate(ORDINARY_HOSTS) for k, sub in enumerate(("", "www.", "m.", "blog."))]
+# Words of the labelled URL table, unwanted ones by topic, and ordinary ones.
+UNWANTED_TOPICS = {
+    "gambling": "casino poker betting roulette jackpot slots lottery bingo wager blackjack bets win".split(),
+    "pharmacy": "viagra cialis pharmacy pills steroids meds drugstore cheap weightloss".split(),
+    "adult": "porn xxx sex escort nude adult erotic camgirls hentai".split(),
+    "advertising": "adserver popunder adclick tracker banner ads track doubleclick clicks affiliate".split(),
+    "fraud": "spam linkfarm backlinks phishing malware scam replica payday warez crack".split(),
+}
+BAIT = "free best online top bonus 24 hot vip x farm deals".split()
+ORDINARY = """university library daily museum weather council wiki docs developer institute school research journal cooking gardening history science travel
+guide music theatre tools hospital parliament railway bookshop maps archive recipes village chess football astronomy nature kitchen stories paper water
+swimming orchestra teacher notes farm shop data hiking bridge building online press church energy forum people health studio family news""".split()
+LANGUAGES = "en de fr es it nl pt pl sv ja".split()
+SECTIONS = ["", "about", "news/2021", "docs/intro", "index.html", "contact", "blog/post", "category/items"]
+BAD_SECTIONS = ["buy/pills", "casino/bonus", "adult/gallery", "click/redirect", "jackpot/spin", "porn/videos", "ads/banner", "offer/free"]
+TOPS = ["example.com", "example.org", "example.net", "com", "org", "net"]
+
+
+def labelled_urls(seed=3, size=300):
+    """(host, path, unwanted) rows by rule: size unwanted hosts and three times as many ordinary ones, with paths of language, number and section.
+
+    Plain paths are drawn alike for both kinds of hosts, so that what decides is the host or an unwanted section.
+    """
+    rng = random.Random(seed)
+    syllables = [c + v for c in "b c d f g h k l m n p r s t v w z bl br ch cl dr fr gr pl pr sh sp st str th tr".split() for v in "aeiou"]
+    plain = lambda: "/" + rng.choice([f"{rng.choice(LANGUAGES)}/{rng.randint(1, 999)}", f"{rng.choice(LANGUAGES)}/{rng.choice(SECTIONS)}", rng.choice(SECTIONS)])
+
+    def unwanted():
+        topic = list(UNWANTED_TOPICS.values())[rng.randrange(len(UNWANTED_TOPICS))]
+        words = rng.choice([[rng.choice(topic), rng.choice(topic)], [rng.choice(BAIT), rng.choice(topic)], [rng.choice(topic), rng.choice(BAIT)], [rng.choice(topic)]])
+        return rng.choice(("-", "-", "")).join(words)
+
+    def ordinary():
+        name = "".join(rng.choices(syllables, k=rng.randint(2, 4))) + rng.choice(("", "n", "s", "r", "th"))
+        return rng.choice([rng.choice(("-", "")).join(rng.sample(ORDINARY, 2)), rng.choice(ORDINARY), name, name])
+
+    rows = []
+    for _ in range(size):
+        for name, y in ((unwanted(), 1), (ordinary(), 0), (ordinary(), 0), (ordinary(), 0)):
+            host = rng.choice(("", "www.", "m.", "blog.")) + f"{name}.{rng.choice(TOPS)}"
+            rows += [(host, plain(), y), (host, plain(), y)]
+            rows += [(host, f"/{rng.choice(BAD_SECTIONS)}", 1)] if y else []
+    return rows
 
 
 def ngrams(host, path):

@@ -79,12 +79,35 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_labelled_urls_hold_no_hosts_of_the_test_data(spark):
-    words = {w for h, _, _ in url_filter.labelled_urls() for w in h.split(".")[:-2]} - {"www", "m", "blog"}
+    words = {w for h, _, _ in url_filter.labelled_urls() for w in h.split(".")} - {"www", "m", "blog", "example", "com", "org", "net"}
     for sf in ("sf0.001", "sf0.01", "sf0.1"):
         hosts = {r.host for r in url_filter.split_urls(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).select("host").distinct().collect()}
         assert len(hosts) > 20 and not words & {w for h in hosts for w in h.split(".")}
 
 
+def test_url_model_on_hosts_it_never_saw():
+    weights, bias = url_filter.train(url_filter.labelled_urls())
+
+    def blocked(host, path):
+        x = url_filter.ngrams(host, path)
+        return weights[x].sum() / max(1, len(x)) ** 0.5 + bias >= 0
+
+    known = {h for h, *_ in url_filter.labelled_urls()}
+    rows = [(blocked(h, p), bool(y)) for h, p, y in url_filter.labelled_urls(seed=99) if h not in known]
+    found, false, missed = (rows.count(x) for x in ((True, True), (True, False), (False, True)))
+    assert found > 400 and found / (found + false) >= 0.9 and found / (found + missed) >= 0.9
+    hosts = sorted({h for h, *_ in url_filter.labelled_urls(seed=99)} - known)
+    steady = [len({blocked(h, f"/{lang}/{n}") for lang in url_filter.LANGUAGES for n in (1, 23, 853)}) == 1 for h in hosts]
+    assert sum(steady) / len(steady) >= 0.95
+
+
+def test_urls_without_rule_by_name_of_host(spark):
+    out = registry.queries()["op4_url_filter"](spark, "/root/testdata/sf0.1").where("rule is null")
+    marks = F.rlike("host", F.lit("adult|bets|ads-track|casino|pills|spam"))
+    r = out.agg(F.count_if(marks & (F.col("verdict") == "block")).alias("found"), F.count_if(marks).alias("bad"), F.count_if(F.col("verdict") == "block").alias("blocked")).first()
+    assert r["bad"] > 40 and r["found"] / r["bad"] >= 0.9 and r["found"] / r["blocked"] >= 0.9
+
+
 def test_url_rules_against_brute_force(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url")
     odd = [(-1, None), (-1, None), (-2, ""), (-3, "://"), (-4, "a://B.COM/en/x?y"), (-5, "http://x.example.net/de/8#/en"), (None, "http://com"), (-6, "http://example.org/" + "é" * 50_000)]
