@@ -50,11 +50,11 @@ def preferred(columns, first, hidden=("place_key",)):
 
 
 def captured_shop_json(spark, d):
-    """Shop answers made of stored products: one document per shop with items in all three shapes."""
+    """Shop answers made of stored products: one document per hundred products, with items in all three shapes."""
     p = table(spark, d, "part").join(table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("sold")), F.col("p_partkey") == F.col("l_partkey"))
     item = F.struct(F.col("p_partkey").alias("itemid"), (F.col("p_partkey") % 50).alias("shopid"), F.concat(F.lit(" "), "p_name").alias("name"), ((F.col("p_partkey") % 900 + 10) * 1000 * SCALE + 7).alias("price"), ((F.col("p_partkey") % 7) * 200_000 * SCALE).cast("long").alias("price_before_discount"), F.when(F.col("p_partkey") % 2 == 0, F.col("sold")).alias("historical_sold"), F.col("sold").alias("sold"), F.struct((F.col("p_partkey") % 50 / 10.0).cast("double").alias("rating_star")).alias("item_rating"))
     shape = F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.struct(item.alias("item_basic")))).when(F.col("p_partkey") % 3 == 1, F.to_json(F.struct(F.struct(item.alias("item_data")).alias("item_card")))).otherwise(F.to_json(item))
-    return p.select((F.col("p_partkey") % 50).alias("shop"), shape.alias("j")).groupBy("shop").agg(F.concat(F.lit('{"items": ['), F.array_join(F.collect_list("j"), ", "), F.lit("]}")).alias("json"))
+    return p.select(F.floor(F.col("p_partkey") / 100).alias("shop"), shape.alias("j")).groupBy("shop").agg(F.concat(F.lit('{"items": ['), F.array_join(F.collect_list("j"), ", "), F.lit("]}")).alias("json"))
 
 
 def q_shop_json(spark, d):
@@ -71,11 +71,11 @@ def q_text_price_json(spark, d):
 
 def q_answers(spark, d):
     """Leads repaired from answers that were made of stored listings, some not JSON at all."""
-    v = view(spark, d, "listings").where("telepon is not null").select((F.col("seq") % 40).alias("jawaban"), "seq", "nama_bisnis", "telepon")
+    v = view(spark, d, "listings").where("telepon is not null").select(F.floor(F.col("seq") / 10).alias("jawaban"), "seq", "nama_bisnis", "telepon")
     one = F.concat(F.lit('{"nama": "'), "nama_bisnis", F.lit('", "telepon": "'), "telepon", F.lit('",}'))
     text = v.groupBy("jawaban").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("j")))), lambda x: x["j"]), ",\n").alias("t"))
     text = text.select("jawaban", F.when(F.col("jawaban") % 5 == 0, "maaf, tidak ada data").otherwise(F.concat(F.lit("```json\nBerikut:\n["), "t", F.lit(",]\n```"))).alias("teks"))
-    return text.select("jawaban", F.posexplode(answer_items(F.col("teks"), 10)).alias("n", "m")).select("jawaban", "n", F.col("m")["nama"].alias("nama"), F.col("m")["telepon"].alias("telepon"))
+    return text.select("jawaban", F.posexplode(answer_items(F.col("teks"))).alias("n", "m")).select("jawaban", "n", F.col("m")["nama"].alias("nama"), F.col("m")["telepon"].alias("telepon"))
 
 
 def q_regions(spark, d):
@@ -276,7 +276,7 @@ def build():
         "io3_cards": (q_card_ingest, with_views("WITH x AS (SELECT seq, CASE WHEN seq % 3 = 0 THEN href ELSE concat('h', seq % 500) END AS href, nama_bisnis FROM v_listings), r AS (SELECT *, row_number() OVER (PARTITION BY href ORDER BY seq) AS n FROM x) SELECT seq, href, nama_bisnis FROM r WHERE n = 1", L_)),
         "io4_shop_json": (q_shop_json, f"WITH p AS (SELECT *, (p_partkey % 900 + 10) * 1000 AS h, p_partkey % 7 * 200000 AS c FROM part JOIN {sold} ON p_partkey = l_partkey) SELECT concat('shp:', p_partkey % 50, ':', p_partkey) AS product_key, p_name AS nama_produk, h::BIGINT AS harga, (CASE WHEN c > h THEN c ELSE 0 END)::BIGINT AS harga_coret, sold AS terjual, round_even(p_partkey % 50 / 10.0::DOUBLE, 2) AS rating FROM p"),
         "io5_text_price_json": (q_text_price_json, "SELECT concat('tkp:9:', p_partkey) AS product_key, p_name AS nama_produk, concat('https://t.example/', p_partkey) AS url, coalesce(nullif(p_partkey * 1000, 0), NULL)::BIGINT AS harga, p_partkey % 9 AS jumlah_ulasan FROM part"),
-        "io6_answers": (q_answers, with_views("WITH r AS (SELECT seq % 40 AS jawaban, seq, nama_bisnis AS nama, telepon, row_number() OVER (PARTITION BY seq % 40 ORDER BY seq) - 1 AS n FROM v_listings WHERE telepon IS NOT NULL) SELECT jawaban, n::INTEGER AS n, nama, telepon FROM r WHERE n < 10 AND jawaban % 5 <> 0", L_)),
+        "io6_answers": (q_answers, with_views("WITH r AS (SELECT seq // 10 AS jawaban, seq, nama_bisnis AS nama, telepon, row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) - 1 AS n FROM v_listings WHERE telepon IS NOT NULL) SELECT jawaban, n::INTEGER AS n, nama, telepon FROM r WHERE jawaban % 5 <> 0", L_)),
         "io7_regions": (q_regions, "SELECT r_name AS provinsi, n_name AS wilayah, n_nationkey AS kode, lower(concat(n_name, ' ', r_name)) AS cari FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, NULL, lower(r_name) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)"),
         "io8_lead_sink": (q_sink, with_views("SELECT area_pencarian, count(*) AS n, sum(skor_pembeli)::BIGINT AS skor FROM v_businesses GROUP BY 1", B)),
         "prs9_profile_signals": (q_profile_signals, with_views("SELECT seq, coalesce(sudah_diklaim, true) AS diklaim, status_buka AS status, coalesce(jumlah_foto = 0, false) AS tanpa_foto, rentang_harga AS harga FROM v_listings", L_)),
