@@ -52,15 +52,14 @@ def test_few_labels_stay_near_the_prior():
     assert toxicity.probability(toxicity.np.array([[3.0, 2.0], [0.0, 0.0]]), many).round() .tolist() == [1.0, 0.0]
 
 
-def test_pipeline(spark, tmp_path):
-    docs, kept = spark.read.parquet(f"{DIR}/documents.parquet"), []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, DIR)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns
-        out.write.parquet(f"{tmp_path}/{k}")
-        docs = spark.read.parquet(f"{tmp_path}/{k}")
-        kept.append(docs)
+def test_pipeline(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "checkpoint_folder", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, DIR)
+    (folder,) = tmp_path.glob("pipeline-*")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    kept = [spark.read.parquet(f"{folder}/{k}") for k in range(len(corpus_pipeline.STAGES))]
+    assert all(set(d.columns) == set(docs.columns) for d in kept[:-1])
+    assert out.columns == kept[-1].columns and out.exceptAll(kept[-1]).count() == kept[-1].exceptAll(out).count() == 0
     ids = [{r.doc_id for r in d.select("doc_id").distinct().collect()} for d in kept]
     first = spark.read.parquet(f"{DIR}/documents.parquet")
     from marketlens.llm import decontamination, jaccard_join
