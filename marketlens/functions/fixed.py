@@ -58,3 +58,15 @@ BRANDS = (
 UNITS = "gb|tb|mb|kb|ghz|mhz|khz|hz|w|watt|va|mm|cm|inch|inci|bit|pin|rpm|ml|kg|gr"
 SERIES = "ddr|pcie|pci|usb|sata|nvme|gen|generasi|ryzen|lga|cat|pc"
 SUFFIXES = "ti|super|xt|x3d|ko|kf"
+# Reasons and points of a lead's need, means and reach.
+SCORE_REASONS = (
+    (
+        ("belum punya website sendiri", 28), ("website mati/error", 28), ("platform gratisan", 12), ("listing belum diklaim", 8), ("tanpa HTTPS", 8),
+        ("tidak ramah HP", 8), ("website lambat", 6), ("situs terbengkalai", 6), ("belum ada tracking iklan", 6), ("listing tanpa foto", 4),
+    ),
+    (
+        ("rating baik", 5), ("kategori bernilai tinggi", 10), ("kategori margin tipis", -5), ("terbukti pernah belanja iklan", 5),
+        ("rentang harga menengah ke atas", 5), ("punya {} lokasi", 5),
+    ),
+    (("nomor WhatsApp", 15), ("ada nomor telepon", 5), ("ada email", 5), ("ada akun sosmed", 3)),
+)

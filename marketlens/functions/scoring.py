@@ -83,14 +83,37 @@ def _points(*pairs):
     return sum((F.when(F.coalesce(c, F.lit(False)), n).otherwise(0) for c, n in pairs), F.lit(0))
 
 
-def buyer_score(rows):
-    """skor_butuh, skor_mampu, skor_hubungi, skor_pembeli, tier and skor_popularitas."""
+def score_parts():
+    """Points of need, means and reach as (reason, condition, points); the points for reviews are apart."""
     c = F.col
-    need = _points((~c("s_url") | c("s_sosmed"), 28), (c("s_url") & c("s_mati"), 28), (c("s_web") & c("s_gratisan"), 12), (~c("s_diklaim"), 8), (~c("s_https"), 8), (~c("s_mobile"), 8), (c("s_lambat"), 6), (c("s_basi"), 6), (~c("s_pixel"), 6), (c("s_tanpa_foto"), 4))
     high, low = P.contains_any(c("s_kategori"), X.HIGH_VALUE), P.contains_any(c("s_kategori"), X.LOW_VALUE)
     several = (F.size(F.split(c("s_harga"), "Rp")) >= 3) | F.contains(c("s_harga"), F.lit("$$"))
-    means = F.least(F.lit(15.0), F.lit(5.0) * F.log10(c("s_ulasan") + F.lit(1))) + _points((c("s_rating") >= 4.0, 5), (high, 10), (~high & low, -5), (c("s_pixel"), 5), (several, 5), (c("cabang") >= 2, 5))
-    reach = _points((c("s_wa"), 15), (c("s_telepon"), 5), (c("s_email"), 5), (c("s_akun"), 3))
+    need = [~c("s_url") | c("s_sosmed"), c("s_url") & c("s_mati"), c("s_web") & c("s_gratisan"), ~c("s_diklaim"), ~c("s_https"), ~c("s_mobile"), c("s_lambat"), c("s_basi"), ~c("s_pixel"), c("s_tanpa_foto")]
+    means = [c("s_rating") >= 4.0, high, ~high & low, c("s_pixel"), several, c("cabang") >= 2]
+    reach = [c("s_wa"), c("s_telepon"), c("s_email"), c("s_akun")]
+    return tuple([(reason, condition, n) for (reason, n), condition in zip(reasons, conditions, strict=True)] for reasons, conditions in zip(X.SCORE_REASONS, (need, means, reach), strict=True))
+
+
+def score_details(rows):
+    """rincian: a map from each reason that counts to its points, before limits and rounding; a closed place has one reason of no points."""
+    named = {"punya {} lokasi": F.concat(F.lit("punya "), F.col("cabang").cast("string"), F.lit(" lokasi"))}
+    one = lambda reason, points: F.struct(named.get(reason, F.lit(reason)).alias("alasan"), points.cast("double").alias("poin"))
+    size = F.concat(F.lit("ukuran bisnis ("), F.col("s_ulasan").cast("string"), F.lit(" ulasan)"))
+    reviews = F.struct(size.alias("alasan"), F.bround(review_points(), 1).alias("poin"))
+    found = F.array(reviews, *(F.when(F.coalesce(condition, F.lit(False)), one(reason, F.lit(n))) for part in score_parts() for reason, condition, n in part))
+    closed = F.array(one("tutup permanen", F.lit(0)))
+    return rows.withColumn("rincian", F.map_from_entries(F.when(F.col("s_tutup"), closed).otherwise(F.filter(found, lambda x: x.isNotNull()))))
+
+
+def review_points():
+    return F.least(F.lit(15.0), F.lit(5.0) * F.log10(F.col("s_ulasan") + F.lit(1)))
+
+
+def buyer_score(rows):
+    """skor_butuh, skor_mampu, skor_hubungi, skor_pembeli, tier and skor_popularitas."""
+    c = F.col
+    need, means, reach = (_points(*((condition, n) for _, condition, n in part)) for part in score_parts())
+    means = review_points() + means
     rows = rows.withColumn("b", F.least(need, F.lit(40))).withColumn("m", F.greatest(F.lit(0.0), F.least(means, F.lit(35.0)))).withColumn("h", F.least(reach, F.lit(25)))
     total = F.when(c("s_tutup"), 0).otherwise(F.bround(c("b") + c("m") + c("h"))).cast("long")
     popular = F.when(c("s_rating") == 0, 0.0).otherwise(F.bround(F.least(c("s_rating") * F.log10(c("s_ulasan") + F.lit(1)), F.lit(10.0)), 2))

@@ -57,6 +57,12 @@ def q_scores(spark, d):
     return x.select("seq", "cabang", "skor_butuh", "skor_mampu", "skor_hubungi", "skor_pembeli", "tier", "skor_popularitas", "jasa_utama")
 
 
+def q_details(spark, d):
+    """One row per lead and reason of its score, before limits and rounding."""
+    x = S.score_details(S.score_leads(view(spark, d, "listings"), view(spark, d, "businesses"), YEAR))
+    return x.select("seq", F.explode("rincian").alias("alasan", "poin"))
+
+
 def pts(*pairs):
     return " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in pairs)
 
@@ -68,6 +74,15 @@ p1 AS (SELECT *, least({pts(("NOT ada OR sos", 28), ("ada AND mati", 28), ("puny
   greatest(0.0::DOUBLE, least(35.0::DOUBLE, least(15.0::DOUBLE, 5.0::DOUBLE * log10(ul + 1)) + {pts(("rt >= 4.0", 5), (either("kat", X.HIGH_VALUE), 10), (f"NOT {either('kat', X.HIGH_VALUE)} AND {either('kat', X.LOW_VALUE)}", -5), ("web_ada_pixel", 5), ("rentang_harga LIKE '%Rp%Rp%' OR contains(rentang_harga, '$$')", 5), ("cabang >= 2", 5))})) AS m,
   least({pts(("wa", 15), ("trim(coalesce(telepon, '')) <> ''", 5), ("email <> ''", 5), ("akun", 3))}, 25) AS h FROM p0),
 p2 AS (SELECT *, CASE WHEN tutup THEN 0 ELSE round_even(b + m + h, 0)::BIGINT END AS skor FROM p1)"""
+HIGH_SQL, LOW_SQL = either("kat", X.HIGH_VALUE), either("kat", X.LOW_VALUE)
+WHEN = [
+    "NOT ada OR sos", "ada AND mati", "punya AND gratis", "NOT sudah_diklaim", "NOT web_https", "NOT web_mobile", "lambat", "basi", "NOT web_ada_pixel", "jumlah_foto = 0",
+    "rt >= 4.0", HIGH_SQL, f"NOT {HIGH_SQL} AND {LOW_SQL}", "web_ada_pixel", "rentang_harga LIKE '%Rp%Rp%' OR contains(rentang_harga, '$$')", "cabang >= 2",
+    "wa", "trim(coalesce(telepon, '')) <> ''", "email <> ''", "akun",
+]
+DETAILS = " UNION ALL ".join(
+    f"SELECT seq, replace('{reason}', '{{}}', cabang::VARCHAR) AS alasan, {n}::DOUBLE AS poin FROM p0 WHERE NOT tutup AND ({c})" for (reason, n), c in zip([x for part in X.SCORE_REASONS for x in part], WHEN, strict=True)
+)
 TIER = "CASE WHEN skor >= 75 THEN 'PANAS' WHEN skor >= 55 THEN 'HANGAT' WHEN skor >= 35 THEN 'DINGIN' ELSE 'ARSIP' END"
 
 
@@ -171,6 +186,7 @@ def build():
     return {
         "sco1_signals": (q_signals, with_views(f"WITH {SIGNALS} SELECT seq, ada, punya, sos, gratis, basi, wa, tutup, coalesce(web_https::VARCHAR, '?') AS https FROM sg", L)),
         "sco2_services": (q_services, with_views(f"WITH {SERVICES} SELECT seq, coalesce(g[1], '{S.MANUAL}') AS jasa_utama, array_to_string(g[2:3], ' | ') AS jasa_pendukung FROM fu", L)),
+        "sco3_details": (q_details, with_views(f"WITH {SCORES} {DETAILS} UNION ALL SELECT seq, concat('ukuran bisnis (', ul::BIGINT, ' ulasan)'), round_even(least(15.0::DOUBLE, 5.0::DOUBLE * log10(ul + 1)), 1) FROM p0 WHERE NOT tutup UNION ALL SELECT seq, 'tutup permanen', 0.0::DOUBLE FROM p0 WHERE tutup", L, B)),
         "sco3_6_scores": (q_scores, with_views(f"WITH {SCORES} SELECT seq, cabang, b::BIGINT AS skor_butuh, round_even(m, 0)::BIGINT AS skor_mampu, h::BIGINT AS skor_hubungi, skor AS skor_pembeli, {TIER} AS tier, CASE WHEN rt = 0 THEN 0 ELSE round_even(least(rt * log10(ul + 1), 10.0), 2) END::DOUBLE AS skor_popularitas, coalesce(g[1], '{S.MANUAL}') AS jasa_utama FROM p2", L, B)),
         "sco7_message": (q_message, with_views(f"WITH {SERVICES} SELECT seq, concat('Halo ', nama_bisnis, ', kami menawarkan ', coalesce(g[1], '{S.MANUAL}'), '.') AS pesan, wa AS punya_tautan FROM fu", L)),
         "flt1_prefilter": (q_prefilter, with_views(f"WITH {SIGNALS} SELECT seq, nama_bisnis FROM sg WHERE (rating IS NULL OR rating >= 3) AND (jumlah_ulasan IS NULL OR jumlah_ulasan >= 20) AND (coalesce(telepon, '') = '' OR wa) AND NOT {either('lower(status_buka)', X.CLOSED)}", L)),

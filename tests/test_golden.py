@@ -120,3 +120,19 @@ def test_upsert_twice(spark):
 def test_history_has_no_equal_neighbours(spark):
     o = spark.createDataFrame([("p", i, h, t) for i, (h, t) in enumerate([(1, 0), (1, 0), (0, 5), (1, 0), (2, 0), (2, None), (1, 1)])], "product_key string, seq int, harga long, terjual long")
     assert [(r["harga"], r["terjual"]) for r in ledger.price_history(o).orderBy("seq").collect()] == [(1, 0), (2, 0), (1, 1)]
+
+
+def test_reasons_add_up_to_the_score(spark):
+    from marketlens.functions import fixed as X
+    from marketlens.operators.leads import YEAR
+    from marketlens.sources.views import view
+
+    d = "/root/testdata/sf0.001"
+    rows = S.score_details(S.score_leads(view(spark, d, "listings"), view(spark, d, "businesses"), YEAR)).select("s_tutup", "skor_pembeli", "rincian").collect()
+    need, _, reach = ({reason for reason, _ in part} for part in X.SCORE_REASONS)
+    for closed, score, reasons in rows:
+        part = lambda names: sum(v for k, v in reasons.items() if k in names)  # noqa: E731, B023
+        means = part(set(reasons) - need - reach)
+        want = min(40, part(need)) + max(0, min(35, means)) + min(25, part(reach))
+        assert reasons == {"tutup permanen": 0.0} and score == 0 if closed else abs(score - want) <= 0.56
+    assert len(rows) > 100
