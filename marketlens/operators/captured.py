@@ -250,18 +250,6 @@ def q_freshness(spark, d):
     return v.select("store_id", hours.cast("long").alias("jam"), (hours < 12).alias("segar"))
 
 
-def q_lines(spark, d):
-    """Model groups whose trimmed prices spread widely, split by the rarest word of each title."""
-    g = pricing.groups(view(spark, d, "products")).where("harga > 0")
-    used = pricing.trimmed(g, "varian").where("dipakai")
-    wide = used.groupBy("varian").agg(F.count("*").alias("n"), (F.max("harga") / F.min("harga")).alias("lebar")).where("n >= 3 and lebar >= 1.6").select("varian")
-    df = LX.document_frequency(LX.store_titles(view(spark, d, "products")))
-    rare = df.where((F.col("df") / F.col("n_dok") <= 0.12) & F.col("token").rlike("^[a-z]{4,}$") & L.kind(F.col("token")).isin("umum", "merek")).select("token", "idf")
-    t = g.join(F.broadcast(wide), "varian").select("varian", "product_key", "store_id", "terjual", F.explode_outer("tokens").alias("token")).join(rare, "token", "left")
-    best = t.groupBy("varian", "product_key", "store_id", "terjual").agg(F.max_by("token", F.when(F.col("idf").isNotNull(), F.struct("idf", "token"))).alias("lini"))
-    return best.groupBy("varian", F.coalesce("lini", F.lit("lain")).alias("lini")).agg(F.count("*").alias("n"))
-
-
 def q_check(spark, d):
     """Price check end to end: variants of each query with market statistics and advice."""
     found = matching.search(spark, matching.QUERIES, view(spark, d, "products").where("harga > 0")).withColumn("varian", F.concat_ws("/", F.col("query_id").cast("string"), F.array_join(F.array_sort("models"), "|")))
@@ -293,7 +281,6 @@ def build():
         "ups4_last_write": (q_last_write, with_views("SELECT store_id, harga, seq FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY captured_at DESC, seq DESC, harga DESC) AS n FROM v_price_obs WHERE harga IS NOT NULL) WHERE n = 1", O)),
         "ups5_crm_edits": (q_crm_edits, with_views("SELECT place_key, CASE WHEN skor_pembeli > 60 THEN 'Follow Up' ELSE status_leads END AS status_leads, CASE WHEN skor_pembeli > 60 AND times_seen > 2 THEN '2024-02-01' ELSE tanggal_follow_up END AS tanggal_follow_up FROM v_businesses", B)),
         "srt1_sheet_order": (q_sheet_order, with_views(f"WITH {L.VARIANT_SQL} SELECT store_id, product_key, varian, row_number() OVER (PARTITION BY store_id ORDER BY varian, CASE WHEN harga > 0 THEN harga END ASC NULLS LAST, product_key, terjual, nama_produk) AS urut FROM vr", PR)),
-        "mat8_product_lines": (q_lines, None),
         "mat11_win5_shelf_scores": (q_shelf_scores, None),
         "mat12_search_terms": (q_search_terms, None),
         "mat13_freshness": (q_freshness, with_views("WITH t AS (SELECT store_id, max(captured_at) AS t FROM v_price_obs GROUP BY 1) SELECT store_id, trunc((epoch(TIMESTAMP '1998-12-01 06:00:00') - epoch(t::TIMESTAMP)) / 3600)::BIGINT AS jam, (epoch(TIMESTAMP '1998-12-01 06:00:00') - epoch(t::TIMESTAMP)) / 3600 < 12 AS segar FROM t", O)),

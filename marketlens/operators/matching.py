@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import titles as L
 from marketlens.functions.frames import each, kept
 from marketlens.operators import lexicon as LX
+from marketlens.operators import variants
 from marketlens.sources.views import view
 
 QUERIES = ["intel 7 gen 12", "ram ddr4 8gb", "ssd sandisk 1tb", "rtx 3060 ti", "kulkas 2 pintu"]
@@ -139,15 +140,13 @@ def q_leaders(spark, d):
 
 
 def q_labels(spark, d):
-    """Variants of each query with a readable label: top brand, series and model."""
-    found = search(spark, QUERIES, view(spark, d, "products")).where(F.size("models") > 0).withColumn("varian", F.array_join(F.array_sort("models"), "|"))
-    t = each(found, ["query_id", "varian"], "tokens", "t")
-    part = F.when(L.kind(F.col("t")) == "model", "model").when(F.col("t").rlike(r"^(i[0-9]|ryzen[0-9]|rtx|gtx|rx|ddr[0-9]|gen[0-9]+)$"), "seri").when(L.kind(F.col("t")) == "merek", "merek")
-    n = t.withColumn("bagian", part).where("bagian is not null").groupBy("query_id", "varian", "bagian", "t").agg(F.count("*").alias("n"))
-    best = n.groupBy("query_id", "varian").agg(*(F.max_by("t", F.when(F.col("bagian") == b, F.struct("n", "t"))).alias(b) for b in ("merek", "seri", "model")))
-    size = found.groupBy("query_id", "varian").agg(F.count("*").alias("n"), F.max("skor").alias("skor"), F.min("harga").alias("termurah"), F.max("harga").alias("termahal"))
-    label = F.concat_ws(" ", F.initcap("merek"), "seri", F.upper("model"))
-    return size.join(best, ["query_id", "varian"]).select("query_id", "varian", label.alias("label"), "n", "skor", "termurah", "termahal")
+    """Variants of each query, split into product lines: label, range of prices, stores, best score, those of most stores first."""
+    products = variants.grouped(view(spark, d, "products"))
+    found = search(spark, QUERIES, products.drop("tokens", "models")).where(F.size("models") > 0)
+    found = kept(variants.split_lines(found, ["query_id"]))
+    x = variants.summary(found.withColumn("harga", F.col("harga").cast("long")), ["query_id", "kunci"])
+    w = Window.partitionBy("query_id").orderBy(F.desc("toko"), F.desc("skor"), "kunci")
+    return x.withColumn("urut", F.row_number().over(w)).select("query_id", "urut", F.col("kunci").alias("varian"), "label", "n", "toko", "skor", "termurah", "termahal", "n_pencilan", "milik")
 
 
 def build():

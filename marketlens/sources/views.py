@@ -89,6 +89,19 @@ SELECT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'tkp:' ELSE 'shp:' END, cast(l_su
   CASE WHEN (l_partkey + l_suppkey) % 23 = 0 THEN 'ai' ELSE 'api' END AS sumber
 FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY l_partkey, l_suppkey, p_name, p_brand
+""",
+    "sized_products": r"""
+SELECT concat('shp:', cast(l_suppkey AS STRING), ':', cast(l_partkey AS STRING)) AS product_key,
+  concat('st-', cast(l_suppkey AS STRING)) AS store_id, CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END AS is_own,
+  concat(CASE l_suppkey % 5 WHEN 0 THEN 'READY ' WHEN 1 THEN 'PROMO ' ELSE '' END,
+    CASE l_partkey % 20 WHEN 0 THEN 'Cube Gaming Nytrix 240' WHEN 1 THEN 'Cube Gaming Luminex 240 Black' WHEN 2 THEN 'Cube Gaming Blazeview AIO 240' WHEN 3 THEN 'Cube Gaming 240'
+      WHEN 4 THEN 'Intel Core i7-12700K Gen 12' WHEN 5 THEN 'Intel Core i7 12700K Tray' WHEN 6 THEN 'Deepcool Castle 360' WHEN 7 THEN 'Deepcool Castle 360 Panel' WHEN 8 THEN 'Deepcool Castle 360'
+      WHEN 9 THEN 'Rakitan Intel 12700K MSI RTX 3060 Ti' WHEN 10 THEN 'SSD Sandisk 1TB' WHEN 11 THEN 'Kipas Aurora 120' ELSE concat(p_name, ' ', replace(p_brand, '#', ' ')) END) AS nama_produk,
+  CASE WHEN (l_partkey + l_suppkey) % 29 = 0 THEN 35000 WHEN (l_partkey + l_suppkey) % 31 = 0 THEN 0 WHEN (l_partkey + l_suppkey) % 37 = 0 THEN NULL
+       ELSE CASE l_partkey % 20 WHEN 0 THEN 6150 WHEN 1 THEN 9000 WHEN 2 THEN 14000 WHEN 3 THEN 8000 WHEN 4 THEN 48000 WHEN 5 THEN 47000 WHEN 6 THEN 9000 WHEN 7 THEN 16000 WHEN 8 THEN 9500 WHEN 9 THEN 99000 ELSE 1500 END
+            * (100 + (l_suppkey * 37 + l_partkey * 11) % 41 - 20) END AS harga
+FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY l_partkey, l_suppkey, p_name, p_brand
 """,
     "price_obs": r"""
 SELECT concat('p:', cast(l_partkey AS STRING)) AS product_key,
