@@ -70,3 +70,35 @@ SCORE_REASONS = (
     ),
     (("nomor WhatsApp", 15), ("ada nomor telepon", 5), ("ada email", 5), ("ada akun sosmed", 3)),
 )
+
+# Provinces of each island group, regencies and cities of each metropolitan area (with the
+# province where names are ambiguous), and large cities.
+ISLANDS = {
+    "Jawa": ("DKI Jakarta", "Jawa Barat", "Banten", "Jawa Tengah", "DI Yogyakarta", "Jawa Timur"),
+    "Sumatera": ("Aceh", "Sumatera Utara", "Sumatera Barat", "Riau", "Kepulauan Riau", "Jambi", "Sumatera Selatan", "Bengkulu", "Lampung", "Kepulauan Bangka Belitung"),
+    "Kalimantan": ("Kalimantan Barat", "Kalimantan Tengah", "Kalimantan Selatan", "Kalimantan Timur", "Kalimantan Utara"),
+    "Sulawesi": ("Sulawesi Utara", "Sulawesi Tengah", "Sulawesi Selatan", "Sulawesi Tenggara", "Sulawesi Barat", "Gorontalo"),
+    "Bali & Nusa Tenggara": ("Bali", "Nusa Tenggara Barat", "Nusa Tenggara Timur"),
+    "Maluku": ("Maluku", "Maluku Utara"),
+    "Papua": ("Papua", "Papua Tengah", "Papua Pegunungan", "Papua Selatan", "Papua Barat", "Papua Barat Daya"),
+}
+METROS = (
+    ("Jabodetabek", ("Jakarta Pusat", "Jakarta Selatan", "Jakarta Barat", "Jakarta Timur", "Jakarta Utara", "Bogor", "Kabupaten Bogor", "Depok", "Tangerang", "Tangerang Selatan", "Kabupaten Tangerang", "Bekasi", "Kabupaten Bekasi"), None),
+    ("Bandung Raya", ("Bandung", "Kabupaten Bandung", "Kabupaten Bandung Barat", "Cimahi", "Sumedang"), None),
+    ("Gerbangkertosusila", ("Surabaya", "Gresik", "Bangkalan", "Mojokerto", "Kabupaten Mojokerto", "Sidoarjo", "Lamongan"), None),
+    ("Kedungsepur", ("Semarang", "Kabupaten Semarang", "Salatiga", "Kendal", "Demak", "Grobogan"), None),
+    ("Solo Raya", ("Surakarta (Solo)", "Sukoharjo", "Karanganyar", "Boyolali", "Klaten", "Sragen", "Wonogiri"), None),
+    ("Kartamantul (Jogja)", ("Yogyakarta", "Sleman", "Bantul"), None),
+    ("Malang Raya", ("Malang", "Kabupaten Malang", "Batu"), None),
+    ("Sarbagita (Bali)", ("Denpasar", "Badung", "Gianyar", "Tabanan"), None),
+    ("Mebidangro (Medan)", ("Medan", "Binjai", "Deli Serdang", "Karo"), None),
+    ("Patungraya (Palembang)", ("Palembang", "Banyuasin", "Ogan Ilir"), None),
+    ("Mamminasata (Makassar)", ("Makassar", "Maros", "Gowa", "Takalar"), None),
+    ("Banjar Bakula", ("Banjarmasin", "Banjarbaru", "Banjar", "Barito Kuala", "Tanah Laut"), "Kalimantan Selatan"),
+    ("Balikpapan-Samarinda", ("Balikpapan", "Samarinda", "Kutai Kartanegara"), None),
+)
+CITIES = (
+    "Jakarta Pusat", "Jakarta Selatan", "Jakarta Barat", "Jakarta Timur", "Jakarta Utara", "Bandung", "Surabaya", "Medan", "Semarang", "Makassar", "Palembang",
+    "Bekasi", "Depok", "Tangerang", "Tangerang Selatan", "Bogor", "Batam", "Pekanbaru", "Bandar Lampung", "Padang", "Malang", "Denpasar", "Samarinda",
+    "Balikpapan", "Banjarmasin", "Yogyakarta", "Surakarta (Solo)", "Pontianak", "Manado", "Jambi", "Cimahi",
+)

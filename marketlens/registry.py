@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "operators.retention", "operators.runs", "operators.stores", "operators.variants", "streaming.jobs")
+MODULES = ("operators.captured", "operators.keys", "operators.leads", "operators.ledger", "operators.lexicon", "operators.matching", "operators.pages", "operators.pricing", "operators.regions", "operators.retention", "operators.runs", "operators.stores", "operators.variants", "streaming.jobs")
 
 
 def _all():

@@ -102,6 +102,13 @@ SELECT concat('shp:', cast(l_suppkey AS STRING), ':', cast(l_partkey AS STRING))
             * (100 + (l_suppkey * 37 + l_partkey * 11) % 41 - 20) END AS harga
 FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY l_partkey, l_suppkey, p_name, p_brand
+""",
+    "places": r"""
+SELECT CASE c_nationkey WHEN 0 THEN 'DKI Jakarta' WHEN 1 THEN 'DKI Jakarta' WHEN 2 THEN 'Jawa Barat' WHEN 3 THEN 'Jawa Barat' WHEN 4 THEN 'Jawa Barat' WHEN 5 THEN 'Jawa Barat' WHEN 6 THEN 'Kalimantan Selatan' WHEN 7 THEN 'Kalimantan Selatan' WHEN 8 THEN 'Kalimantan Timur' WHEN 9 THEN 'Jawa Timur' WHEN 10 THEN 'Jawa Timur' WHEN 11 THEN 'Jawa Timur' WHEN 12 THEN 'Jawa Tengah' WHEN 13 THEN 'Jawa Tengah' WHEN 14 THEN 'Jawa Tengah' WHEN 15 THEN 'DI Yogyakarta' WHEN 16 THEN 'Bali' WHEN 17 THEN 'Bali' WHEN 18 THEN 'Sumatera Utara' WHEN 19 THEN 'Sumatera Utara' WHEN 20 THEN 'Sumatera Selatan' WHEN 21 THEN 'Sulawesi Selatan' WHEN 22 THEN 'Sulawesi Utara' WHEN 23 THEN 'Maluku' WHEN 24 THEN 'Papua' END AS provinsi,
+  CASE c_nationkey WHEN 0 THEN 'Jakarta Pusat' WHEN 1 THEN 'Jakarta Selatan' WHEN 2 THEN 'Bogor' WHEN 3 THEN 'Kabupaten Bogor' WHEN 4 THEN 'Banjar' WHEN 5 THEN 'Bandung' WHEN 6 THEN 'Banjar' WHEN 7 THEN 'Banjarmasin' WHEN 8 THEN 'Samarinda' WHEN 9 THEN 'Surabaya' WHEN 10 THEN 'Gresik' WHEN 11 THEN 'Batu' WHEN 12 THEN 'Semarang' WHEN 13 THEN 'Surakarta (Solo)' WHEN 14 THEN 'Klaten' WHEN 15 THEN 'Sleman' WHEN 16 THEN 'Denpasar' WHEN 17 THEN 'Badung' WHEN 18 THEN 'Medan' WHEN 19 THEN 'Karo' WHEN 20 THEN 'Palembang' WHEN 21 THEN 'Gowa' WHEN 22 THEN 'Manado' WHEN 23 THEN 'Ambon' WHEN 24 THEN 'Jayapura' END AS wilayah,
+  CASE c_nationkey WHEN 0 THEN 'kota' WHEN 1 THEN 'kota' WHEN 2 THEN 'kota' WHEN 3 THEN 'kab' WHEN 4 THEN 'kota' WHEN 5 THEN 'kota' WHEN 6 THEN 'kab' WHEN 7 THEN 'kota' WHEN 8 THEN 'kota' WHEN 9 THEN 'kota' WHEN 10 THEN 'kab' WHEN 11 THEN 'kota' WHEN 12 THEN 'kota' WHEN 13 THEN 'kota' WHEN 14 THEN 'kab' WHEN 15 THEN 'kab' WHEN 16 THEN 'kota' WHEN 17 THEN 'kab' WHEN 18 THEN 'kota' WHEN 19 THEN 'kab' WHEN 20 THEN 'kota' WHEN 21 THEN 'kab' WHEN 22 THEN 'kota' WHEN 23 THEN 'kota' WHEN 24 THEN 'kab' END AS tipe,
+  concat('Kecamatan ', cast(c_custkey % 400 AS STRING)) AS kecamatan
+FROM customer
 """,
     "price_obs": r"""
 SELECT concat('p:', cast(l_partkey AS STRING)) AS product_key,
