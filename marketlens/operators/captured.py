@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import fixed as X
 from marketlens.functions import parse as P
 from marketlens.functions import titles as L
+from marketlens.functions.frames import kept
 from marketlens.operators import ledger, matching, pricing
 from marketlens.operators import lexicon as LX
 from marketlens.operators.keys import PLACE_KEY_SQL
@@ -253,6 +254,7 @@ def q_freshness(spark, d):
 def q_check(spark, d):
     """Price check end to end: variants of each query with market statistics and advice."""
     found = matching.search(spark, matching.QUERIES, view(spark, d, "products").where("harga > 0")).withColumn("varian", F.concat_ws("/", F.col("query_id").cast("string"), F.array_join(F.array_sort("models"), "|")))
+    found = kept(found.select("varian", "product_key", "is_own", "sumber", "harga", "terjual"))  # the analysis reads it several times
     a = pricing.analysis(found, "varian")
     return a.select("varian", "n", "median", "keyakinan", "agresif", "seimbang", "premium", "posisi", "verdict")
 

@@ -93,11 +93,43 @@ def q_message(spark, d):
     return x.select("seq", text.alias("pesan"), (P.chat_link(F.col("telepon"), text) != "").alias("punya_tautan"))
 
 
+def contact_reason(mode):
+    """Why a lead's contacts don't do for a mode: wa (mobile number), telepon, email, apa_saja (any of four) or bebas (none needed); null: they do."""
+    has = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    lacks = {
+        "wa": (~P.is_mobile(F.col("telepon")), "bukan nomor HP/WhatsApp"), "telepon": (F.coalesce("telepon", F.lit("")) == "", "tidak ada nomor telepon"), "email": (~has("email"), "tidak ada email"),
+        "apa_saja": (~((F.coalesce("telepon", F.lit("")) != "") | has("email") | has("instagram") | has("facebook")), "tidak ada kontak sama sekali"), "bebas": (F.lit(False), ""),
+    }
+    return F.when(*lacks[mode])
+
+
+def first_reason(min_rating=None, min_reviews=None, contact="bebas", no_site=False, keep_closed=False):
+    """The first reason a listing fails a filter, in fixed order; null passes. None or False switch a test off; unknown ratings and counts are 0."""
+    tests = []
+    if min_rating is not None:
+        tests.append(F.when(F.coalesce("rating", F.lit(0.0)) < min_rating, f"rating < {min_rating}"))
+    if min_reviews is not None:
+        tests.append(F.when(F.coalesce("jumlah_ulasan", F.lit(0)) < min_reviews, f"ulasan < {min_reviews}"))
+    tests.append(contact_reason(contact))
+    if no_site:
+        tests.append(F.when(P.has_site(F.col("website")), "sudah punya website"))
+    if not keep_closed:
+        tests.append(F.when(P.is_closed(F.col("status_buka")), "bisnis tutup"))
+    return F.coalesce(*tests, F.lit(None).cast("string"))
+
+
+MODES = ("wa", "telepon", "email", "apa_saja", "bebas")
+
+
 def q_first_reason(spark, d):
     """First reason a listing fails, in fixed order; null passes."""
-    v = view(spark, d, "listings")
-    reason = F.when(F.coalesce("rating", F.lit(0.0)) < 3, "rating < 3").when(F.coalesce("jumlah_ulasan", F.lit(0)) < 20, "ulasan < 20").when(~P.is_mobile(F.col("telepon")), "bukan nomor HP/WhatsApp").when(P.has_site(F.col("website")), "sudah punya website").when(P.is_closed(F.col("status_buka")), "bisnis tutup")
-    return v.select("seq", reason.alias("alasan"))
+    return view(spark, d, "listings").select("seq", first_reason(3, 20, "wa", no_site=True).alias("alasan"))
+
+
+def q_contact_modes(spark, d):
+    """First reason of each listing under every contact mode, with thresholds of their own, closed businesses kept in the last one."""
+    one = lambda m: F.struct(F.lit(m).alias("mode"), first_reason(1.5, None if m == "email" else 5, m, m == "apa_saja", m == "bebas").alias("alasan"))
+    return view(spark, d, "listings").select("seq", F.inline(F.array(*map(one, MODES))))
 
 
 REASON = f"CASE WHEN coalesce(rating, 0) < 3 THEN 'rating < 3' WHEN coalesce(jumlah_ulasan, 0) < 20 THEN 'ulasan < 20' WHEN NOT wa THEN 'bukan nomor HP/WhatsApp' WHEN ada THEN 'sudah punya website' WHEN {either('lower(status_buka)', X.CLOSED)} THEN 'bisnis tutup' END"
@@ -191,6 +223,10 @@ def build():
         "sco7_message": (q_message, with_views(f"WITH {SERVICES} SELECT seq, concat('Halo ', nama_bisnis, ', kami menawarkan ', coalesce(g[1], '{S.MANUAL}'), '.') AS pesan, wa AS punya_tautan FROM fu", L)),
         "flt1_prefilter": (q_prefilter, with_views(f"WITH {SIGNALS} SELECT seq, nama_bisnis FROM sg WHERE (rating IS NULL OR rating >= 3) AND (jumlah_ulasan IS NULL OR jumlah_ulasan >= 20) AND (coalesce(telepon, '') = '' OR wa) AND NOT {either('lower(status_buka)', X.CLOSED)}", L)),
         "flt2_first_reason": (q_first_reason, with_views(f"WITH {SIGNALS} SELECT seq, {REASON} AS alasan FROM sg", L)),
+        "flt2_contact_modes": (q_contact_modes, with_views(f"WITH {SIGNALS} " + " UNION ALL ".join(f"""SELECT seq, '{m}' AS mode, CASE WHEN coalesce(rating, 0) < 1.5 THEN 'rating < 1.5' WHEN {'false' if m == 'email' else 'coalesce(jumlah_ulasan, 0) < 5'} THEN 'ulasan < 5' {t} {"WHEN ada THEN 'sudah punya website'" if m == 'apa_saja' else ''}
+ {"" if m == 'bebas' else f"WHEN {either('lower(status_buka)', X.CLOSED)} THEN 'bisnis tutup'"} END AS alasan FROM sg""" for m, t in zip(MODES, (
+            "WHEN NOT wa THEN 'bukan nomor HP/WhatsApp'", "WHEN telepon IS NULL OR telepon = '' THEN 'tidak ada nomor telepon'", "WHEN trim(coalesce(email, '')) = '' THEN 'tidak ada email'",
+            "WHEN concat(telepon, trim(email), trim(instagram), trim(facebook)) = '' THEN 'tidak ada kontak sama sekali'", ""), strict=True)), L)),
         "flt4_no_site": (q_no_site, with_views(f"WITH {SIGNALS} SELECT seq, nama_bisnis, CASE WHEN rt >= 4.0 AND ul >= 50 THEN 'High' WHEN rt >= 3.5 AND ul >= 10 THEN 'Medium' ELSE 'Low' END AS potensi FROM sg WHERE NOT ada", L)),
         "win4_quota": (q_quota, with_views(f"SELECT area_pencarian, seq, n FROM (SELECT *, row_number() OVER (PARTITION BY area_pencarian ORDER BY seq) AS n FROM v_listings WHERE (rating IS NULL OR rating >= 3) AND NOT {either('lower(status_buka)', X.CLOSED)}) WHERE n <= 20", L)),
         "agg5_reasons": (q_reasons, with_views(f"WITH {SIGNALS} SELECT {REASON} AS alasan, count(*) AS n FROM sg GROUP BY 1 HAVING alasan IS NOT NULL", L)),

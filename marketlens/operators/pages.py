@@ -17,10 +17,10 @@ GENERATOR = "(?i)<meta[^>]+name=[\"']generator[\"'][^>]+content=[\"']([^\"']+)"
 LIMIT = 200_000
 CONTACT = "(?i)(kontak|contact|hubungi|about|tentang|profil)"
 
-# Site builders in order: label, test on host or on the page's text.
+# Site builders in order: label, test on host, on the page's text or on its response headers.
 BUILDERS = [
     ("Blogspot", "host LIKE '%blogspot.%'"), ("WordPress.com", "host LIKE '%.wordpress.com%'"), ("Google Sites", "host LIKE '%sites.google.com%'"), ("Wix (subdomain)", "host LIKE '%wixsite.com%'"),
-    ("Weebly", "host LIKE '%weebly.com%'"), ("Webnode", "host LIKE '%webnode.%'"), ("Wix", "low LIKE '%wix.com%' OR low LIKE '%\\_wixcssimports%'"), ("Shopify", "low LIKE '%cdn.shopify.com%'"),
+    ("Weebly", "host LIKE '%weebly.com%'"), ("Webnode", "host LIKE '%webnode.%'"), ("Wix", "low LIKE '%wix.com%' OR hdr LIKE '%x-wix-%' OR low LIKE '%\\_wixcssimports%'"), ("Shopify", "low LIKE '%cdn.shopify.com%' OR hdr LIKE '%shopify%'"),
     ("Webflow", "host LIKE '%webflow.io%' OR low LIKE '%webflow.com%'"), ("Squarespace", "low LIKE '%squarespace%'"), ("WordPress", "low LIKE '%wp-content%' OR low LIKE '%wp-includes%' OR low LIKE '%wp-json%'"),
 ]
 
@@ -40,8 +40,9 @@ def latest_year(text, year):
 
 
 def platform(rows):
-    """Site builder by host, then text, then generator tag."""
-    x = rows.withColumn("host", S.bare_host(F.col("url"))).withColumn("low", F.lower(F.substring("html", 1, LIMIT)))
+    """Site builder by host, then text and response headers (a map, if the rows have `headers`), then generator tag."""
+    sent = F.concat_ws(" ", F.transform(F.map_entries("headers"), lambda e: F.concat_ws(":", e["key"], e["value"]))) if "headers" in rows.columns else F.lit("")
+    x = rows.withColumn("hdr", F.lower(sent)).withColumn("host", S.bare_host(F.col("url"))).withColumn("low", F.lower(F.substring("html", 1, LIMIT)))
     out = F.when(S.host_in(F.col("host"), X.SOCIAL_HOSTS), "sosmed_saja").when(S.host_in(F.col("host"), X.MARKET_HOSTS), "marketplace")
     for label, test in BUILDERS:
         out = out.when(F.expr(test.replace("\\_", "\\\\_")), label)
@@ -144,7 +145,7 @@ def build():
     near = r"flatten(list_transform(regexp_extract_all(html, '(?is)(?:©|&copy;|copyright).{0,40}'), lambda m: regexp_extract_all(m, '20[0-9]{2}')))"
     clean = lambda c: f"list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '{EMAIL}'), lambda e: lower(rtrim(e, '.,;:'))), lambda e: length(e) <= 80 AND NOT {many('e', X.JUNK_EMAIL)})"
     return {
-        "web2_4_7_signals": (q_signals, f"""WITH h AS (SELECT *, {host} AS host, {low} AS low, {near} AS nr FROM pages)
+        "web2_4_7_signals": (q_signals, f"""WITH h AS (SELECT *, {host} AS host, {low} AS low, '' AS hdr, {near} AS nr FROM pages)
 SELECT page_id, CASE WHEN {hosts('host', X.SOCIAL_HOSTS)} THEN 'sosmed_saja' WHEN {hosts('host', X.MARKET_HOSTS)} THEN 'marketplace' {chain} ELSE 'custom' END AS platform, {many('low', X.PIXEL_MARKS)} AS pixel, {many('low', X.SHOP_MARKS)} AS toko, regexp_matches(html, '(?i)<meta[^>]+name=["'']?viewport') AS mobile, {years} AS tahun FROM h"""),
         "web5_emails": (q_emails, f"WITH c AS (SELECT doc_id, {clean('text')} AS e FROM documents) SELECT doc_id, coalesce(e[1], '') AS email, len(list_distinct(e))::INTEGER AS n FROM c"),
         "web6_accounts": (q_accounts, r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages) SELECT page_id, coalesce(regexp_replace(list_filter(ls, lambda h: regexp_matches(lower(h), '(instagram|facebook|tiktok)\.com/') AND NOT regexp_matches(lower(h), 'sharer|share\.php|/share\?|intent/|developers\.|/p/|reel|explore'))[1], '[?].*$', ''), '') AS akun, len(ls) AS tautan FROM l"""),
