@@ -17,6 +17,11 @@ CELLS = 64  # cells of a span
 NODE = ["u", "t", "i"]
 
 
+def seconds(ts):
+    """A timestamp in whole seconds, the nearest (half to even), as the rule counts them; flooring would move half of all times."""
+    return F.rint(F.unix_micros(ts) / F.lit(1e6)).cast("long")
+
+
 def jumps(events, span):
     """u, t, i of each event and nt, ni of the first event of the user after t + span; null where there is none."""
     width = max(1, span // CELLS)
@@ -43,7 +48,7 @@ def admitted(events, days=7):
     """
     span = days * 86400
     nobody = F.lit(-(2**63)).cast("long")
-    rows = events.select(F.coalesce(F.col("user_id").cast("long"), nobody).alias("u"), F.unix_timestamp("ts").alias("t"), F.col("event_id").cast("long").alias("i"))
+    rows = events.select(F.coalesce(F.col("user_id").cast("long"), nobody).alias("u"), seconds(F.col("ts")).alias("t"), F.col("event_id").cast("long").alias("i"))
     rows = kept(rows.where("t is not null and i is not null").distinct())
     heads = rows.groupBy("u").agg(F.min(F.struct("t", "i")).alias("x")).select("u", "x.t", "x.i")
     ends = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()

@@ -164,3 +164,21 @@ def test_stream_of_admissions(spark, tmp_path):
     assert got == folded(rows, 7)
     held = last.lastProgress["stateOperators"][0]["numRowsTotal"]
     assert held <= 4  # user 77 has left the memory
+
+
+@pytest.mark.parametrize("name", ["ded5_greedy_admission", "st2_admission"])
+def test_admission_counts_seconds_as_its_sql(spark, tmp_path, name):
+    """Times with fractions around the span: the SQL rounds to the nearest second, half to even."""
+    import duckdb
+
+    from marketlens import registry
+
+    week, r = 604800, random.Random(3)
+    micros = [(1, 400_000), (1, week * 10**6 + 600_000), (2, 600_000), (2, (week + 1) * 10**6 + 400_000), (3, 500_000), (3, week * 10**6 + 1_500_000), (4, 1_500_000), (4, (week + 2) * 10**6 + 500_000)]
+    micros += [(u, k * (week + 1) * 500_000 + r.randrange(1_000_000)) for u in range(5, 25) for k in range(12)]
+    rows = [(u, START + datetime.timedelta(microseconds=m), i) for i, (u, m) in enumerate(micros)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT user_id, ts::TIMESTAMP AS ts, event_id FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()[name]).fetchall())
+    assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())) == want
