@@ -9,6 +9,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from marketlens.functions.frames import checkpoint_folder
 from marketlens.operators import ledger
+from marketlens.operators.greedy import seconds
 from marketlens.sources.tables import table
 from marketlens.sources.views import view, with_views
 
@@ -90,7 +91,7 @@ def admissions(events, days=182, late="1 day"):
     size (files a trigger) bounds a task. With rows in the order of time, batches and restarts change nothing.
     """
     rows = events.where("ts is not null and event_id is not null").withWatermark("ts", late)
-    rows = rows.select("user_id", "ts", F.unix_timestamp("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    rows = rows.select("user_id", "ts", seconds(F.col("ts")).alias("t"), F.col("event_id").cast("long").alias("event_id"))
     return rows.groupBy("user_id").applyInPandasWithState(_admit(days * 86400), "user_id long, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
