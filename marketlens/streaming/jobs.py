@@ -4,10 +4,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from marketlens.functions.frames import checkpoint_folder
+from marketlens.functions.frames import checkpoint_folder, each
 from marketlens.operators import ledger
 from marketlens.operators.greedy import seconds
 from marketlens.sources.tables import table
@@ -30,32 +31,46 @@ def finish(query):
         raise query.exception()
 
 
-def _changed(key, batches, state):
-    """Rows whose price or sold count differs from the last recorded one; state is that pair."""
-    last = tuple(state.get) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["seq", "harga", "terjual"])
-    keep = []
-    for pair in zip(rows["harga"], rows["terjual"], strict=True):
-        keep.append(pair != last)
-        last = pair
-    if last is not None:
-        state.update(tuple(int(x) for x in last))
-    yield rows[keep]
+LAST = "product_key string, seq long, harga long, terjual long"
 
 
-def price_changes(observations):
-    """The change-only price history of a stream of observations."""
+def price_changes(observations, at):
+    """The change-only price history of a stream of observations, written below `at`; returns the query.
+
+    A batch and the last recorded row of each product are sorted together once, so products cost no call of their
+    own; changes and the new last rows go to the folder of the batch, which a repeated batch overwrites. Only the
+    last rows, one a product, are carried on, so a batch costs its rows and one row a product.
+    """
     valid = observations.where("coalesce(harga, 0) <> 0").select("product_key", "seq", "harga", F.coalesce("terjual", F.lit(0)).cast("long").alias("terjual"))
-    kind = "product_key string, seq long, harga long, terjual long"
-    return valid.groupBy("product_key").applyInPandasWithState(_changed, kind, "harga long, terjual long", "append", GroupStateTimeout.NoTimeout)
+    order = Window.partitionBy("product_key").orderBy(F.desc("old"), "seq", "harga", "terjual")
+
+    def apply(batch, n):
+        session = batch.sparkSession
+        last = session.read.schema(LAST).parquet(f"{at}/n={n - 1}/part=last") if n else session.createDataFrame([], LAST)
+        both = last.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
+        both = both.withColumns({"_h": F.lag("harga").over(order), "_t": F.lag("terjual").over(order), "_end": F.lead("old").over(order).isNull()})
+        changed = ~F.col("old") & F.coalesce((F.col("_h") != F.col("harga")) | (F.col("_t") != F.col("terjual")), F.lit(True))
+        parts = F.array_compact(F.array(F.when(changed, "change"), F.when(F.col("_end"), "last")))
+        rows = each(both, ["product_key", "seq", "harga", "terjual"], parts, "part")
+        empty = session.createDataFrame([], LAST)
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{at}/n={n}")
+        for part in ("change", "last"):  # folders of parts without rows
+            empty.write.mode("append").parquet(f"{at}/n={n}/part={part}")
+
+    return valid.writeStream.foreachBatch(apply).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
 
 
 def q_price_changes(spark, d):
     rows = source(spark, d, "lineitem")
     obs = rows.select(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("product_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") % 7 == 0, 0).when(F.col("l_orderkey") % 41 == 0, F.lit(None)).otherwise(100000 + 5000 * (F.col("l_orderkey") % 3)).cast("long").alias("harga"), (F.col("l_quantity").cast("long") % 2).alias("terjual"))
     at = folder(spark)
-    finish(price_changes(obs).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
-    return spark.read.parquet(f"{at}/out")
+    finish(price_changes(obs, at))
+    return changes(spark, at)
+
+
+def changes(spark, at):
+    """The history that price_changes() wrote below a folder."""
+    return spark.read.schema(LAST).parquet(f"{at}/n=*/part=change")
 
 
 def _admit(span):

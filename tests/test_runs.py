@@ -182,3 +182,22 @@ def test_admission_counts_seconds_as_its_sql(spark, tmp_path, name):
     con.sql(f"CREATE VIEW events AS SELECT user_id, ts::TIMESTAMP AS ts, event_id FROM '{tmp_path}/events.parquet/*.parquet'")
     want = sorted(con.sql(registry.oracle_sql()[name]).fetchall())
     assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())) == want
+
+
+def test_price_changes_over_batches(spark, tmp_path):
+    """Batches carry the last recorded row of each product on; no product costs a Python call."""
+    r = random.Random(5)
+    rows = [(f"p{r.randrange(6)}", k, r.choice([None, 0, 10, 20]), r.choice([None, 0, 1])) for k in range(120)]
+    kind = "product_key string, seq long, harga long, terjual long"
+    for b in range(0, 120, 40):
+        spark.createDataFrame(rows[b : b + 40], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+        jobs.finish(jobs.price_changes(stream, f"{tmp_path}/out"))
+    last, want = {}, []
+    for key, seq, price, sold in rows:
+        if price and last.get(key) != (price, sold or 0):
+            last[key] = (price, sold or 0)
+            want.append((key, seq, price, sold or 0))
+    got = jobs.changes(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(os.listdir(f"{tmp_path}/out")) == 3
