@@ -53,14 +53,15 @@ SERVICES = f"{SIGNALS}, ft AS (SELECT *, {FITS} AS f FROM sg), fu AS (SELECT *,
 
 
 def q_scores(spark, d):
-    x = S.score_leads(view(spark, d, "listings"), view(spark, d, "businesses"), YEAR)
+    x = S.score_leads(view(spark, d, "listings", spread=True), view(spark, d, "businesses"), YEAR)
     return x.select("seq", "cabang", "skor_butuh", "skor_mampu", "skor_hubungi", "skor_pembeli", "tier", "skor_popularitas", "jasa_utama")
 
 
 def q_details(spark, d):
     """One row per lead and reason of its score, before limits and rounding."""
-    x = S.score_details(S.score_leads(view(spark, d, "listings"), view(spark, d, "businesses"), YEAR))
-    return x.select("seq", F.explode("rincian").alias("alasan", "poin"))
+    x = S.score_details(S.score_leads(view(spark, d, "listings", spread=True), view(spark, d, "businesses"), YEAR))
+    # the outer form: for the plain one the map is built again in a filter on its size; it is never empty
+    return x.select("seq", F.explode_outer("rincian").alias("alasan", "poin"))
 
 
 def pts(*pairs):
