@@ -69,14 +69,15 @@ def chat_link(phone, text=None):
 def prices(text):
     """All plausible amounts in reading order."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MONEY), F.lit(0))
-    values = F.transform(found, lambda m: F.try_to_number(F.regexp_replace(m, "[^0-9]", ""), F.lit("9" * 30)).cast("decimal(38,0)"))
+    values = F.transform(found, lambda m: F.regexp_replace(m, "[^0-9]", "").try_cast("decimal(38,0)"))
     return F.transform(F.filter(values, lambda v: v.between(PRICE_LOW, PRICE_HIGH)), lambda v: v.cast("long"))
 
 
-def first_price(text):
+def first_price(text, found=None):
+    """The first of the plausible amounts (of those given, if they were found before), else a bare number."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", "")
     value = F.when((bare != "") & (F.length(F.regexp_replace(bare, "^0+", "")) <= 9), bare.cast("long"))
-    return F.coalesce(F.get(prices(text), 0), F.when(value.between(PRICE_LOW, PRICE_HIGH), value), F.lit(0))
+    return F.coalesce(F.get(prices(text) if found is None else found, 0), F.when(value.between(PRICE_LOW, PRICE_HIGH), value), F.lit(0))
 
 
 def money(amount):
@@ -89,9 +90,16 @@ def sold(text):
     t = F.coalesce(text, F.lit(""))
     a = r"(?i)([0-9][0-9.,]*)\s*(rb|ribu|k|jt|juta)?\s*(?:\+\s*)?terjual"
     b = r"(?i)terjual\s*([0-9][0-9.,]*)\s*(rb|ribu|k|jt|juta)?"
-    front = F.regexp_extract(t, a, 1) != ""
-    number = F.when(front, F.regexp_extract(t, a, 1)).otherwise(F.regexp_extract(t, b, 1))
-    unit = F.lower(F.when(front, F.regexp_extract(t, a, 2)).otherwise(F.regexp_extract(t, b, 2)))
+    one = lambda m: F.struct(F.when(m != "", m).otherwise(F.regexp_extract(t, b, 1)).alias("number"), F.lower(F.when(m != "", F.regexp_extract(t, a, 2)).otherwise(F.regexp_extract(t, b, 2))).alias("unit"))
+    return let(F.regexp_extract(t, a, 1), lambda m: let(one(m), lambda x: _amount(x["number"], x["unit"])))
+
+
+def let(value, use):
+    """use(value), with the value computed once: an expression that is used in several places is else computed in each."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _amount(number, unit):
     plain = F.coalesce(F.regexp_replace(number, "[^0-9]", "").try_cast("double"), F.lit(0.0))
     decimal = F.when(number.rlike(r"^[0-9]+[.,][0-9]{1,2}$"), F.replace(number, F.lit(","), F.lit(".")).try_cast("double")).otherwise(plain)
     return F.when(unit == "", plain).when(unit.isin("jt", "juta"), decimal * 1_000_000).otherwise(decimal * 1_000).cast("long")

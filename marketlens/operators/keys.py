@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import parse as P
 from marketlens.sources.tables import table
+from marketlens.functions.frames import bound
 from marketlens.sources.views import view, with_views
 
 DIGITS = "regexp_replace(coalesce({c}, ''), '[^0-9]', '', 'g')"
@@ -36,8 +37,9 @@ PHONE = "CASE WHEN dg = '' THEN '' WHEN dg LIKE '0%' THEN concat('62', dg[2:]) W
 
 def q_card_prices(spark, d):
     t = F.col("teks")
-    x = view(spark, d, "card_text")
-    return x.select("seq", F.array_join(P.prices(t).cast("array<string>"), ",").alias("semua"), P.first_price(t).alias("harga"), P.money(P.first_price(t)).alias("tampil"), P.sold(t).alias("terjual"), P.product_name(t).alias("nama"))
+    x = bound(view(spark, d, "card_text"), ["seq"], t=t, ps=P.prices(t))
+    x = bound(x, ["seq", "t", "ps"], harga=P.first_price(F.col("t"), F.col("ps")))
+    return x.select("seq", F.array_join(F.col("ps").cast("array<string>"), ",").alias("semua"), "harga", P.money(F.col("harga")).alias("tampil"), P.sold(F.col("t")).alias("terjual"), P.product_name(F.col("t")).alias("nama"))
 
 
 CARD_PRICES = r"""
@@ -49,8 +51,8 @@ h AS (SELECT *, CASE WHEN len(ps) > 0 THEN ps[1] WHEN length(regexp_replace(teks
 def q_product_cards(spark, d):
     """Cards assembled to product records; cards without price or name are dropped."""
     t = F.col("teks")
-    x = view(spark, d, "card_text").select("seq", "href", "username", P.prices(t).alias("ps"), P.product_name(t).alias("nama_produk"), P.sold(t).alias("terjual"), F.regexp_extract(t, r"\b([1-5][.,][0-9])\b", 1).alias("r"))
-    x = x.where((F.size("ps") > 0) & (F.col("nama_produk") != "")).withColumn("harga", F.get("ps", 0))
+    x = bound(view(spark, d, "card_text"), ["seq", "href", "username"], t=t, ps=P.prices(t)).where(F.size("ps") > 0).withColumn("harga", F.get("ps", 0))
+    x = bound(x, ["seq", "href", "username", "ps", "harga"], nama_produk=P.product_name(F.col("t")), terjual=P.sold(F.col("t")), r=F.regexp_extract("t", r"\b([1-5][.,][0-9])\b", 1)).where("nama_produk <> ''")
     x = x.withColumn("harga_coret", F.coalesce(F.array_max(F.filter(F.slice("ps", 2, 1000000), lambda h: h > F.col("harga"))), F.lit(0)))
     off = F.when(F.col("harga_coret") > 0, F.bround((F.col("harga_coret") - F.col("harga")) / F.col("harga_coret") * 100)).otherwise(0).cast("long")
     return x.select("seq", P.product_key(F.lit("tokopedia"), F.col("username"), F.col("href")).alias("product_key"), P.clean_url(F.col("href")).alias("url"), "nama_produk", "harga", "harga_coret", off.alias("diskon_persen"), P.number_or_zero(F.col("r")).alias("rating"), "terjual")
