@@ -3,8 +3,10 @@
 Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-word shingles.
 
 * Equal sets form a class; one set stands for it from then on, so copies cost no pairs.
-* Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order. Frequent
-  shingles come last in ours; they are counted over all documents. The order changes the
+* Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any fixed order. Ours goes by
+  the number of documents: shingles that meet in runs of texts are counted over all documents, and the
+  KNOWN ones of most documents come last, so a line that many texts hold makes no tile where a
+  text has enough words of its own. The order changes the
   cost, never the result. Sets that share such a shingle, within a band of sizes, make a tile. Most
   shingles meet in buckets; a frequent one may be in very many sets, so its pivot is a
   minimum that is combined before the shuffle and joined back.
@@ -35,7 +37,10 @@ BITS = 2  # of a bitmap for each shingle, rounded up to a power of two
 NEAR = 1_000_000  # keys (16 MB) up to which a list of them is broadcast
 ASK, TILE = 64, 192  # members of a tile that ask, and that are asked, in one task
 BUCKET = 64 << 20  # bytes of text whose first shingles meet in a bucket
-OFTEN = 3  # documents of a run of texts from which a shingle's count is kept
+OFTEN = 3  # different sets of a run of texts from which a shingle's count is kept
+RUN = 1 << 21  # shingles (16 MB) in a run of texts
+KNOWN = 1 << 18  # shingles (3 MB with their counts) that the order knows at most
+STEPS = 8  # classes of counts from one power of two to the next
 RARE = 1000  # a shingle of more than one in RARE documents is frequent
 FREQUENT = 1 << 18  # ... and of more than a FREQUENT-th of all shingles, so there are fewer than that
 U = np.uint64
@@ -109,9 +114,18 @@ SETS = "doc_id long, row_text long, n_shingles long, key long, check long, bits
 
 
 def _sets(batches):
-    """A row per document, and one per shingle that OFTEN documents of a run of texts hold."""
+    """A row per document, and one per shingle that OFTEN different sets of a run of texts hold."""
     kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2
     names = [c.split()[0] for c in SETS.split(", ")]
+    run, seen = [], np.zeros(0, np.int64)
+
+    def counted():
+        shingle, times = np.unique(np.concatenate(run), return_counts=True)
+        often = times >= OFTEN
+        n = int(often.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:6]), pa.array(shingle[often].view(np.int64)), pa.array(times[often])], names)
+
     for batch in batches:
         for part in T.slices(batch, "text"):
             value, bounds = shingle_sets(part.column("text"))
@@ -119,11 +133,16 @@ def _sets(batches):
             maps = [bitmap(value[x:y]).tobytes() if y > x else None for x, y in zip(bounds, bounds[1:], strict=False)]
             none = pa.nulls(part.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_text"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(maps, pa.binary()), none, none], names)
-            shingle, times = np.unique(value, return_counts=True)
-            often = times >= OFTEN
-            n = int(often.sum())
-            if n:
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:6]), pa.array(shingle[often].view(np.int64)), pa.array(times[often])], names)
+            new = np.zeros(len(a), bool)
+            new[np.unique(a, return_index=True)[1]] = True
+            new &= ~np.isin(a, seen)
+            run.append(value[np.repeat(new, np.diff(bounds))])
+            seen = np.concatenate([seen, a[new]])
+            if sum(map(len, run)) >= RUN:
+                yield from counted()
+                run, seen = [], seen[:0]
+    if run:
+        yield from counted()
 
 
 def document_sets(docs):
@@ -132,37 +151,51 @@ def document_sets(docs):
     return rows.mapInArrow(lean(_sets), SETS)
 
 
-def frequent_shingles(named):
-    """Shingles of many documents, in order; by their definition fewer than FREQUENT."""
-    whole = named.agg(F.count("n_shingles").alias("docs"), F.sum("n_shingles").alias("shingles")).first()
-    least = max(OFTEN, whole["docs"] / RARE, (whole["shingles"] or 0) / FREQUENT)
-    found = named.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r.shingle for r in found.select("shingle").collect()], dtype=np.int64).view(U))
-
+def known_shingles(named):
+    """Shingles of many documents in order, their counts, and the count from which one is frequent.
 
-def _prefixes(parts, frequent):
+    Of all counted shingles those of most documents, KNOWN at most; the frequent ones are among them, as by their
+    definition there are fewer than FREQUENT.
+    """
+    whole = named.agg(F.count("n_shingles").alias("docs"), F.sum("n_shingles").alias("shingles")).first()
+    frequent = max(OFTEN, whole["docs"] / RARE, (whole["shingles"] or 0) / FREQUENT)
+    found = checkpointed(named.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("n")))
+    step = F.floor(F.lit(STEPS) * F.log2("n"))
+    least, total = frequent, 0
+    for r in found.groupBy(step.alias("step")).agg(F.count("*").alias("shingles"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        total += r["shingles"]
+        if total > KNOWN:
+            break
+        least = min(least, r["n"])
+    rows = found.where(F.col("n") >= least).toArrow()
+    value, times = rows["shingle"].to_numpy().view(U), rows["n"].to_numpy()
+    order = np.argsort(value)
+    return value[order], np.minimum(times[order], 2**31 - 1).astype(np.int32), frequent
+
+
+def _prefixes(parts, known):
     """Rows (bucket, keys, sizes, hashes) with the first shingles of each set of a batch.
 
     Frequent shingles go to buckets of their own, dealt by set and not by shingle.
     """
 
     def emit(batches):
-        common = frequent.value
+        common, documents, frequent = known.value
         for batch in batches:
             sets = []
             for part in T.slices(batch, "text"):
                 value, bounds = shingle_sets(part.column("text"))
                 key, _ = set_keys(value, bounds)
                 n = np.diff(bounds)
-                late = np.zeros(len(value), bool)
+                times = np.zeros(len(value), np.int32)
                 if len(common) and len(value):
                     at = np.minimum(np.searchsorted(common, value), len(common) - 1)
-                    late = common[at] == value
+                    times = np.where(common[at] == value, documents[at], times)
                 owner = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((value, late, owner))  # owner keeps its place
+                order = np.lexsort((value, times, owner))  # owner keeps its place
                 take, own = T.flat_positions(bounds[:-1], np.where(n > 0, prefix_length(n), 0))
                 first = order[take]
-                sets.append((key[own], n[own], value[first], late[first]))
+                sets.append((key[own], n[own], value[first], times[first] >= frequent))
             if not sets:
                 continue
             key, size, value, late = (np.concatenate(x) for x in zip(*sets, strict=True))
@@ -238,8 +271,8 @@ def candidate_tiles(docs, named, total):
     are told apart by 32 bits; more sets in a tile than need be are only more work.
     """
     parts = parts_for(total, BUCKET)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(named))
-    sent = docs.select("text").mapInArrow(_prefixes(parts, frequent), "bucket long, keys binary, sizes binary, hashes binary")
+    known = docs.sparkSession.sparkContext.broadcast(known_shingles(named))
+    sent = docs.select("text").mapInArrow(_prefixes(parts, known), "bucket long, keys binary, sizes binary, hashes binary")
     met = checkpointed(sent.groupBy("bucket").applyInArrow(_tiles(parts), "shingle long, tile long, key long"))
     often = met.where("shingle is not null").select("shingle", "key")
     pivots, _ = sized(checkpointed(often.groupBy("shingle").agg(F.min("key").alias("tile"), F.max("key").alias("last")).where("tile <> last").drop("last")), NEAR)

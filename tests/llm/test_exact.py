@@ -94,6 +94,26 @@ def test_jaccard_blocks(docs, monkeypatch):
     assert got == components(corpus())
 
 
+def test_jaccard_shared_lines_make_no_tiles(spark, monkeypatch):
+    """Texts of their own words that share a line, which is not frequent, stay apart without being compared."""
+    monkeypatch.setattr(jaccard_join, "RARE", 2)  # frequent: from half of the documents
+    lines = [" ".join(f"line{k}word{i}" for i in range(14)) for k in range(6)]
+    rows = [(i, f"{' '.join(f'own{i}x{j}' for j in range(80))} {lines[i % 6]}", "en", "s", 0) for i in range(120)]
+    rows += [(120, rows[7][1] + " more", "en", "s", 0), (121, lines[0], "en", "s", 0), (122, lines[0] + " more", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, KIND).repartition(2)
+    tiles = jaccard_join.candidate_tiles(docs, jaccard_join.document_sets(docs), 1 << 20)
+    assert tiles.groupBy("tile").count().agg({"count": "max"}).first()[0] == 2
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert got == components([(r[0], r[1]) for r in rows]) and got[120][1] == 7 and got[122][1] == 121
+
+
+def test_jaccard_counts_copies_of_a_run_once():
+    texts = ["a b c d e f"] * 5 + ["a b c d e g", "z a b c d e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), pa.array(texts)], ["doc_id", "row_text", "text"])
+    counts = [n for b in jaccard_join._sets([batch, batch]) for n in b.column("times").drop_null().to_pylist()]
+    assert counts == [3]  # one shingle in three different sets, of two batches
+
+
 def test_jaccard_repeats_nulls_and_empty(spark, empty):
     rows = [(1, "a b c d e f", "", "", 0), (1, "a b c d e f", "", "", 0), (None, "a b c d e f", "", "", 0), (2, "A B c d e f", "", "", 0)]
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, KIND)).collect()), key=str)
