@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketlens.functions import frames
-from marketlens.operators import variants
+from marketlens.operators import pricing, variants
 
 KIND = "product_key string, store_id string, nama_produk string, harga long, is_own int, sumber string"
 
@@ -31,3 +31,14 @@ def test_summary_sorts_no_rows_by_group(spark, monkeypatch):
     assert sum(r.n + r.n_pencilan for r in got) == 3000
     lines = [line for _, plan, _ in seen for line in plan.splitlines() if "store_id" in line]
     assert lines and not [line for line in lines if "Sort" in line or "langka" in line]
+
+
+def test_statistics_join_counts_only(spark, monkeypatch):
+    rows = products(spark).withColumn("varian", F.lit("satu"))
+    seen = recorded(monkeypatch, pricing)
+    got = pricing.statistics(rows, "varian").first()
+    rivals = sorted(r.harga for r in rows.where("is_own = 0").collect())
+    used = [h for h in rivals if h < 90_000]
+    assert (got.n, got.n_pencilan, got.min, got.maks) == (len(used), len(rivals) - len(used), 1000, 1400)
+    assert got.median == int((used[(len(used) - 1) // 2] + used[len(used) // 2]) / 2)
+    assert [out.count() for _, _, out in seen] == [6]  # one row a price
