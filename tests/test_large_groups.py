@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketlens.functions import frames
-from marketlens.operators import pricing, variants
+from marketlens.operators import matching, pricing, variants
 
 KIND = "product_key string, store_id string, nama_produk string, harga long, is_own int, sumber string"
 
@@ -42,3 +42,11 @@ def test_statistics_join_counts_only(spark, monkeypatch):
     assert (got.n, got.n_pencilan, got.min, got.maks) == (len(used), len(rivals) - len(used), 1000, 1400)
     assert got.median == int((used[(len(used) - 1) // 2] + used[len(used) // 2]) / 2)
     assert [out.count() for _, _, out in seen] == [6]  # one row a price
+
+
+def test_search_ranks_rows_without_arrays(spark, monkeypatch):
+    seen = recorded(monkeypatch, matching)
+    got = matching.search(spark, ["intel i7 12700k"], products(spark)).collect()
+    assert len(got) == matching.TOP and all(r.models == ["12700k"] for r in got) and sorted(r.urut for r in got) == list(range(1, matching.TOP + 1))
+    ranked = [columns for columns, _, _ in seen if "urut" in columns]
+    assert ranked and not {"models", "tokens"} & set(ranked[0])
