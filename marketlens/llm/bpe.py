@@ -13,6 +13,7 @@ null ids stay null. Texts of any length are encoded and written in runs of bound
 """
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -27,7 +28,7 @@ from marketlens.llm.memory import Decimals, Memory, Written, byte_level
 
 RUN = 1 << 17  # tokens written at once
 SIMPLE = 0x250  # characters below need no context: no combining marks
-AT_ONCE = 1 << 13  # fragments given to the library at once
+AT_ONCE = 1 << 13  # fragments whose ids are held as lists at once
 
 
 def default_tokenizer():
@@ -41,23 +42,17 @@ class Vocabulary:
 
     def __init__(self, path):
         with open(path, encoding="utf-8") as f:
-            self.rules = json.load(f)
-        self.end = self.rules["model"]["end_of_word_suffix"] or ""
-        self.special = {t["content"]: t["id"] for t in self.rules["added_tokens"]}
-        self.ids = self.rules["model"]["vocab"]
+            rules = json.load(f)
+        self.end, self.decoder = rules["model"]["end_of_word_suffix"] or "", rules["decoder"]
+        self.special = {t["content"]: t["id"] for t in rules["added_tokens"]}
+        self.ids = rules["model"]["vocab"]
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         _, back = byte_level()
         self.joined = np.zeros((256, 256), bool)
-        for s in self.ids:
-            b = np.array([back[c] for c in s.removesuffix(self.end)], np.uint8)
-            self.joined[b[:-1], b[1:]] = True
-
-    def fragment_encoder(self, ends_word):
-        """The library's merges alone, with or without the end-of-word mark."""
-        from tokenizers import Tokenizer
-
-        model = self.rules["model"] | ({} if ends_word else {"end_of_word_suffix": None})
-        return Tokenizer.from_str(json.dumps(self.rules | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "model": model}))
+        text = " ".join(s.removesuffix(self.end) for s in self.ids)  # no token holds a space
+        b = np.fromiter(map((back | {" ": -1}).__getitem__, text), np.int16, len(text))
+        inside = (b[:-1] >= 0) & (b[1:] >= 0)
+        self.joined[b[:-1][inside], b[1:][inside]] = True
 
 
 class Encoder:
@@ -67,11 +62,16 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        whole, self.vocabulary = Tokenizer.from_file(path), Vocabulary(path)
+        vocabulary = Vocabulary(path)
+        self.marks, self.joined = vocabulary.special, vocabulary.joined
+        del vocabulary  # its tables of all tokens are not needed any more
+        whole = Tokenizer.from_file(path)
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
-        self.parts = [self.vocabulary.fragment_encoder(False), self.vocabulary.fragment_encoder(True)]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
-        self.chars, self.bytes = byte_level()
+        self.parts = [Tokenizer.from_file(path).model, whole.model]  # the merges alone; the first without the end-of-word mark
+        self.parts[0].end_of_word_suffix = None
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
+        chars, self.bytes = byte_level()
+        self.chars = np.array([ord(chars[b]) for b in range(256)], np.uint32)
         self.words, self.fragments = Memory(1), Memory(1)
         self.kinds, self.written = self.simple_characters()
 
@@ -82,7 +82,7 @@ class Encoder:
         kinds, written = np.full(SIMPLE, 3, np.int8), [b""] * SIMPLE
         for c in map(chr, range(SIMPLE)):
             one = self.split(c)
-            if c in "'\0" or len(one) != 1 or len(one[0].decode()) != 1 or any(s.startswith(c) for s in self.vocabulary.special):
+            if c in "'\0" or len(one) != 1 or len(one[0].decode()) != 1 or any(s.startswith(c) for s in self.marks):
                 continue
             written[ord(c)] = one[0]
             kinds[ord(c)] = 0 if len(self.split("a" + c)) == 1 else 1 if len(self.split(c + c)) == 2 else 2
@@ -101,34 +101,33 @@ class Encoder:
         names, first, back = np.unique(h, return_index=True, return_inverse=True)
 
         def make(which):
-            at, data = first[which], raw.tobytes().decode("latin-1")
-            ids = [None] * len(at)
-            for kind in (0, 1):
-                mine = np.flatnonzero(last[at] == bool(kind)).tolist()
-                for i in range(0, len(mine), AT_ONCE):
-                    run = mine[i : i + AT_ONCE]
-                    texts = [data[starts[at[j]] : ends[at[j]]].translate(self.chars) for j in run]
-                    for j, e in zip(run, self.parts[kind].encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                        ids[j] = e.ids
-            size = np.array([len(x) for x in ids], np.int64)
-            return [(np.fromiter((i for x in ids for i in x), np.int32, int(size.sum())), size)]
+            at, data = first[which], self.chars[raw].tobytes().decode("utf-32-le")
+            flat, size = [], []
+            for i in range(0, len(at), AT_ONCE):
+                own = at[i : i + AT_ONCE]
+                ids = [[t.id for t in self.parts[kind].tokenize(data[a:b])] for a, b, kind in zip(starts[own].tolist(), ends[own].tolist(), last[own].tolist(), strict=True)]
+                size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size[-1].sum())))
+            return [(np.concatenate(flat), np.concatenate(size))]
 
         return self.fragments.find(names, make)[back]
 
-    def encode_words(self, texts):
-        """Flat ids and sizes of white-space words."""
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        count = np.array([len(t) for t in texts], np.int64)
+    def encode_words(self, data, starts, ends):
+        """Flat ids and sizes of white-space words, one at least."""
+        raw = data[T.flat_positions(starts, ends - starts)[0]]
+        joined = raw.tobytes().decode()
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        count = np.add.reduceat((raw & 0xC0) != 0x80, np.cumsum(ends - starts) - (ends - starts), dtype=np.int64)
         begin = np.cumsum(count) - count
         kind = self.kinds[np.minimum(codes, SIMPLE - 1)]
         kind[codes >= SIMPLE] = 3
-        simple = (np.maximum.reduceat(kind, begin) < 3) if len(codes) else np.zeros(len(texts), bool)
+        simple = np.maximum.reduceat(kind, begin) < 3
         own, pieces, special = [], [], []  # of each piece: its word, its bytes, the id of a special token or -1
         for k in np.flatnonzero(~simple).tolist():
-            text = texts[k]
+            text = joined[begin[k] : begin[k] + count[k]]
             for part in self.special.split(text) if self.special else [text]:
-                if part in self.vocabulary.special:
-                    own.append(k), pieces.append(b"\0"), special.append(self.vocabulary.special[part])
+                if part in self.marks:
+                    own.append(k), pieces.append(b"\0"), special.append(self.marks[part])
                 else:
                     for p in self.split(part):
                         own.append(k), pieces.append(p), special.append(-1)
@@ -143,9 +142,9 @@ class Encoder:
             raw, bounds = np.concatenate([raw, data]), np.concatenate([bounds, bounds[-1] + ends])
             own, special = np.concatenate([own, word[new]]), np.concatenate([special, np.full(len(ends), -1)])
         if not len(raw):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(count), np.int64)
         cut = np.zeros(len(raw) + 1, bool)
-        cut[1:-1] = ~self.vocabulary.joined[raw[:-1], raw[1:]]
+        cut[1:-1] = ~self.joined[raw[:-1], raw[1:]]
         cut[bounds] = True
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
@@ -157,7 +156,7 @@ class Encoder:
         if (special >= 0).any():
             marked = special[piece]
             flat[(np.cumsum(size) - size)[marked >= 0]] = marked[marked >= 0]  # a zero byte is one token
-        total = np.zeros(len(texts), np.int64)
+        total = np.zeros(len(count), np.int64)
         np.add.at(total, own[piece], size)
         return flat, total
 
@@ -165,8 +164,7 @@ class Encoder:
         """Flat ids of all texts and their bounds (n+1)."""
         h, first, data, starts, ends = T.words(column, "space")
         names, where, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        rows = self.words.find(names, lambda which: [self.encode_words([raw[a:b].decode() for a, b in zip(starts[where[which]].tolist(), ends[where[which]].tolist(), strict=True)])])
+        rows = self.words.find(names, lambda which: [self.encode_words(data, starts[where[which]], ends[where[which]])])
         ids, size = self.words.take(0, rows[back])
         return ids, np.concatenate([[0], np.cumsum(size)])[first]
 
@@ -176,7 +174,7 @@ class Decoder:
 
     def __init__(self, path):
         vocabulary = Vocabulary(path)
-        if vocabulary.rules["decoder"]:
+        if vocabulary.decoder:
             raise ValueError("a vocabulary with a decoder of its own")
         self.most = max(vocabulary.strings) + 1
         self.known = np.array([i in vocabulary.strings for i in range(self.most)])

@@ -7,14 +7,13 @@ the number of lengths, not of documents. Each piece then takes a planned slot by
 the pieces of its length. Ranks are counted within salted runs of (length, salt), with offsets
 summed over salts, so a length that a third of all pieces share is spread over many tasks.
 
-Text is tokenised word by word, split at ASCII white space, which the tokenizer drops and never
-merges over; each task encodes a distinct word once (it remembers KNOWN bytes of ids), and many
-words as one text, parted by a character that is a token of its own. Null and empty texts are one piece holding the end id.
+Text is tokenised as in bpe: a task asks the tokenizer's model only for distinct fragments of
+distinct words. The file must be a byte-level BPE whose words end at white space. Null and empty
+texts are one piece holding the end id.
 Repeated rows are packed once each. Other columns are ignored.
 """
 
 import math
-import os
 import zlib
 
 import numpy as np
@@ -22,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marketlens.llm import bpe
 from marketlens.llm import tokens as T
 from marketlens.llm.common import checkpointed, lean, table
 
@@ -29,10 +29,6 @@ SEQUENCE = 2048
 END = 0
 SALTS = 64  # runs of a length, at least
 RUN = 100_000  # pieces that a run may hold on average
-KNOWN = 16 << 20  # bytes of words' ids that a task remembers
-TOGETHER = 512  # words encoded as one text
-AT_ONCE = 32  # such texts encoded in one call; the encoder's own objects are much larger than ids
-PARTERS = "²³¹½¼¾"  # numerals, which the tokenizer never joins with their neighbours
 
 
 def default_tokenizer():
@@ -41,74 +37,18 @@ def default_tokenizer():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Ids of texts, each distinct word encoded once."""
-
-    def __init__(self, path):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        # A character that is always a piece of its own, with one id: it parts words encoded together.
-        one = [(c, e.ids) for c, e in zip(PARTERS, self.tokenizer.encode_batch(list(PARTERS), add_special_tokens=False), strict=True)]
-        self.parter, self.parter_id = next(((c, ids[0]) for c, ids in one if len(ids) == 1), (None, None))
-        self.clear()
-
-    def clear(self):
-        self.names, self.at, self.size, self.ids = np.zeros(0, T.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def one_by_one(self, texts):
-        step = TOGETHER * AT_ONCE
-        got = [np.array(e.ids, np.uint32) for i in range(0, len(texts), step) for e in self.tokenizer.encode_batch_fast(texts[i : i + step], add_special_tokens=False)]
-        return np.concatenate(got), np.array([len(x) for x in got], np.int64)
-
-    def encode_words(self, texts):
-        """Flat ids and the number of ids of each word."""
-        if self.parter is None or any(self.parter in t for t in texts):
-            return self.one_by_one(texts)
-        runs = [f" {self.parter} ".join([*texts[i : i + TOGETHER], ""]) for i in range(0, len(texts), TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for i in range(0, len(runs), AT_ONCE) for e in self.tokenizer.encode_batch_fast(runs[i : i + AT_ONCE], add_special_tokens=False)])
-        ends = np.flatnonzero(ids == self.parter_id)
-        if len(ends) != len(texts):
-            return self.one_by_one(texts)
-        return ids[ids != self.parter_id], np.diff(np.concatenate([[-1], ends])) - 1
-
-    def encode(self, column):
-        """Flat ids of all texts with END after each, and their bounds (n+1)."""
-        h, first, data, starts, ends = T.words(column, "space")
-        name, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if sum(x.nbytes for x in (self.names, self.at, self.size, self.ids)) > KNOWN:
-            self.clear()
-        at = np.searchsorted(self.names, name)
-        new = np.ones(len(name), bool)
-        inside = at < len(self.names)
-        new[inside] = self.names[at[inside]] != name[inside]
-        if new.any():
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            got, size = self.encode_words(texts)
-            begin = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, got])
-            place = np.searchsorted(self.names, name[new])
-            self.names, self.at, self.size = np.insert(self.names, place, name[new]), np.insert(self.at, place, begin), np.insert(self.size, place, size)
-        at = np.searchsorted(self.names, name)
-        count = self.size[at][back] if len(h) else np.zeros(0, np.int64)
-        flat, _ = T.flat_positions(self.at[at][back] if len(h) else count, count)
-        total = np.concatenate([[0], np.cumsum(count)])[first]
-        bounds = total + np.arange(len(total))
-        out = np.full(int(bounds[-1]), END, np.uint32)
-        mask = np.ones(len(out), bool)
-        mask[bounds[1:] - 1] = False
-        out[mask] = self.ids[flat]
-        return out, bounds
+def encode(encoder, column):
+    """Flat ids of all texts with END after each, and their bounds (n+1)."""
+    ids, bounds = encoder.encode(column)
+    return np.insert(ids, bounds[1:], END), bounds + np.arange(len(bounds))
 
 
 def _pieces(path, keep_ids):
     def cut(batches):
-        encoder = Encoder(path)
+        encoder = bpe.Encoder(path)
         for batch in batches:
-            for part in T.slices(batch, "text", T.CHUNK // 2):
-                ids, bounds = encoder.encode(part.column("text"))
+            for part in T.slices(batch, "text", T.CHUNK // 4):
+                ids, bounds = encode(encoder, part.column("text"))
                 n = np.maximum(1, -(-np.diff(bounds) // SEQUENCE))
                 piece, owner = T.flat_positions(np.zeros(len(n), np.int64), n)
                 start = piece * SEQUENCE

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import alignment, bpe, collocations
+from marketlens.llm import alignment, bpe, collocations, packing
 from marketlens.llm import tokens as T
 from marketlens.llm.memory import Decimals, Memory, Written
 
@@ -90,6 +90,56 @@ def test_bpe_small_runs_and_memory(monkeypatch):
     assert d.text(np.array([-1, 10**6, 0, 1])) == d.text(np.array([0, 1]))  # unknown ids are left out
 
 
+def test_packing_gives_the_library_distinct_fragments_only(monkeypatch):
+    import tokenizers
+
+    class Counting:
+        """A tokenizer, or its model, that counts the characters it is asked to encode."""
+
+        asked = 0
+
+        def __init__(self, real):
+            object.__setattr__(self, "real", real)
+
+        @staticmethod
+        def from_file(path):
+            return Counting(real.from_file(path))
+
+        @staticmethod
+        def from_str(text):
+            return Counting(real.from_str(text))
+
+        def __getattr__(self, name):
+            got = getattr(self.real, name)
+            if name == "model":
+                return Counting(got)
+            return self.counted(got) if name in ("encode", "encode_batch", "encode_batch_fast", "tokenize") else got
+
+        def __setattr__(self, name, value):
+            setattr(self.real, name, value)
+
+        def counted(self, work):
+            def run(texts, *a, **b):
+                Counting.asked += sum(map(len, texts))
+                return work(texts, *a, **b)
+
+            return run
+
+    real, parts = tokenizers.Tokenizer, [f"{a}{b}" for a in ("the", "ing", "blé", "qu", "straß") for b in ("er", "tion", "é", "ness")]
+    words = [f"{a}{d}{b}" for a in parts for d in range(10) for b in parts]
+    texts = [*ODD, " ".join(words), " ".join(words[::-1]), "word " * 5000]
+    t = real.from_file(packing.default_tokenizer())
+    want = [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [[] for _ in texts]
+    for out in packing._pieces(packing.default_tokenizer(), True)([batch]):
+        for i, ids in zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), strict=True):
+            got[i] += ids
+    assert got == want
+    assert 0 < Counting.asked < sum(map(len, words)) / 2
+
+
 def test_memory_and_written():
     m, names = Memory(1), np.array([3, 5, 9], T.U)
     asked = []
